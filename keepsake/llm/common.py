@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,7 +58,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: int | None = None) -> Iterat
     """The batches in pieces of at most SLICE_ROWS rows and, but for single rows, about SLICE_BYTES bytes of column `text`."""
     for batch in batches:
         at, n = 0, batch.num_rows
-        sizes = None if text is None else np.diff(np.frombuffer(_offsets(batch.column(text)), dtype=np.int64))
+        sizes = None if text is None else pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
         while at < n:
             rows = min(SLICE_ROWS, n - at)
             if sizes is not None and rows > 1:
@@ -66,11 +67,6 @@ def slices(batches: Iterator[pa.RecordBatch], text: int | None = None) -> Iterat
             at += rows
 
 
-def _offsets(column: pa.Array) -> bytes:
-    lengths = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False)
-    return np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)]).astype(np.int64).tobytes()
-
-
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator], schema: str, text: int | None = None, setup: Callable | None = None) -> DataFrame:
     """mapInArrow over slices. setup() runs once a task and its result is the second argument of fn."""
 
