@@ -11,7 +11,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, pii
+from . import bpe, fertility, langid, pii, quality
 from .common import bucket
 
 
@@ -33,5 +33,26 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op10_pii": op10_pii}
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = quality.train(docs, table(spark, sf_dir, "labels"), bucket(F.col("doc_id"), 5) != 0)
+    scored = quality.score(docs, machine)
+    return scored.select("doc_id", (bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fertility.rules(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    measures = ("n_tokens", "chars_per_token", "byte_share", "token_entropy", "script")
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("in_band")).alias("kept"), *measures)
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    known = langid.profiles(docs, bucket(F.col("doc_id"), 3) != 1)
+    found = langid.identify(docs, known)
+    return found.select("doc_id", (bucket(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op4_quality": op4_quality, "op7_fertility": op7_fertility, "op8_langid": op8_langid, "op10_pii": op10_pii}
 ORACLE_SQL: dict[str, str] = {}
