@@ -138,3 +138,53 @@ def sequence_hash(h: np.ndarray) -> int:
     for v in h.tolist():
         x = (x * _BASE + v) & _MASK
     return int(mix(np.array([x], U64))[0])
+
+
+def grouped(df: DataFrame, keys: list[str], fn: Callable, schema: str) -> DataFrame:
+    """fn(rows) for every group of rows with equal keys, as columns of numpy arrays or lists by name.
+
+    Partitions are sorted by the keys and read as a stream; unlike a grouped map
+    there is no call from the JVM per group, which matters with very many small
+    ones. The caller bounds the groups. fn yields record batches.
+    """
+    names = df.columns
+
+    def run(batches):
+        held, now = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+            change = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+            starts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+            for a, b in zip(starts, starts[1:]):
+                key = tuple(c[a] for c in columns)
+                if key != now and held:
+                    yield from fn(pa.Table.from_batches(held))
+                    held = []
+                now = key
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from fn(pa.Table.from_batches(held))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).select(*names).mapInArrow(run, schema)
+
+
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """(id, root) for every id in edges (a, b): root is the smallest id that links lead to.
+
+    Labels travel along edges and then jump to the label of their label, so the
+    rounds follow the logarithm of the longest path. Every round ends in a table
+    in the shared folder.
+    """
+    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), f"{name}-edges")
+    label = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("root")), f"{name}-0")
+    for step in range(1, 100):
+        seen = both.join(label.select(F.col("id").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("id")).agg(F.min("r").alias("r"))
+        down = label.join(seen, "id").select("id", F.col("root").alias("was"), F.least("root", "r").alias("root"))
+        jump = label.select(F.col("id").alias("root"), F.col("root").alias("next"))
+        new = stored(down.join(jump, "root", "left").select("id", "was", F.least("root", F.coalesce("next", "root")).alias("root")), f"{name}-{step}")
+        if new.where("was <> root").isEmpty():
+            return new.select("id", "root")
+        label = new.select("id", "root")
+    raise RuntimeError("links did not settle")

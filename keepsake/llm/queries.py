@@ -11,7 +11,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fertility, langid, pii, quality
+from . import bpe, fertility, jaccard, langid, pii, quality
 from .common import bucket
 
 
@@ -40,6 +40,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (bucket(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fertility.rules(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
@@ -54,5 +58,5 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (bucket(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op4_quality": op4_quality, "op7_fertility": op7_fertility, "op8_langid": op8_langid, "op10_pii": op10_pii}
+QUERIES = {"op1_bpe": op1_bpe, "op4_quality": op4_quality, "op5_jaccard": op5_jaccard, "op7_fertility": op7_fertility, "op8_langid": op8_langid, "op10_pii": op10_pii}
 ORACLE_SQL: dict[str, str] = {}
