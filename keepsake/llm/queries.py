@@ -11,7 +11,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fertility, jaccard, langid, pii, quality, substring
+from . import bpe, decontaminate, fertility, jaccard, langid, pii, quality, substring
 from .common import bucket
 
 
@@ -33,6 +33,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.repeats(table(spark, sf_dir, "documents"))
     digest = F.coalesce(F.sha2(F.col("kept").cast("binary"), 256), F.col("words_sha256"))
@@ -64,5 +68,5 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (bucket(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op3_substring": op3_substring, "op4_quality": op4_quality, "op5_jaccard": op5_jaccard, "op7_fertility": op7_fertility, "op8_langid": op8_langid, "op10_pii": op10_pii}
+QUERIES = {"op1_bpe": op1_bpe, "op2_decontaminate": op2_decontaminate, "op3_substring": op3_substring, "op4_quality": op4_quality, "op5_jaccard": op5_jaccard, "op7_fertility": op7_fertility, "op8_langid": op8_langid, "op10_pii": op10_pii}
 ORACLE_SQL: dict[str, str] = {}
