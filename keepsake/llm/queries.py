@@ -11,7 +11,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fertility, jaccard, langid, pii, quality, substring
+from . import bpe, decontaminate, fertility, jaccard, kneser_ney, langid, pii, quality, substring, warc
 from .common import bucket
 
 
@@ -28,6 +28,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")))
 
 
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = kneser_ney.train(docs, bucket(F.col("doc_id"), 7) != 2)
+    return kneser_ney.score(docs, model).select("doc_id", (bucket(F.col("doc_id"), 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.spans(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
@@ -54,6 +60,11 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, index = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(folder, index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fertility.rules(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
@@ -68,5 +79,5 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (bucket(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_decontaminate": op2_decontaminate, "op3_substring": op3_substring, "op4_quality": op4_quality, "op5_jaccard": op5_jaccard, "op7_fertility": op7_fertility, "op8_langid": op8_langid, "op10_pii": op10_pii}
+QUERIES = {"op1_bpe": op1_bpe, "op2_decontaminate": op2_decontaminate, "op3_substring": op3_substring, "op4_quality": op4_quality, "op5_jaccard": op5_jaccard, "op6_warc": op6_warc, "op7_fertility": op7_fertility, "op8_langid": op8_langid, "op9_kneser_ney": op9_kneser_ney, "op10_pii": op10_pii}
 ORACLE_SQL: dict[str, str] = {}
