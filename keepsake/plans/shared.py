@@ -1,0 +1,20 @@
+"""Scratch space that all machines share."""
+
+from __future__ import annotations
+
+import atexit
+import shutil
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in spark.checkpoint.dir; where that is unset (tests), in an own folder that goes with the process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="keepsake-")
+        atexit.register(shutil.rmtree, root.removeprefix("file://"), True)
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
