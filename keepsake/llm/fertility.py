@@ -45,7 +45,7 @@ BANDS = {
     "": (1.0, 8.0, 0.50, 0.50),
 }
 #: Texts of fewer tokens get wider bands.
-FEW_TOKENS = 64
+FEW_TOKENS = 300
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
 CACHE_WORDS = 300_000
