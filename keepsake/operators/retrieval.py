@@ -50,6 +50,12 @@ def hydrated(ranked: DataFrame, rows: DataFrame, keep: tuple[str, ...]) -> DataF
     return ranked.join(rows.select("id", *keep), "id")
 
 
+def by_rank(hits: DataFrame, rows: DataFrame, within: Column | None = None) -> DataFrame:
+    """Rows for a ranked id list of an outside index (id, rank), in its order: the predicates are applied again and ids that are gone drop out."""
+    found = hits.join(rows if within is None else rows.where(within), "id")
+    return found.withColumn("place", F.row_number().over(W.orderBy("rank", "id")))  # a list of at most a query's limit
+
+
 def similar_batch(rows: DataFrame, queries: list[Query], k: int, least: float = LEAST_SIMILARITY) -> DataFrame:
     """(qid, id, cosine, rank) of the k nearest rows of each query, exact, one matrix product a batch of rows.
 

@@ -184,6 +184,17 @@ def vector_topk_batch(v):
     return retrieval.similar_batch(v.memory, queries, 10, -2.0).select("qid", "id", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("SELECT id, row_number() OVER (ORDER BY rank, id) AS place, content FROM memory JOIN (VALUES (5, 2), (1, 1), (999999999, 3), (11, 4), (2, 5)) h(hid, rank) ON hid = id WHERE agent_id = 'agent1'")
+def remote_hits(v):
+    hits = v.spark.createDataFrame([(5, 2), (1, 1), (999999999, 3), (11, 4), (2, 5)], "id long, rank int")
+    return retrieval.by_rank(hits, v.memory, visible("agent1")).select("id", F.col("place").cast("long").alias("place"), "content")
+
+
+@query("SELECT id FROM memory WHERE embedding IS NOT NULL ORDER BY id LIMIT 200")
+def calibration_sample(v):
+    return calibrate.sample(v.memory).select("id")
+
+
 # ---- lexical --------------------------------------------------------------------
 
 TEXTS = {1: ("the and attion", 7), 2: ("der und einung", 12), 3: ("que la mente con", 20)}
