@@ -61,8 +61,12 @@ def phrases(query: str) -> list[str]:
 
 def occurrences(low: Column, phrase: str) -> Column:
     """How often a phrase occurs in a lower-cased text, overlaps included."""
-    quoted = re.sub(r"([\\^$.|?*+()\[\]{}])", r"\\\1", phrase.lower())
-    return F.regexp_count(low, F.lit(f"(?={quoted})"))
+    own = phrase.lower()
+    if any(own[:k] == own[-k:] for k in range(1, len(own))):  # occurrences may overlap
+        quoted = re.sub(r"([\\^$.|?*+()\[\]{}])", r"\\\1", own)
+        return F.regexp_count(low, F.lit(f"(?={quoted})"))
+    gone = F.length(low) - F.length(F.replace(low, F.lit(own), F.lit("")))
+    return (gone / len(own)).cast("int")
 
 
 def excluded(c: Column, texts: list[str]) -> Column:
@@ -111,33 +115,39 @@ TYPE_WORDS = {"user": "User", "agent": "Agent", "system": "System", "assistant":
 BARE_WORDS = {"user": "User", "assistant": "Agent", "ai": "Agent"}
 
 
-def _told(words: dict[str, str], c: Column) -> Column:
-    key = F.lower(stripped(c))
-    return F.coalesce(*[F.when(key == w, F.lit(t)) for w, t in words.items()])
+def bound(value: Column, fn) -> Column:
+    """fn(value), where fn's expression may use the value many times while it is computed once."""
+    return F.transform(F.array(value), lambda x: fn(x))[0]
+
+
+def _told(words: dict[str, str], key: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in words.items() for x in pair]), F.lower(stripped(key)))
 
 
 def normalised_source(c: Column) -> Column:
     """Struct (type, id, name, mapped) of a JSON source; mapped says that a known legacy shape was rewritten. Unknown shapes have a null type."""
-    v = F.try_parse_json(c)
-    shape = F.schema_of_variant(v)
-    is_object = F.startswith(shape, F.lit("OBJECT"))
     keys = F.json_object_keys(c)
-    text = lambda path: F.try_variant_get(v, path, "string")
-    kind = F.when(F.schema_of_variant(F.try_variant_get(v, "$.type", "variant")) == "STRING", text("$.type"))
-    no_type = is_object & (F.schema_of_variant(F.try_variant_get(v, "$.type", "variant")).isNull() | (F.schema_of_variant(F.try_variant_get(v, "$.type", "variant")) == "VOID"))
-    bare = F.when(shape == "STRING", _told(BARE_WORDS, text("$")))
+
+    def facts(v: Column) -> Column:
+        text = lambda path: F.try_variant_get(v, path, "string")
+        shape = lambda path: F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+        inner = [F.struct(shape(f"$.{t}").alias("shape"), text(f"$.{t}").alias("text"), text(f"$.{t}.id").alias("id"), text(f"$.{t}.name").alias("name")).alias(t) for t in TYPES]
+        sole = F.when(F.size(keys) == 1, F.element_at(keys, 1))
+        return F.struct(F.schema_of_variant(v).alias("shape"), shape("$.type").alias("kind"), _told(BARE_WORDS, text("$")).alias("bare"), text("$.type").alias("type"), _told(TYPE_WORDS, text("$.type")).alias("word"), text("$.id").alias("id"), text("$.name").alias("name"), sole.alias("sole"), *inner)
 
     def struct(t, i, n, mapped):
         return F.struct(t.alias("type"), i.alias("id"), n.alias("name"), F.lit(mapped).alias("mapped"))
 
-    empty = F.lit("")
-    out = F.when(bare.isNotNull(), struct(bare, empty, empty, True))
-    out = out.when(is_object & kind.isin(*TYPES), struct(kind, text("$.id"), text("$.name"), False))
-    out = out.when(is_object & _told(TYPE_WORDS, kind).isNotNull(), struct(_told(TYPE_WORDS, kind), text("$.id"), text("$.name"), True))
-    for t in TYPES:
-        inner = F.schema_of_variant(F.try_variant_get(v, f"$.{t}", "variant"))
-        alone = no_type & (F.size(keys) == 1) & (F.element_at(keys, 1) == t)
-        out = out.when(alone & (inner == "STRING"), struct(F.lit(t), text(f"$.{t}"), empty if t == "System" else text(f"$.{t}"), True))
-        out = out.when(alone & F.startswith(inner, F.lit("OBJECT")), struct(F.lit(t), F.coalesce(text(f"$.{t}.id"), empty), F.coalesce(text(f"$.{t}.name"), empty), True))
-    none = F.lit(None).cast("string")
-    return out.otherwise(struct(none, none, none, False))
+    def decided(f: Column) -> Column:
+        empty, none = F.lit(""), F.lit(None).cast("string")
+        is_object, typed = F.startswith(f["shape"], F.lit("OBJECT")), f["kind"] == "STRING"
+        out = F.when((f["shape"] == "STRING") & f["bare"].isNotNull(), struct(f["bare"], empty, empty, True))
+        out = out.when(is_object & typed & f["type"].isin(*TYPES), struct(f["type"], f["id"], f["name"], False))
+        out = out.when(is_object & typed & f["word"].isNotNull(), struct(f["word"], f["id"], f["name"], True))
+        for t in TYPES:
+            alone = is_object & F.coalesce(f["kind"] == "VOID", F.lit(True)) & (f["sole"] == t)
+            out = out.when(alone & (f[t]["shape"] == "STRING"), struct(F.lit(t), f[t]["text"], empty if t == "System" else f[t]["text"], True))
+            out = out.when(alone & F.startswith(f[t]["shape"], F.lit("OBJECT")), struct(F.lit(t), F.coalesce(f[t]["id"], empty), F.coalesce(f[t]["name"], empty), True))
+        return out.otherwise(struct(none, none, none, False))
+
+    return bound(bound(F.try_parse_json(c), facts), decided)

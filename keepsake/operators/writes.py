@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import MAX_CONTENT, json_valid, normalised_source, sanitised
+from ..functions.text import MAX_CONTENT, bound, json_valid, normalised_source, sanitised
 
 MAX_JSON, MAX_PROFILE = 8000, 2000
 EXACT = ("agent_id", "project_id", "channel")
@@ -18,8 +18,7 @@ EXACT = ("agent_id", "project_id", "channel")
 
 def prepared(incoming: DataFrame) -> DataFrame:
     """Incoming messages with cleaned content, canonical source and a verdict: rejected (why) or null. Needs a column `seq` for their order."""
-    source = normalised_source(F.col("source"))
-    canonical = F.when(source["mapped"], F.to_json(F.struct(source["type"].alias("type"), source["id"].alias("id"), source["name"].alias("name")))).otherwise(F.col("source"))
+    canonical = bound(normalised_source(F.col("source")), lambda s: F.when(s["mapped"], F.to_json(F.struct(s["type"].alias("type"), s["id"].alias("id"), s["name"].alias("name")))).otherwise(F.col("source")))
     out = incoming.withColumns({"source": F.coalesce(canonical, F.lit("{}")), "content": sanitised(F.col("content"), MAX_CONTENT)})
     why = F.when(F.coalesce("content", F.lit("")) == "", "empty content").when((F.length("source") > MAX_JSON) | (F.length(F.coalesce("metadata", F.lit("{}"))) > MAX_JSON), "oversized json")
     return out.withColumn("rejected", why)
