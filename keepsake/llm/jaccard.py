@@ -12,7 +12,11 @@ Two texts link when the Jaccard similarity of their sets of five-word shingles i
 3. The smallest class that holds a shingle is its pivot. Classes meet in the group
    of their pivot, which loses no pair: both classes of a pair hold a common
    shingle and so meet at its pivot. Large groups are dealt over blocks of bounded
-   size that all hold the pivot.
+   size that all hold the pivot. Before any set is fetched, groups of one block are
+   cut by parity bitmaps (each shingle flips one of about n bits): two bitmaps
+   differ in at most as many bits as the sets in shingles, and sets that link
+   differ in at most a ninth of their joint sizes. What stays connected by pairs
+   that pass becomes a smaller group; most classes have no such partner.
 4. In a block, members that link with the pivot are settled. The others probe a
    prefix tree: the block's sets, most common shingle first, so that overlaps
    along shared beginnings are counted once. A subtree goes when what the
@@ -32,6 +36,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_right
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import U64, arrow_schema, components, grouped, map_slices, rolling, rows_out, sequence_hash, shared_path, slices, stored, word_hashes
+from .common import U64, arrow_schema, components, grouped, map_slices, rolling, rows_out, sequence_hash, slices, stored, word_hashes
 
 WORDS = 5
 #: Counters of the sketch that orders shingles, and the rows they are merged in.
@@ -74,6 +79,32 @@ def prefix(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return s[np.lexsort((s, counts[cells(s)]))[: n - (4 * n + 4) // 5 + 1]]
 
 
+def parity(s: np.ndarray) -> bytes:
+    """A bitmap of at least 64 and at least len(s) bits, in which each shingle flips the bit its low bits name."""
+    bits = max(64, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def plausible(n: list[int], bitmaps: list[bytes]) -> list[int]:
+    """For each set the smallest member it is connected with by pairs that sizes and bitmaps allow to link."""
+    joined, sizes = Joined(len(n)), np.array(n)
+    by: dict[int, tuple] = {}
+    for length in {len(b) for b in bitmaps}:
+        members = np.array([i for i, b in enumerate(bitmaps) if len(b) == length])
+        by[length] = (members, np.stack([np.frombuffer(bitmaps[i], U64) for i in members]))
+    for length, (members, table) in by.items():
+        for at, i in enumerate(members.tolist()):
+            for other in (length, length // 2):
+                if other in by:
+                    theirs, there = by[other]
+                    own = table[at] if other == length else table[at][: other // 8] ^ table[at][other // 8 :]
+                    ok = (5 * np.minimum(sizes[theirs], sizes[i]) >= 4 * np.maximum(sizes[theirs], sizes[i])) & (9 * np.bitwise_count(there ^ own).sum(1, dtype=np.int64) <= sizes[theirs] + sizes[i])
+                    for j in theirs[ok].tolist():
+                        joined.join(i, j)
+    return [joined.find(i) for i in range(len(n))]
+
+
 class Tree:
     """Prefix tree over sorted rank arrays; `size` has the full sizes of the sets they stand for."""
 
@@ -182,8 +213,8 @@ def block_links(ids: list[int], sets: list[np.ndarray], near: list[float], probi
 
 
 def signatures(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, np.ndarray]:
-    """(key, n, s1, s2) a row, and the sketch's counts over all shingles."""
-    spec = "key long, n long, s1 long, s2 long, part int, counts binary"
+    """(key, n, s1, s2, bits) a row, and the sketch's counts over all shingles."""
+    spec = "key long, n long, s1 long, s2 long, bits binary, part int, counts binary"
     schema = arrow_schema(spec)
 
     def run(batches):
@@ -192,15 +223,15 @@ def signatures(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, np.ndar
             out, seen = [], []
             for t in piece.column(1).to_pylist():
                 s = shingles(t or b"")
-                out.append((len(s), *(set_id(s) if len(s) else (0, 0))))
+                out.append((len(s), *set_id(s), parity(s)) if len(s) else (0, 0, 0, b""))
                 seen.append(s)
             total += np.bincount(cells(np.concatenate(seen)), minlength=CELLS).astype(np.uint32)
-            n, a, b = zip(*out)
-            yield rows_out(schema, [piece.column(0), n, a, b, [None] * len(n), [None] * len(n)])
+            n, a, b, bits = zip(*out)
+            yield rows_out(schema, [piece.column(0), n, a, b, bits, [None] * len(n), [None] * len(n)])
         used = [(p, zlib.compress(x.tobytes(), 1)) for p, x in enumerate(np.split(total, PARTS)) if x.any()]
         if used:
             none = [None] * len(used)
-            yield rows_out(schema, [none, none, none, none, [p for p, _ in used], [x for _, x in used]])
+            yield rows_out(schema, [none, none, none, none, none, [p for p, _ in used], [x for _, x in used]])
 
     slim = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"))
     table = stored(slim.mapInArrow(run, spec), "jaccard-sets")
@@ -213,7 +244,7 @@ def signatures(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, np.ndar
     counts = np.zeros((PARTS, CELLS // PARTS), np.uint64)
     for r in grouped(table.where("part is not null").select("part", "counts"), ["part"], add, "part int, counts binary").collect():  # PARTS rows of fixed size
         counts[r.part] = np.frombuffer(r.counts, np.uint64)
-    return table.where("part is null").select("key", "n", "s1", "s2"), counts.reshape(-1)
+    return table.where("part is null").select("key", "n", "s1", "s2", "bits"), counts.reshape(-1)
 
 
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -222,6 +253,7 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     kind = docs.schema[key].dataType.simpleString()
     sets, counts = signatures(docs, key, text)
     classes = sets.where("n > 0 and key is not null").groupBy("s1", "s2").agg(F.min("key").alias("rep"), F.max("n").alias("n"))
+    sole = sets.where("n > 3").join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).where("key = rep").select("rep", "bits")  # twice for repeated rows
     order = spark.sparkContext.broadcast(counts)  # CELLS numbers, whatever the input
     slim = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).cast("binary").alias("text"))
 
@@ -251,32 +283,53 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     held = slim.mapInArrow(prefixes, spec)
     held = held.withColumns({"u": F.min("s1").over(by), "v": F.max("s1").over(by), "x": F.min("s2").over(by), "y": F.max("s2").over(by)}).where("u <> v or x <> y")
     held = stored(held.join(classes, ["s1", "s2"]).select("token", "rep", "n", "s1", "s2").distinct(), "jaccard-prefixes")
-    wanted = held.select("rep", "s1", "s2").distinct()
+    pivots = held.groupBy("token").agg(F.min("rep").alias("pivot"))
+    members = held.join(pivots, "token").select("pivot", "rep", "n").distinct()
+    blocks = members.groupBy("pivot").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_CLASSES)).cast("int").alias("blocks"))
+    members = stored(members.join(blocks, "pivot"), "jaccard-members")
+
+    spec_cut = "pivot long, rep long, n long"
+
+    def cut(rows: pa.Table):
+        ids, n, bitmaps = rows.column("rep").to_pylist(), rows.column("n").to_pylist(), rows.column("bits").to_pylist()
+        at = list({i: k for k, i in enumerate(ids)}.values())
+        ids, n, bitmaps = ([x[k] for k in at] for x in (ids, n, bitmaps))
+        roots = plausible(n, bitmaps)
+        least: dict[int, int] = {}
+        for i, r in zip(ids, roots):
+            least[r] = min(i, least.get(r, i))
+        many = Counter(roots)
+        out = [(least[r], i, k) for i, r, k in zip(ids, roots, n) if many[r] > 1]
+        if out:
+            yield rows_out(arrow_schema(spec_cut), list(zip(*out)))
+
+    small = members.where("blocks = 1").join(sole, "rep").select("pivot", "rep", "n", "bits")
+    small = grouped(small, ["pivot"], cut, spec_cut).distinct()
+    blocks = small.groupBy("pivot").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_CLASSES)).cast("int").alias("blocks"))
+    # a pivot may name a large group and a smaller one that was cut from another: told apart by `kind`
+    members = stored(small.join(blocks, "pivot").select("pivot", "rep", "blocks", F.lit(0).alias("kind")).union(members.where("blocks > 1").select("pivot", "rep", "blocks", F.lit(1).alias("kind"))), "jaccard-groups")
 
-    spec_sets = "key long, s1 long, s2 long, shingles binary"
+    wanted = members.select("rep").distinct().join(classes.select("rep", "s1", "s2"), "rep").withColumnRenamed("rep", "key")
+    spec_sets = "rep long, shingles binary"
     schema_sets = arrow_schema(spec_sets)
 
     def whole(batch: pa.RecordBatch):
         found = [shingles(t or b"") for t in batch.column(1).to_pylist()]
-        a, b = zip(*map(set_id, found))
-        return rows_out(schema_sets, [batch.column(0), a, b, [s.tobytes() for s in found]])
+        out = [(k, s.tobytes()) for k, s, a, b in zip(batch.column(0).to_pylist(), found, batch.column(2).to_pylist(), batch.column(3).to_pylist()) if len(s) and set_id(s) == (a, b)]
+        if out:
+            yield rows_out(schema_sets, list(zip(*out)))
 
-    some = slim.join(wanted.select(F.col("rep").alias("key")).distinct(), "key", "left_semi")
-    full = map_slices(some, whole, spec_sets, text=1).join(wanted.withColumnRenamed("rep", "key"), ["key", "s1", "s2"]).select(F.col("key").alias("rep"), "shingles").dropDuplicates(["rep"])
-    full = stored(full, "jaccard-full")
+    full = stored(map_slices(slim.join(wanted, "key").select("key", "text", "s1", "s2"), whole, spec_sets, text=1), "jaccard-full")
 
-    pivots = held.groupBy("token").agg(F.min("rep").alias("pivot"))
-    members = held.join(pivots, "token").select("pivot", "rep", "n").distinct()
-    blocks = members.groupBy("pivot").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_CLASSES)).cast("int").alias("blocks"))
-    members = stored(members.join(blocks, "pivot"), "jaccard-members")
     own = members.where("rep <> pivot").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     lead = members.where("rep = pivot").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spec_out = "a long, b long, pivot long, block int, blocks int, near double"
+    spec_out = "a long, b long, kind int, pivot long, block int, blocks int, near double"
     schema_out = arrow_schema(spec_out)
 
     def first(rows: pa.Table):
-        ids, pivot = rows.column("rep").to_pylist(), rows.column("pivot")[0].as_py()
-        found = [np.frombuffer(x, U64) for x in rows.column("shingles").to_pylist()]
+        pivot, kind = rows.column("pivot")[0].as_py(), rows.column("kind")[0].as_py()
+        each = dict(zip(rows.column("rep").to_pylist(), rows.column("shingles").to_pylist()))
+        ids, found = list(each), [np.frombuffer(x, U64) for x in each.values()]
         p = found[ids.index(pivot)]
         out, near, settled = [], [], []
         for i, s in enumerate(found):
@@ -287,35 +340,36 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         done = set(settled)
         loose = [i for i in range(len(ids)) if i not in done]
         block, blocks = rows.column("block")[0].as_py(), rows.column("blocks")[0].as_py()
-        out += [(ids[i], pivot, pivot, block, blocks, near[i]) for i in settled if ids[i] != pivot]
-        out += [(a, b, pivot, block, blocks, None) for a, b in block_links(ids, found, near, loose, settled)]
+        out += [(ids[i], pivot, kind, pivot, block, blocks, near[i]) for i in settled if ids[i] != pivot]
+        out += [(a, b, kind, pivot, block, blocks, None) for a, b in block_links(ids, found, near, loose, settled)]
         if blocks > 1:  # its loose members are to probe the other blocks
-            out += [(ids[i], None, pivot, block, blocks, near[i]) for i in loose]
+            out += [(ids[i], None, kind, pivot, block, blocks, near[i]) for i in loose]
         if out:
             yield rows_out(schema_out, list(zip(*out)))
 
-    cols = ["pivot", "rep", "block", "blocks", "shingles"]
-    dealt = own.select("pivot", "rep", "block", "blocks").union(lead.select("pivot", "rep", "block", "blocks")).join(full, "rep").select(*cols)
-    found = stored(grouped(dealt, ["pivot", "block"], first, spec_out), "jaccard-links")
+    cols = ["kind", "pivot", "rep", "block", "blocks"]
+    dealt = own.select(*cols).union(lead.select(*cols)).join(full, "rep").select(*cols, "shingles")
+    found = stored(grouped(dealt, ["kind", "pivot", "block"], first, spec_out), "jaccard-links")
     edges = found.where("b is not null").select("a", "b")
 
-    loose = found.where("b is null").select(F.col("a").alias("rep"), "pivot", "block", "blocks", "near")
+    loose = found.where("b is null").select("kind", "pivot", F.col("a").alias("rep"), "block", "blocks", "near")
     if not loose.isEmpty():
-        far = loose.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to <> block").select("pivot", "rep", F.col("to").alias("block"), "near", F.lit(True).alias("probe"))
-        told = found.where("b = pivot and near is not null").select("pivot", F.col("a").alias("rep"), "block", "near").union(loose.select("pivot", "rep", "block", "near"))
-        there = told.join(far.select("pivot", "block").distinct(), ["pivot", "block"], "left_semi").select("pivot", "rep", "block", "near", F.lit(False).alias("probe"))
-        meeting = far.union(there).join(full, "rep").select("pivot", "rep", "block", "near", "probe", "shingles")
+        at = ["kind", "pivot", "block"]
+        far = loose.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to <> block").select("kind", "pivot", F.col("to").alias("block"), "rep", "near", F.lit(True).alias("probe"))
+        told = found.where("b = pivot and near is not null").select(*at, F.col("a").alias("rep"), "near").union(loose.select(*at, "rep", "near"))
+        there = told.join(far.select(*at).distinct(), at, "left_semi").select(*at, "rep", "near", F.lit(False).alias("probe"))
+        meeting = far.union(there).join(full, "rep").select(*at, "rep", "near", "probe", "shingles")
 
         def second(rows: pa.Table):
-            ids, near, probe = rows.column("rep").to_pylist(), rows.column("near").to_pylist(), rows.column("probe").to_pylist()
-            sets_ = [np.frombuffer(x, U64) for x in rows.column("shingles").to_pylist()]
-            got = block_links(ids, sets_, near, [i for i, x in enumerate(probe) if x], [i for i, x in enumerate(near) if not probe[i] and x >= 0.8])
+            each = {i: x for i, *x in zip(*(rows.column(c).to_pylist() for c in ("rep", "near", "probe", "shingles")))}
+            ids, (near, probe, found_) = list(each), zip(*each.values())
+            got = block_links(ids, [np.frombuffer(x, U64) for x in found_], near, [i for i, x in enumerate(probe) if x], [i for i, x in enumerate(near) if not probe[i] and x >= 0.8])
             if got:
                 yield rows_out(arrow_schema("a long, b long"), list(zip(*got)))
 
-        edges = edges.union(stored(grouped(meeting, ["pivot", "block"], second, "a long, b long"), "jaccard-far"))
+        edges = edges.union(stored(grouped(meeting, at, second, "a long, b long"), "jaccard-far"))
 
     roots = components(edges, "jaccard")
     named = classes.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", F.coalesce("root", "rep").alias("root"))
-    out = sets.join(named, ["s1", "s2"], "left").select("key", F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("root", "key")).alias("component_id"))
+    out = sets.drop("bits").join(named, ["s1", "s2"], "left").select("key", F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("root", "key")).alias("component_id"))
     return out.select(F.col("key").cast(kind).alias(key), "n_shingles", F.col("component_id").cast(kind))
