@@ -26,7 +26,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: that with the smallest doc_id."""
+    """Keeps one document of each group: that with the smallest doc_id. Rows of one doc_id are one document and stay or go together."""
     groups = jaccard.near_groups(docs)
     copies = groups.where("doc_id <> component_id").select("doc_id").distinct()
     # rows without an id take part in no group and stay
