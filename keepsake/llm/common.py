@@ -140,12 +140,13 @@ def sequence_hash(h: np.ndarray) -> int:
     return int(mix(np.array([x], U64))[0])
 
 
-def grouped(df: DataFrame, keys: list[str], fn: Callable, schema: str) -> DataFrame:
+def grouped(df: DataFrame, keys: list[str], fn: Callable, schema: str, partitions: int | None = None) -> DataFrame:
     """fn(rows) for every group of rows with equal keys, as columns of numpy arrays or lists by name.
 
     Partitions are sorted by the keys and read as a stream; unlike a grouped map
     there is no call from the JVM per group, which matters with very many small
-    ones. The caller bounds the groups. fn yields record batches.
+    ones. The caller bounds the groups. fn yields record batches. `partitions`
+    fixes their number where the rows' size says little of the work they cause.
     """
     names = df.columns
 
@@ -167,7 +168,7 @@ def grouped(df: DataFrame, keys: list[str], fn: Callable, schema: str) -> DataFr
         if held:
             yield from fn(pa.Table.from_batches(held))
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).select(*names).mapInArrow(run, schema)
+    return (df.repartition(partitions, *keys) if partitions else df.repartition(*keys)).sortWithinPartitions(*keys).select(*names).mapInArrow(run, schema)
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

@@ -35,8 +35,9 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, grouped, rows_out, shared_path, slices
 
-#: An archive is closed beyond so many bytes; a read spans at most READ bytes and skips at most GAP; a stretch is read by one task.
-ARCHIVE, READ, GAP, STRETCH = 256 << 20, 4 << 20, 64 << 10, 32 << 20
+#: An archive is closed beyond so many bytes; a read spans at most READ bytes and skips at most GAP; a stretch is read by one task,
+#: and a task reads about TASK bytes where there is work for more tasks than there are shuffle partitions.
+ARCHIVE, READ, GAP, STRETCH, TASK = 256 << 20, 4 << 20, 64 << 10, 8 << 20, 256 << 20
 INDEX = "page_id long, url string, file string, offset long, length long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 _DATE = "2024-01-01T00:00:00Z"
@@ -124,6 +125,9 @@ def read(folder: str, index: DataFrame, payloads: bool = True) -> DataFrame:
     """The records that index rows name, from the archives; revisits have a null payload. With payloads=False it isn't returned."""
     wanted = index.select("file", (F.col("offset") / STRETCH).cast("long").alias("stretch"), "offset", "length")
     schema = arrow_schema(RECORDS)
+    # index rows are small and what they point at isn't: the number of tasks follows the bytes to read
+    total = index.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, min(-(-total // STRETCH), max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK))))
 
     def run(rows: pa.Table):
         system, root = fs.FileSystem.from_uri(folder)
@@ -151,4 +155,4 @@ def read(folder: str, index: DataFrame, payloads: bool = True) -> DataFrame:
                 yield rows_out(schema, list(zip(*out)))
                 at = end
 
-    return grouped(wanted, ["file", "stretch"], run, RECORDS)
+    return grouped(wanted, ["file", "stretch"], run, RECORDS, tasks)
