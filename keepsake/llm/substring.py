@@ -12,8 +12,9 @@ the input. Exact, in two passes around a count-min sketch:
    at least the number of documents that hold any of its windows, so a window that
    two documents share is never lost; one that isn't shared passes now and then.
 2. The windows estimated to occur in two documents or more are grouped exactly,
-   by 128 bits of hash, partial aggregates first. A window's smallest key is joined
-   back (a join that Spark may split where it is skewed), and what is covered goes.
+   by 128 bits of hash, in one shuffle. Those estimated in HOT documents or more are
+   dealt over SALTS parts each; their smallest key, aggregated before it is
+   shuffled, is sent to every part. What is covered goes.
 
 Documents with the same words throughout are settled by their digest before: all
 but the one with the smallest key lose every word if they have a whole window.
@@ -31,12 +32,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import U64, arrow_schema, grouped, map_slices, rolling, rows_out, stored, word_hashes
 
 WINDOW, GRAM = 50, 25
 #: Cells of the sketch a minimiser, and bits of a block that is merged at once.
 LOAD, BLOCK = 8, 20
+#: Count at which a sketch's cells stop; windows that reach it are taken to be frequent.
+HOT = 255
+#: Parts that a frequent window's documents are dealt over; no more than HOT, so that parts add no more rows than there are.
+SALTS = 255
 _SCHEMA_SEEN = pa.schema([("key", pa.int64()), ("n_words", pa.int64()), ("words_sha256", pa.string()), ("minimisers", pa.list_(pa.int64()))])
 
 
@@ -54,8 +60,8 @@ def minimisers(h: np.ndarray) -> np.ndarray:
 
 
 def sketches(seen: DataFrame, bits: int) -> DataFrame:
-    """(line, cell) of the cells that two documents or more hit, after merging the tasks' sketches."""
-    spec = "line int, block long, cells binary, counts binary"
+    """(line, cell, hot) of the cells that two documents or more hit, after merging the tasks' sketches."""
+    spec, cells_spec = "line int, block long, cells binary, counts binary", "line int, cell long, hot boolean"
     schema = arrow_schema(spec)
     low = min(bits, BLOCK)
 
@@ -67,7 +73,7 @@ def sketches(seen: DataFrame, bits: int) -> DataFrame:
                 cells, counts = np.unique(np.concatenate(held[line]), return_counts=True)
                 blocks, starts = np.unique(cells >> U64(low), return_index=True)
                 for b, x, n in zip(blocks.tolist(), np.split(cells, starts[1:]), np.split(counts, starts[1:])):
-                    yield line, b, (x & U64((1 << low) - 1)).astype(np.uint32).tobytes(), np.minimum(n, 2).astype(np.uint8).tobytes()
+                    yield line, b, (x & U64((1 << low) - 1)).astype(np.uint32).tobytes(), np.minimum(n, HOT).astype(np.uint8).tobytes()
                 held[line].clear()
 
         for batch in batches:
@@ -86,11 +92,11 @@ def sketches(seen: DataFrame, bits: int) -> DataFrame:
         total = np.zeros(1 << low, np.uint8)
         for x, n in zip(rows.column("cells").to_pylist(), rows.column("counts").to_pylist()):
             at = np.frombuffer(x, np.uint32)
-            total[at] = np.minimum(total[at] + np.frombuffer(n, np.uint8), 2)
-        cells = np.flatnonzero(total > 1) + (rows.column("block")[0].as_py() << low)
-        yield rows_out(arrow_schema("line int, cell long"), [np.full(len(cells), rows.column("line")[0].as_py(), np.int32), cells])
+            total[at] = np.minimum(total[at].astype(np.uint16) + np.frombuffer(n, np.uint8), HOT)
+        at = np.flatnonzero(total > 1)
+        yield rows_out(arrow_schema(cells_spec), [np.full(len(at), rows.column("line")[0].as_py(), np.int32), at + (rows.column("block")[0].as_py() << low), total[at] >= HOT])
 
-    return grouped(seen.select("minimisers").mapInArrow(own, spec), ["line", "block"], merge, "line int, cell long")
+    return grouped(seen.select("minimisers").mapInArrow(own, spec), ["line", "block"], merge, cells_spec)
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -121,27 +127,34 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     bits = min(60, max(10, (LOAD * many).bit_length()))
     often = stored(sketches(sole, bits), "substring-cells")
 
-    places = sole.select("key", F.explode("minimisers").alias("m"))
+    places = sole.select("key", F.explode("minimisers").alias("m"), F.lit(True).alias("often"))
     for line, cell in ((0, F.col("m").bitwiseAND((1 << bits) - 1)), (1, F.shiftrightunsigned("m", 64 - bits))):
-        places = places.withColumn("cell", cell).join(often.where(F.col("line") == line).select("cell"), "cell", "left_semi").drop("cell")
-    hits = places.groupBy("key").agg(F.collect_list("m").alias("hits"))
+        places = places.withColumn("cell", cell).join(often.where(F.col("line") == line).select("cell", "hot"), "cell").select("key", "m", (F.col("often") & F.col("hot")).alias("often"))
+    hits = places.groupBy("key").agg(F.collect_list(F.when(~F.col("often"), F.col("m"))).alias("some"), F.collect_list(F.when(F.col("often"), F.col("m"))).alias("many"))
     found = stored(slim.join(hits, "key").dropDuplicates(["key"]), "substring-candidates")
 
-    spec = "key long, w1 long, w2 long, start int"
+    spec = "key long, w1 long, w2 long, start int, often boolean"
     schema = arrow_schema(spec)
 
     def windows(batch: pa.RecordBatch):
-        for k, t, m in zip(*(c.to_pylist() for c in batch.columns)):
+        for k, t, some, many in zip(*(c.to_pylist() for c in batch.columns)):
             words = t.split()
             h = word_hashes(words)
-            at = np.flatnonzero(np.isin(minimisers(h), np.array(m, np.int64).view(U64)))
+            least = minimisers(h)
+            often = np.isin(least, np.array(many, np.int64).view(U64))
+            at = np.flatnonzero(often | np.isin(least, np.array(some, np.int64).view(U64)))
             if len(at):
                 two = rolling(word_hashes(words, 1), WINDOW)[at].view(np.int64)
-                yield rows_out(schema, [np.full(len(at), k, np.int64), rolling(h, WINDOW)[at].view(np.int64), two, at.astype(np.int32)])
-
-    all_windows = map_slices(found.select("key", "text", "hits"), windows, spec, text=1)
-    firsts = all_windows.groupBy("w1", "w2").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").drop("last")
-    gone = all_windows.join(firsts, ["w1", "w2"]).where("key > first").groupBy("key").agg(F.collect_list("start").alias("starts"))
+                yield rows_out(schema, [np.full(len(at), k, np.int64), rolling(h, WINDOW)[at].view(np.int64), two, at.astype(np.int32), often[at]])
+
+    held = map_slices(found.select("key", "text", "some", "many"), windows, spec, text=1)
+    salt = F.when(F.col("often"), F.pmod(F.xxhash64("key"), F.lit(SALTS))).otherwise(0).cast("int")
+    rows = held.select("w1", "w2", salt.alias("salt"), "key", "start", F.col("key").alias("first"))
+    least = held.where("often").groupBy("w1", "w2").agg(F.min("key").alias("first"))
+    none = F.lit(None)
+    least = least.select("w1", "w2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), none.cast("long").alias("key"), none.cast("int").alias("start"), "first")
+    told = rows.union(least).withColumn("first", F.min("first").over(W.partitionBy("w1", "w2", "salt")))
+    gone = told.where("key > first").groupBy("key").agg(F.collect_list("start").alias("starts"))
 
     def cut(batch: pa.RecordBatch):
         removed, kept = [], []

@@ -99,6 +99,15 @@ def test_op3(spark, sf_dir, rows):
     same(run(spark, sf_dir, "op3_substring"), want)
 
 
+def test_op3_frequent_windows(spark, sf_dir, rows, monkeypatch):
+    """Windows that count as frequent are dealt over parts, with the same rows."""
+    from keepsake.llm import substring
+
+    monkeypatch.setattr(substring, "HOT", 3)
+    monkeypatch.setattr(substring, "SALTS", 3)
+    same(run(spark, sf_dir, "op3_substring"), list(removed(rows)))
+
+
 def test_op4(spark, sf_dir, rows):
     got = run(spark, sf_dir, "op4_quality")
     same([{"doc_id": r["doc_id"], "held_out": r["held_out"]} for r in got], [{"doc_id": i, "held_out": crc(i) % 5 == 0} for i, *_ in rows])
