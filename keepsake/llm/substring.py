@@ -12,9 +12,10 @@ the input. Exact, in two passes around a count-min sketch:
    at least the number of documents that hold any of its windows, so a window that
    two documents share is never lost; one that isn't shared passes now and then.
 2. The windows estimated to occur in two documents or more are grouped exactly,
-   by 128 bits of hash, in one shuffle. Those estimated in HOT documents or more are
-   dealt over SALTS parts each; their smallest key, aggregated before it is
-   shuffled, is sent to every part. What is covered goes.
+   by 128 bits of hash. Those estimated in fewer than HOT documents meet in groups
+   that are smaller than that, in one shuffle. The others are aggregated before
+   they are shuffled, and their smallest key is joined back (a join that Spark may
+   split where it is skewed). What is covered goes.
 
 Documents with the same words throughout are settled by their digest before: all
 but the one with the smallest key lose every word if they have a whole window.
@@ -41,8 +42,6 @@ WINDOW, GRAM = 50, 25
 LOAD, BLOCK = 8, 20
 #: Count at which a sketch's cells stop; windows that reach it are taken to be frequent.
 HOT = 255
-#: Parts that a frequent window's documents are dealt over; no more than HOT, so that parts add no more rows than there are.
-SALTS = 255
 _SCHEMA_SEEN = pa.schema([("key", pa.int64()), ("n_words", pa.int64()), ("words_sha256", pa.string()), ("minimisers", pa.list_(pa.int64()))])
 
 
@@ -133,28 +132,23 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     hits = places.groupBy("key").agg(F.collect_list(F.when(~F.col("often"), F.col("m"))).alias("some"), F.collect_list(F.when(F.col("often"), F.col("m"))).alias("many"))
     found = stored(slim.join(hits, "key").dropDuplicates(["key"]), "substring-candidates")
 
-    spec = "key long, w1 long, w2 long, start int, often boolean"
+    spec = "key long, w1 long, w2 long, start int"
     schema = arrow_schema(spec)
 
     def windows(batch: pa.RecordBatch):
-        for k, t, some, many in zip(*(c.to_pylist() for c in batch.columns)):
+        for k, t, m in zip(*(c.to_pylist() for c in batch.columns)):
             words = t.split()
             h = word_hashes(words)
-            least = minimisers(h)
-            often = np.isin(least, np.array(many, np.int64).view(U64))
-            at = np.flatnonzero(often | np.isin(least, np.array(some, np.int64).view(U64)))
+            at = np.flatnonzero(np.isin(minimisers(h), np.array(m, np.int64).view(U64)))
             if len(at):
                 two = rolling(word_hashes(words, 1), WINDOW)[at].view(np.int64)
-                yield rows_out(schema, [np.full(len(at), k, np.int64), rolling(h, WINDOW)[at].view(np.int64), two, at.astype(np.int32), often[at]])
-
-    held = map_slices(found.select("key", "text", "some", "many"), windows, spec, text=1)
-    salt = F.when(F.col("often"), F.pmod(F.xxhash64("key"), F.lit(SALTS))).otherwise(0).cast("int")
-    rows = held.select("w1", "w2", salt.alias("salt"), "key", "start", F.col("key").alias("first"))
-    least = held.where("often").groupBy("w1", "w2").agg(F.min("key").alias("first"))
-    none = F.lit(None)
-    least = least.select("w1", "w2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), none.cast("long").alias("key"), none.cast("int").alias("start"), "first")
-    told = rows.union(least).withColumn("first", F.min("first").over(W.partitionBy("w1", "w2", "salt")))
-    gone = told.where("key > first").groupBy("key").agg(F.collect_list("start").alias("starts"))
+                yield rows_out(schema, [np.full(len(at), k, np.int64), rolling(h, WINDOW)[at].view(np.int64), two, at.astype(np.int32)])
+
+    rare, frequent = (map_slices(found.where(F.size(c) > 0).select("key", "text", c), windows, spec, text=1) for c in ("some", "many"))
+    rare = rare.withColumn("first", F.min("key").over(W.partitionBy("w1", "w2")))
+    firsts = frequent.groupBy("w1", "w2").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").drop("last")
+    frequent = frequent.join(firsts, ["w1", "w2"])
+    gone = rare.select("key", "start", "first").union(frequent.select("key", "start", "first")).where("key > first").groupBy("key").agg(F.collect_list("start").alias("starts"))
 
     def cut(batch: pa.RecordBatch):
         removed, kept = [], []

@@ -100,11 +100,10 @@ def test_op3(spark, sf_dir, rows):
 
 
 def test_op3_frequent_windows(spark, sf_dir, rows, monkeypatch):
-    """Windows that count as frequent are dealt over parts, with the same rows."""
+    """Windows that count as frequent take the aggregated way, with the same rows."""
     from keepsake.llm import substring
 
     monkeypatch.setattr(substring, "HOT", 3)
-    monkeypatch.setattr(substring, "SALTS", 3)
     same(run(spark, sf_dir, "op3_substring"), list(removed(rows)))
 
 
