@@ -5,13 +5,14 @@ compared with the windows of n words of every document (documents shorter than
 that are one window). Both are weighted sets of five-word shingles: a shingle
 weighs the more the fewer items hold it, and counts as often as it occurs.
 
-1. Items get a 64-bit SimHash each. An index cuts fingerprints into eight blocks
-   of a byte; for each block and byte it lists the items whose byte differs in at
-   most one bit. A fingerprint within 15 bits of an item's differs from it in at
-   most one bit in some block, so looking up the eight bytes of a window's
-   fingerprint finds all items within that radius.
-2. Windows are fingerprinted where they hold a shingle of any item; others have
-   similarity 0 with all items.
+1. Items get a 64-bit SimHash each, from whole-number weights, so that sums are
+   exact and ties break alike in items and windows. An index cuts fingerprints into
+   eight blocks of a byte; for each block and byte it lists the items whose byte
+   differs in at most two bits. A fingerprint within 23 bits of an item's differs
+   from it in at most two bits in some block, so looking up the eight bytes of a
+   window's fingerprint finds all items within that radius.
+2. Windows are fingerprinted where shingles that some item holds make up 0.8 of
+   their weight; others are less similar than that to all items.
 3. Candidates are verified with the exact weighted Jaccard similarity, 0.8 or more.
 
 Each document is worked on alone: one Arrow pass, no shuffle. The items travel to
@@ -35,11 +36,16 @@ from pyspark.sql import functions as F
 
 from .common import U64, arrow_schema, map_slices, mix, rolling, rows_out, sequence_hash, word_hashes
 
-WORDS, SIMILARITY, RADIUS = 5, 0.8, 15
+WORDS, SIMILARITY, RADIUS = 5, 0.8, 23
+#: Bits that a byte may differ in: eight blocks of one bit more exceed the radius.
+BYTE_BITS = RADIUS // 8
+#: Units of a weight of 1 where fingerprints are summed; sums of many words stay exact.
+UNITS = 1 << 20
 BLOCK_BYTES = 16 << 20
 SCHEMA = "item_id long, start long, n_words long, similarity double"
 _PUNCTUATION = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
 _BITS = np.arange(64, dtype=U64)
+_NEAR = np.array([[b for b in range(256) if (a ^ b).bit_count() <= BYTE_BITS] for a in range(256)])
 
 
 def word_list(text: str) -> list[bytes]:
@@ -78,15 +84,13 @@ class Index:
         by_length = defaultdict(list)
         for at, n in enumerate(self.lengths):
             by_length[n].append(at)
-        near = [[b for b in range(256) if (a ^ b).bit_count() <= 1] for a in range(256)]
         for n, members in by_length.items():
             prints = np.array([self.fingerprint(np.array(list(self.sets[m].elements()), U64)) for m in members], U64)
-            table = [[[] for _ in range(256)] for _ in range(8)]
-            for at, p in enumerate(prints.tolist()):
-                for block in range(8):
-                    for b in near[p >> 8 * block & 255]:
-                        table[block][b].append(at)
-            self.groups[n] = (members, prints, table)
+            # places of items by block and byte, one list after the other
+            keys = np.concatenate([256 * block + _NEAR[(prints >> U64(8 * block) & U64(255)).astype(np.int64)] for block in range(8)], axis=1)
+            order = np.argsort(keys, axis=None, kind="stable")
+            ends = np.concatenate([[0], np.cumsum(np.bincount(keys.ravel(), minlength=2048))])
+            self.groups[n] = (members, prints, (order // keys.shape[1]).astype(np.int32), ends)
 
     def weight(self, df: int) -> float:
         return 1 + log((1 + self.count) / (1 + df))
@@ -95,9 +99,19 @@ class Index:
         at = np.minimum(np.searchsorted(self.known, s), len(self.known) - 1)
         return np.where(self.known[at] == s, self.weights[at], self.rare)
 
+    def signs(self, s: np.ndarray) -> np.ndarray:
+        """What each shingle adds to each bit's sum."""
+        units = np.rint(self.weigh(s) * UNITS).astype(np.int64)
+        return (((mix(s)[:, None] >> _BITS) & U64(1)).astype(np.int64) * 2 - 1) * units[:, None]
+
     def fingerprint(self, s: np.ndarray) -> int:
-        signs = ((mix(s)[:, None] >> _BITS) & U64(1)).astype(np.float64) * 2 - 1
-        return int(((self.weigh(s) @ signs) > 0).astype(U64) @ (U64(1) << _BITS))
+        return int((self.signs(s).sum(axis=0) > 0).astype(U64) @ (U64(1) << _BITS))
+
+    def near(self, group: tuple, p: int) -> list[int]:
+        """Items of a group within RADIUS of a fingerprint."""
+        members, prints, places, ends = group
+        found = np.unique(np.concatenate([places[ends[k] : ends[k + 1]] for k in (256 * block + (p >> 8 * block & 255) for block in range(8))]))
+        return [members[m] for m in found[np.bitwise_count(prints[found] ^ U64(p)) <= RADIUS].tolist()]
 
     def anchored(self, s: np.ndarray) -> np.ndarray:
         """Places of shingles that some item holds."""
@@ -121,13 +135,14 @@ class Index:
         anchors = self.anchored(s)
         if not len(anchors):
             return
+        known, weights = np.zeros(len(s)), self.weigh(s)
+        known[anchors] = weights[anchors]
+        of_known, of_all = (np.concatenate([[0.0], np.cumsum(w)]) for w in (known, weights))
         best: dict[int, tuple] = {}
-        for n, (members, prints, table) in self.groups.items():
+        for n, group in self.groups.items():
             wide = min(len(s), max(1, n - WORDS + 1))  # shingles of a window
-            near = np.zeros(len(s) + 1, np.int32)
-            np.add.at(near, np.maximum(anchors - wide + 1, 0), 1)
-            np.add.at(near, anchors + 1, -1)
-            starts = np.flatnonzero(np.cumsum(near)[: len(s) - wide + 1] > 0)
+            # what an item and a window share weighs no more than the window's known shingles
+            starts = np.flatnonzero((of_known[wide:] - of_known[:-wide]) >= (SIMILARITY - 1e-6) * (of_all[wide:] - of_all[:-wide]))
             for part in np.split(starts, range(4096, len(starts), 4096)):
                 if not len(part):
                     continue
@@ -138,17 +153,13 @@ class Index:
                     runs = [part]
                 for run in runs:
                     low, high = int(run[0]), int(run[-1]) + wide
-                    signs = ((mix(s[low:high])[:, None] >> _BITS) & U64(1)).astype(np.float64) * 2 - 1
-                    sums = np.concatenate([np.zeros((1, 64)), np.cumsum(signs * self.weigh(s[low:high])[:, None], axis=0)])
+                    sums = np.concatenate([np.zeros((1, 64), np.int64), np.cumsum(self.signs(s[low:high]), axis=0)])
                     own = ((sums[run - low + wide] - sums[run - low]) > 0).astype(U64) @ (U64(1) << _BITS)
                     for start, p in zip(run.tolist(), own.tolist()):
-                        found = {m for block in range(8) for m in table[block][p >> 8 * block & 255]}
-                        for m in found:
-                            if (p ^ int(prints[m])).bit_count() <= RADIUS:
-                                item = members[m]
-                                x = self.similarity(item, s[start : start + wide])
-                                if x >= SIMILARITY and (item not in best or x > best[item][3]):
-                                    best[item] = (self.ids[item], start, min(n, len(words)), x)
+                        for item in self.near(group, p):
+                            x = self.similarity(item, s[start : start + wide])
+                            if x >= SIMILARITY and (item not in best or x > best[item][3]):
+                                best[item] = (self.ids[item], start, min(n, len(words)), x)
         yield from (best[i] for i in sorted(best))
 
 

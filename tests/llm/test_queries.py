@@ -78,6 +78,26 @@ def test_op2_finds_what_all_windows_would(rows):
     assert wanted > 60 and found == wanted
 
 
+def test_op2_finds_edits_inside_items():
+    """Edits anywhere in an item, down to similarity 0.8, words of even numbers of equal weights among them."""
+    import random
+
+    rng = random.Random(3)
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(rng.randint(50, 59)))) for i in range(40)]
+    index = decontaminate.Index(items)
+    found = wanted = 0
+    for i, text in items * 10:
+        own = text.split()
+        own[rng.randrange(len(own))] = "other"
+        s = decontaminate.shingles([f"c{j}".encode() for j in range(20)] + [w.encode() for w in own] + [f"d{j}".encode() for j in range(20)])
+        wide = len(own) - 4
+        doc = " ".join([f"c{j}" for j in range(20)] + own + [f"d{j}" for j in range(20)])
+        x = max(index.similarity(i, s[a : a + wide]) for a in range(len(s) - wide + 1))
+        wanted += 0.8 <= x < 0.95
+        found += 0.8 <= x < 0.95 and i in {m[0] for m in index.matches(doc)}
+    assert wanted > 300 and found == wanted
+
+
 def removed(rows):
     first = {}
     windows = [[tuple(w[i : i + 50]) for i in range(len(w) - 49)] for w in ((t or "").encode().split() for _, t, *_ in rows)]
