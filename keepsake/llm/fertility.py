@@ -10,6 +10,10 @@ against a band for the script that most letters of the text belong to:
   token_entropy     entropy of the token distribution in bits, over the most that
                     so many tokens could have (log2 of their number, at most 9)
 
+The least characters a token are lowered by a quarter of the standard error of the
+text's own mean, which narrows with the root of the number of tokens. The entropy of
+few tokens is nearer to its most than that of many, and needs no such allowance.
+
 Beside the verdict come plain counts (symbols, repeated lines, words in repeated
 five-word windows), which a caller may use for a base rule. Null texts have no
 words. Rows are independent; repeated rows are all returned.
@@ -44,8 +48,8 @@ BANDS = {
     "other": (0.2, 8.0, 1.00, 0.30),
     "": (1.0, 8.0, 0.50, 0.50),
 }
-#: Texts of fewer tokens get wider bands.
-FEW_TOKENS = 300
+#: Standard errors by which a text's characters a token may fall short of the least of its band.
+SPREADS = 0.25
 SYMBOLS = "#*$%&|<>"
 WHITE = " \t\n\x0b\x0c\r"
 CACHE_WORDS = 300_000
@@ -62,6 +66,9 @@ class Yardstick:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.bytes = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
+        pieces = [self.model.id_to_piece(i) for i in range(len(self.bytes))]
+        #: Code points a token spells; of a code point's bytes the first has it.
+        self.chars = np.array([not 0x80 <= int(p[3:-1], 16) < 0xC0 if b else len(p.replace("\u2581", "")) for p, b in zip(pieces, self.bytes)], float)
         self.cache: dict[bytes, bytes] = {}
 
     def tokens(self, words: list[bytes]) -> np.ndarray:
@@ -111,17 +118,16 @@ def measure(text: str, yardstick: Yardstick) -> tuple:
     ids = yardstick.tokens(words)
     n = len(ids)
     chars = len(text) - sum(map(text.count, WHITE))
-    per_token = byte_share = entropy = 0.0
+    per_token = byte_share = entropy = chars_error = 0.0
     if n:
         per_token = chars / n
         byte_share = float(yardstick.bytes[ids].mean())
+        chars_error = float(yardstick.chars[ids].std()) / n**0.5
         counts = np.unique(ids, return_counts=True)[1] / n
         entropy = float(-(counts * np.log2(counts)).sum()) / min(9.0, log2(n)) if n > 1 else 0.0
     script = script_of(text)
     low, high, most_bytes, least_entropy = BANDS[script]
-    if n < FEW_TOKENS:  # the measures of short texts scatter
-        low, least_entropy = 0.7 * low, 0.8 * least_entropy
-    in_band = n > 0 and low <= per_token <= high and byte_share <= most_bytes and entropy >= least_entropy
+    in_band = n > 0 and low - SPREADS * chars_error <= per_token <= high and byte_share <= most_bytes and entropy >= least_entropy
     return len(words), chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words), n, per_token, byte_share, entropy, script, in_band
 
 

@@ -267,6 +267,24 @@ def test_op7_bands():
     assert fertility.script_of("Привет, мир") == "cyrillic" and fertility.script_of("日本") == "han" and fertility.script_of("12 ") == ""
 
 
+def test_op7_short_noise():
+    """Random letters and upper-case runs are out of band in short texts as in long ones."""
+    import random
+    import string
+
+    yardstick = fertility.load(tokenizer("piece_bpe_32k.model"))
+    rng, kept = random.Random(8), 0
+    for letters in (string.ascii_lowercase, string.ascii_uppercase):
+        for n in (30, 35, 40, 50, 60, 75, 90, 120, 150):
+            for _ in range(10):
+                text = " ".join("".join(rng.choices(letters, k=rng.randint(2, 10))) for _ in range(n))
+                kept += fertility.measure(text, yardstick)[-1]
+    assert kept <= 1  # of 180; about one of 1000 texts of 30 words comes near the band by chance
+    assert not fertility.measure("THE COMMITTEE WILL MEET ON THURSDAY XQJ ZKV WPT " * 6, yardstick)[-1]
+    text = "The café's 日本 menu 🙂"
+    assert yardstick.chars[yardstick.tokens(text.encode().split())].sum() == len("".join(text.split()))
+
+
 def test_op8(spark, sf_dir, rows):
     got = run(spark, sf_dir, "op8_langid")
     same([{k: r[k] for k in ("doc_id", "held_out")} for r in got], [{"doc_id": i, "held_out": crc(i) % 3 == 1} for i, *_ in rows])
