@@ -715,14 +715,14 @@ def timestamp_parse(v):
     return v.memory.select("id", instant(t).alias("seconds"), zone_class(t).alias("zone"))
 
 
-def _tasks(v):
+def _tasks(v, rows: str = "true"):
     at = utc_text(F.lit(NOW) - F.col("event_id") * 60, "yyyy-MM-dd HH:mm:ss")
-    return v.table("events").where("event_id < 200").select(F.col("event_id").alias("id"), F.col("event_type").alias("task_type"), (F.col("event_id") % 3).alias("retries"), at.alias("created_at"))
+    return v.table("events").where(rows).select(F.col("event_id").alias("id"), F.col("event_type").alias("task_type"), (F.col("event_id") % 3).alias("retries"), at.alias("created_at"))
 
 
 @query(_check("stale_pending_tasks", "warn", "event_id > 60", None, "(SELECT event_id FROM events WHERE event_id < 200) x"))
 def health_stale_pending_tasks(v):
-    return health.waiting_tasks(_tasks(v), NOW)
+    return health.waiting_tasks(_tasks(v, "event_id < 200"), NOW)
 
 
 @query("SELECT DISTINCT m.agent_id FROM memory m LEFT JOIN profile p ON p.agent_id = m.agent_id WHERE p.id IS NULL")
@@ -879,7 +879,7 @@ def counter_fold(v):
 def task_queue(v):
     from ..streaming import ingest
 
-    tasks = _tasks(v)
+    tasks = _tasks(v, "event_id < 200")
     return ingest.work(tasks, tasks.where("id % 5 = 0").select("id")).withColumn("turn", F.col("turn").cast("long"))
 
 
