@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 U64 = np.uint64
 #: Rows and text bytes of a slice handed to a worker function at once.
@@ -54,6 +55,14 @@ def bucket(col: Column, n: int) -> Column:
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % n, F.lit(0))
 
 
+def integer_key(df: DataFrame, key: str) -> str:
+    """The key column's type; keys of operators that compare or pack them are whole numbers."""
+    kind = df.schema[key].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"the key column {key} holds {kind.simpleString()}; whole numbers are needed")
+    return kind.simpleString()
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int | None = None) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of at most SLICE_ROWS rows and, but for single rows, about SLICE_BYTES bytes of column `text`."""
     for batch in batches:
@@ -113,14 +122,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U64(33))
 
 
-def rolling(h: np.ndarray, k: int) -> np.ndarray:
+def rolling(h: np.ndarray, k: int, base: int = _BASE) -> np.ndarray:
     """One hash for each run of k consecutive entries: pieces whose lengths are powers of two are joined, so log2(k) passes."""
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, U64)
     out, done, block, size, left = None, 0, h, 1, k
     while left:
-        shift = U64(pow(_BASE, size, 1 << 64))
+        shift = U64(pow(base, size, 1 << 64))
         if left & 1:
             m = len(h) - (done + size) + 1
             out = block[:m] if out is None else out[:m] * shift + block[done : done + m]

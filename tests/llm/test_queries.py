@@ -119,12 +119,34 @@ def test_op3(spark, sf_dir, rows):
     same(run(spark, sf_dir, "op3_substring"), want)
 
 
-def test_op3_frequent_windows(spark, sf_dir, rows, monkeypatch):
-    """Windows that count as frequent take the aggregated way, with the same rows."""
+@pytest.mark.parametrize("segment", [1, 20_000])
+def test_op3_many_segments_and_shards(spark, sf_dir, rows, monkeypatch, segment):
+    """Segments of single texts and many shards of windows give the same rows."""
     from keepsake.llm import substring
 
-    monkeypatch.setattr(substring, "HOT", 3)
-    same(run(spark, sf_dir, "op3_substring"), list(removed(rows)))
+    monkeypatch.setattr(substring, "SHARD_WINDOWS", 500)
+    got = substring.repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), segment=segment)
+    want = [{k: r[k] for k in ("doc_id", "n_words", "n_removed")} for r in removed(rows)]
+    same([r.asDict() for r in got.collect()], want)
+
+
+def test_op3_hot_lines(spark):
+    """A line that one text repeats 100,000 times, and that every other text holds; keys of either sign."""
+    from keepsake.llm import substring
+
+    line = " ".join(f"w{i}" for i in range(50))
+    rows = [(-5, (line + " ") * 100_000), *((i, f"own{i} {line} end{i}") for i in range(200))]
+    df = spark.createDataFrame(rows, "doc_id int, text string").repartition(3)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring.repeats(df, segment=1 << 16).collect()}
+    assert got[-5] == (5_000_000, 0, None)
+    assert all(got[i] == (52, 50, f"own{i} end{i}") for i in range(200))
+
+
+def test_op3_wants_whole_number_keys(spark):
+    from keepsake.llm import substring
+
+    with pytest.raises(TypeError, match="whole numbers"):
+        substring.repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
 
 
 def test_op4(spark, sf_dir, rows):
