@@ -100,6 +100,12 @@ def utc_text(seconds: Column, pattern: str = "yyyy-MM-dd'T'HH:mm:ss'+00:00'") ->
     return F.date_format(whole, pattern)
 
 
+def local_text(seconds: Column, zone: str, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """Seconds since 1970 as text in a time zone, for people to read beside the UTC text."""
+    whole = F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(secs=F.floor(seconds))
+    return F.date_format(F.convert_timezone(F.lit("UTC"), F.lit(zone), whole), pattern)
+
+
 def zone_class(c: Column) -> Column:
     """utc, aware (another offset) or naive."""
     return F.when(F.endswith(c, F.lit("Z")) | F.endswith(c, F.lit("+00:00")), "utc").when(c.rlike(r"^.{10}.*[+-]\d{2}:?\d{2}$") & instant(c).isNotNull(), "aware").otherwise("naive")

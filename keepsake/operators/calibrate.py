@@ -34,10 +34,18 @@ def pairs(few: DataFrame) -> DataFrame:
 
 
 def adjacent(rows: DataFrame, seconds: str = "seconds") -> DataFrame:
-    """(id, sim) of rows that follow another of their agent within half an hour; vectors are scaled to length one."""
-    by = W.partitionBy("agent_id").orderBy(seconds, "id")
-    found = rows.select("agent_id", "id", seconds, unit(F.col("embedding")).alias("v")).withColumns({"before": F.lag(seconds).over(by), "u": F.lag("v").over(by)})
-    return found.where((F.col(seconds) - F.col("before") <= ADJACENT_SECONDS) & (F.size("u") == F.size("v"))).select("id", dot(F.col("u"), F.col("v")).alias("sim"))
+    """(id, sim) of rows that follow another of their agent within half an hour; vectors are scaled to length one.
+
+    The row before lies in the same half hour or in the one before, so rows meet by
+    (agent, half hour), to which the last row of the half hour before is added; an agent
+    with a third of all rows is no hot key.
+    """
+    slim = rows.select("agent_id", "id", F.col(seconds).alias("seconds"), unit(F.col("embedding")).alias("v")).withColumn("bin", F.floor(F.col("seconds") / ADJACENT_SECONDS).cast("long"))
+    last = slim.groupBy("agent_id", "bin").agg(F.max(F.struct("seconds", "id", "v")).alias("x")).select("agent_id", (F.col("bin") + 1).alias("bin"), "x.id", "x.seconds", "x.v", F.lit(False).alias("own"))
+    both = slim.withColumn("own", F.lit(True)).unionByName(last)
+    by = W.partitionBy("agent_id", "bin").orderBy("seconds", "id")
+    found = both.withColumns({"before": F.lag("seconds").over(by), "u": F.lag("v").over(by)})
+    return found.where(F.col("own") & (F.col("seconds") - F.col("before") <= ADJACENT_SECONDS) & (F.size("u") == F.size("v"))).select("id", dot(F.col("u"), F.col("v")).alias("sim"))
 
 
 def nearest(sims: DataFrame) -> DataFrame:
@@ -55,8 +63,10 @@ def by_zscore(sims: DataFrame, z: float = Z) -> DataFrame:
     return sims.agg(F.round(F.greatest(F.avg("sim") + z * F.stddev_pop("sim"), F.lit(FLOOR)), 4).alias("threshold"))
 
 
-def distribution(sims: DataFrame) -> DataFrame:
-    return sims.agg(F.count("*").alias("n"), F.avg("sim").alias("mean"), F.stddev_pop("sim").alias("std"), F.median("sim").alias("median"), F.percentile("sim", 0.95).alias("p95"))
+def distribution(sims: DataFrame, threshold: float | None = None) -> DataFrame:
+    """(n, mean, std, median, p95) and, with a threshold, the share of similarities that it admits."""
+    admitted = [] if threshold is None else [F.avg((F.col("sim") >= threshold).cast("double")).alias("admit_rate")]
+    return sims.agg(F.count("*").alias("n"), F.avg("sim").alias("mean"), F.stddev_pop("sim").alias("std"), F.median("sim").alias("median"), F.percentile("sim", 0.95).alias("p95"), *admitted)
 
 
 def by_separation(null: DataFrame, positive: DataFrame, beta: float = 1.0, steps: int = STEPS) -> DataFrame:

@@ -17,6 +17,8 @@ from ..functions.scoring import RRF_K, RRF_SCALE, adaptive_least, boundary_penal
 
 KEY = ("qid", "kind", "id")
 GAP_RATIO, GAP_ROWS = 0.15, 3
+#: Profiles that a recall takes in, and characters of a preview.
+PROFILES, PREVIEW = 3, 500
 
 
 def listed(rows: DataFrame, number: int, order: list[Column], score: str) -> DataFrame:
@@ -56,15 +58,26 @@ def rsf(lists: list[DataFrame]) -> DataFrame:
     return _fused(rows, F.aggregate(terms, F.lit(0.0), lambda s, t: s + t["x"]) / F.max("active"), "rsf")
 
 
-def cascade(lists: list[DataFrame], limit: int) -> DataFrame:
-    """Lists one after the other, each row where it first appears, up to `limit` a query."""
+def cascade(lists: list[DataFrame], limit: int, profiles: DataFrame | None = None) -> DataFrame:
+    """Lists one after the other, each row where it first appears: the vector list and the episodes whole, then the
+    profiles, then of the keyword list its first so many rows as are missing to `limit`."""
     rows = united(lists)
-    first = rows.withColumn("n", F.row_number().over(W.partitionBy(*KEY).orderBy("list", "pos"))).where("n = 1").drop("n")
-    out = first.withColumn("ord", F.row_number().over(W.partitionBy("qid").orderBy("list", "pos"))).where(F.col("ord") <= limit)
-    return out.select(*KEY, F.when(F.col("list") == 0, F.col("score")).alias("cosine"), F.when(F.col("list") > 0, F.col("score")).alias("bm25"), "ord")
-
-
-def with_profiles(fused: DataFrame, profiles: DataFrame, most: int = 3) -> DataFrame:
+    earlier = rows.where("list < 2")
+    first = F.row_number().over(W.partitionBy(*KEY).orderBy("list", "pos"))
+    out = earlier.withColumn("n", first).where("n = 1").drop("n")
+    words = rows.where("list = 2")
+    if profiles is not None:
+        newest = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("updated_at"), "id")) - 1
+        told = profiles.withColumn("pos", newest).where(F.col("pos") < PROFILES)
+        out = out.unionByName(told.select("qid", F.lit("profile").alias("kind"), F.lit(-1).cast("long").alias("id"), F.lit(1).alias("list"), (F.lit(1 << 30) + F.col("pos")).alias("pos"), F.lit(None).cast("double").alias("score"), F.concat(F.lit("[Profile] "), "content").alias("content")), allowMissingColumns=True)
+    taken = out.groupBy("qid").agg(F.count("*").alias("taken"))
+    words = words.join(taken, "qid", "left").where(F.col("pos") < limit - F.coalesce("taken", F.lit(0))).drop("taken")
+    both = out.unionByName(words.join(out.select(*KEY), list(KEY), "left_anti"), allowMissingColumns=True)
+    ranked = both.withColumn("ord", F.row_number().over(W.partitionBy("qid").orderBy("list", "pos")))
+    return ranked.select(*KEY, F.when(F.col("list") == 0, F.col("score")).alias("cosine"), F.when(F.col("list") > 0, F.col("score")).alias("bm25"), "ord", *[c for c in ("content",) if c in ranked.columns])
+
+
+def with_profiles(fused: DataFrame, profiles: DataFrame, most: int = PROFILES) -> DataFrame:
     """Appends the newest profiles of a query's agent (qid, content, updated_at), unscored, after all others."""
     newest = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("updated_at"), "id"))
     rows = profiles.withColumn("n", newest).where(F.col("n") <= most).select("qid", F.lit("profile").alias("kind"), F.lit(-1).cast("long").alias("id"), (F.lit(1 << 30) + F.col("n")).alias("ord"), F.concat(F.lit("[Profile] "), "content").alias("content"))
@@ -94,7 +107,7 @@ def signal(columns: list[str]) -> Column:
     return F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in ("confidence", "rsf", "cosine", "rrf") if c in columns], F.lit(None).cast("string"))
 
 
-def gate(rows: DataFrame, pool: Column, calibrated: dict[str, float] | None = None, deep: bool = False, empty_query: bool = False, override: float | None = None) -> DataFrame:
+def gate(rows: DataFrame, pool: Column, calibrated: dict[str, float] | None = None, deep: bool = False, empty_query: bool | Column = False, override: float | None = None) -> DataFrame:
     """Rows that pass the quality gate, with columns `signal` and `score`."""
     names = [c for c in ("confidence", "rsf", "cosine", "rrf") if c in rows.columns]
     half = 0.5 if deep else 1.0
@@ -103,7 +116,7 @@ def gate(rows: DataFrame, pool: Column, calibrated: dict[str, float] | None = No
     for name, value in (calibrated or {}).items():
         asked = F.when(F.col("signal") == name, value).otherwise(asked)
     rows = rows.withColumn("signal", signal(rows.columns)).withColumn("score", F.coalesce(*[F.col(c) for c in names]) if names else F.lit(None).cast("double"))
-    passes = F.when(F.col("kind") == "profile", pool >= 50).when(F.col("signal").isNull(), (pool >= 100) | F.lit(empty_query)).otherwise(F.col("score") >= asked * half)
+    passes = F.when(F.col("kind") == "profile", pool >= 50).when(F.col("signal").isNull(), (pool >= 100) | (empty_query if isinstance(empty_query, Column) else F.lit(empty_query))).otherwise(F.col("score") >= asked * half)
     return rows.where(passes)
 
 
@@ -111,12 +124,17 @@ def rescued(passed: DataFrame, before: DataFrame) -> DataFrame:
     """passed, but where a query has nothing left except profiles and had backfilled rows, those; `fallback` tells."""
     kept = passed.groupBy("qid").agg(F.count_if(F.col("kind") != "profile").alias("kept"))
     state = before.groupBy("qid").agg(F.count_if("backfilled").alias("filled")).join(kept, "qid", "left").select("qid", ((F.coalesce("kept", F.lit(0)) == 0) & (F.col("filled") > 0)).alias("fallback"))
-    again = before.where("backfilled").join(state.where("fallback"), "qid")
+    name = signal(before.columns)
+    told = before.withColumn("signal", name).withColumn("score", F.coalesce(*[F.col(c) for c in ("confidence", "rsf", "cosine", "rrf") if c in before.columns]))
+    again = told.where("backfilled").join(state.where("fallback"), "qid")
     return passed.join(state, "qid", "left").unionByName(again, allowMissingColumns=True)
 
 
 def autocut(rows: DataFrame, ratio: float = GAP_RATIO, least_rows: int = GAP_ROWS) -> DataFrame:
-    """Cuts each query's rows at the first largest gap between neighbours, where that gap is a fair part of the best score."""
+    """Cuts each query's rows at the first largest gap between neighbours, where that gap is a fair part of the best score.
+
+    Rows that the gate refused (`fallback`) are not cut: their scores order nothing.
+    """
     by = W.partitionBy("qid")
     has = lambda c: F.max(F.when(F.col("ord") == 1, F.col(c).isNotNull())).over(by) if c in rows.columns else F.lit(False)
     col = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("double")
@@ -127,6 +145,8 @@ def autocut(rows: DataFrame, ratio: float = GAP_RATIO, least_rows: int = GAP_ROW
     ranked = ranked.withColumn("gap", F.col("key") - F.lead("key").over(by.orderBy("ord")))
     ranked = ranked.withColumns({"top": F.max(F.when(F.col("ord") == 1, F.col("key"))).over(by), "rows": F.count("*").over(by), "widest": F.max("gap").over(by), "at": F.min_by("ord", F.struct(F.coalesce(-F.col("gap"), F.lit(float("inf"))), F.col("ord"))).over(by)})
     cuts = (F.col("rows") >= least_rows) & (F.col("top") > 0) & (F.col("widest") / F.col("top") >= ratio)
+    if "fallback" in rows.columns:
+        cuts = cuts & ~F.coalesce("fallback", F.lit(False))
     return ranked.where(~F.coalesce(cuts, F.lit(False)) | (F.col("ord") <= F.col("at"))).drop("key", "gap", "top", "rows", "widest", "at")
 
 
@@ -136,14 +156,36 @@ def last_best(rows: DataFrame, limit: int) -> DataFrame:
     return kept.withColumn("place", F.count("*").over(W.partitionBy("qid")) - F.col("n") + 1).drop("n")
 
 
-def budget(rows: DataFrame, size: Column, most: int, order: list[Column], always: Column | None = None) -> DataFrame:
-    """`whole` tells the rows that fit a running budget; from the first that doesn't on, none does (but for `always`)."""
-    spent = F.sum(size).over(W.partitionBy("qid").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    fits = spent <= most
-    return rows.withColumn("whole", fits if always is None else fits | always)
+def budget(rows: DataFrame, size: Column, most: int, order: list[Column]) -> DataFrame:
+    """`whole` tells the rows that fit a running budget, spent in `order`; from the first that doesn't on, none does. The first with any text always fits."""
+    by = W.partitionBy("qid").orderBy(*order)
+    spent = F.sum(size).over(by.rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("whole", (spent <= most) | (spent - size == 0))
+
+
+def preview(rows: DataFrame, chars: int = PREVIEW, column: str = "content", whole: Column | None = None) -> DataFrame:
+    """Cuts long contents of rows that can be fetched by reference (and aren't `whole`); their length and the cut are told."""
+    cut = F.col("ref").isNotNull() & F.coalesce(F.length(column) > chars, F.lit(False))
+    cut = cut if whole is None else cut & ~whole
+    return rows.withColumns({f"{column}_len": F.when(cut, F.length(column)), f"{column}_truncated": cut, column: F.when(cut, F.substring(column, 1, chars)).otherwise(F.col(column))})
+
+
+def degraded(rows: DataFrame, kind: str, columns: tuple[str, ...], most: int, order: list[Column], chars: int = PREVIEW) -> DataFrame:
+    """A listing within a budget of characters, spent from its first row on: rows beyond it keep a preview of each column,
+    and those that were cut get a `ref` to fetch them by."""
+    if chars <= 0:  # previews are off, and with them the budget
+        return rows.withColumns({"ref": F.lit(None).cast("string"), **{x: v for c in columns for x, v in ((f"{c}_len", F.lit(None).cast("int")), (f"{c}_truncated", F.lit(False)))}})
+    size = sum((F.coalesce(F.length(c), F.lit(0)) for c in columns[1:]), F.coalesce(F.length(columns[0]), F.lit(0)))
+    out = budget(rows, size, most, order).withColumn("ref", F.concat(F.lit(f"{kind}:"), "id"))
+    for c in columns:
+        out = preview(out, chars, c, F.col("whole"))
+    cut = F.greatest(*[F.col(f"{c}_truncated") for c in columns]) if len(columns) > 1 else F.col(f"{columns[0]}_truncated")
+    return out.withColumn("ref", F.when(cut, F.col("ref"))).drop("whole")
 
 
-def preview(rows: DataFrame, chars: int = 500, column: str = "content") -> DataFrame:
-    """Cuts long contents of rows that can be fetched by reference; their length and the cut are told."""
-    cut = F.col("ref").isNotNull() & (F.length(column) > chars)
-    return rows.withColumns({"content_len": F.when(cut, F.length(column)), "content_truncated": cut, column: F.when(cut, F.substring(column, 1, chars)).otherwise(F.col(column))})
+def full_contents(rows: DataFrame, most: int, chars: int = PREVIEW) -> DataFrame:
+    """Contents of a recall (qid, place, ref, content) within a budget that is spent from the best row down, the last place
+    first; rows beyond it keep a preview. Rows without a reference stay whole and spend what they are long."""
+    if chars <= 0:
+        return rows.withColumns({"content_len": F.lit(None).cast("int"), "content_truncated": F.lit(False)})
+    return preview(budget(rows, F.coalesce(F.length("content"), F.lit(0)), most, [F.desc("place")]), chars, "content", F.col("whole")).drop("whole")

@@ -1,39 +1,148 @@
-"""Data-quality checks: each returns one row (check, severity, n, repairable).
+"""Data-quality checks: each finding is one row (check, severity, n, repairable).
 
 `repairable` counts with the predicate of the repair, so locked rows don't count
-where the repair wouldn't touch them. A repair returns the next version of a table.
+where the repair wouldn't touch them; null says that there is no repair. A repair
+returns the next version of a table. Checks that count rows by a predicate are
+Findings, of which any number fits one aggregate over a table.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scoring import dot, unit
 from ..functions.text import ANNOTATION, MENTION, instant, json_valid, normalised_source, stripped, utc_text, zone_class
+from ..shared import stored
 from .retrieval import postings
 from .writes import survivors
 
 MAX_CONTENT, MAX_PROFILE = 16_000, 2_000
 NEAR, NEAR_ROWS, SHORT, STALE_DAYS = 0.97, 1000, 5, 30
+#: Characters of a summary of the operating context that still go without a remark.
+MAX_SUMMARY = 2_000
+#: All checks in the order in which repairs build on each other and findings are read.
+REGISTRY = (
+    "memory_annotation", "discord_mention", "oversized_content", "duplicate_content", "embedding_dimension", "null_embedding", "null_episode_embedding", "fts_integrity", "schema_version", "dedup_msg_id", "schema_objects", "integrity", "axis_hygiene",
+    "invalid_json_source", "invalid_json_metadata", "invalid_timestamp", "missing_episode_start_time", "timestamp_format_drift", "episode_timestamp_format_drift", "stale_pending_tasks", "missing_profile", "empty_content", "invalid_source_type", "oversized_profile",
+    "anonymous_source", "vector_fallback_config", "operating_context_parse", "operating_context_size",
+)
+
+
+@dataclass(frozen=True)
+class Finding:
+    """A check as aggregates over its table."""
+
+    name: str
+    severity: Column
+    n: Column
+    repairable: Column
+
+
+def counted(name: str, severity: str, bad: Column, fixable: Column | None = None) -> Finding:
+    bad = F.coalesce(bad, F.lit(False))
+    return Finding(name, F.lit(severity), F.count_if(bad), F.lit(None).cast("long") if fixable is None else F.count_if(bad & F.coalesce(fixable, F.lit(False))))
+
+
+def report(rows: DataFrame, findings: list[Finding]) -> DataFrame:
+    """One row a finding, from one aggregate over the table."""
+    told = [F.struct(F.lit(f.name).alias("check"), f.severity.alias("severity"), f.n.cast("long").alias("n"), f.repairable.cast("long").alias("repairable")) for f in findings]
+    return rows.agg(F.array(*told).alias("found")).select(F.inline("found"))
+
+
 def _free() -> Column:
     return ~F.col("locked")
 
 
 def finding(rows: DataFrame, name: str, severity: str, bad: Column, fixable: Column | None = None) -> DataFrame:
-    fixed = F.lit(None).cast("long") if fixable is None else F.count_if(bad & fixable)
-    return rows.agg(F.count_if(bad).alias("n"), fixed.alias("repairable")).select(F.lit(name).alias("check"), F.lit(severity).alias("severity"), "n", "repairable")
+    return report(rows, [counted(name, severity, bad, fixable)])
 
 
-def annotation(rows: DataFrame) -> DataFrame:
+# ---- findings on memories ---------------------------------------------------------
+
+
+def annotation_() -> Finding:
     c = F.col("content")
-    return finding(rows, "memory_annotation", "info", F.contains(F.lower(c), F.lit("[memory from")), _free() & (stripped(F.regexp_replace(c, ANNOTATION, "")) != c))
+    return counted("memory_annotation", "info", F.contains(F.lower(c), F.lit("[memory from")), _free() & (stripped(F.regexp_replace(c, ANNOTATION, "")) != c))
 
 
-def mention(rows: DataFrame) -> DataFrame:
+def mention_() -> Finding:
     c = F.col("content")
-    return finding(rows, "discord_mention", "info", F.contains(c, F.lit("<@")), _free() & (stripped(F.regexp_replace(c, MENTION, "")) != c))
+    return counted("discord_mention", "info", F.contains(c, F.lit("<@")), _free() & (stripped(F.regexp_replace(c, MENTION, "")) != c))
+
+
+def oversized_(cap: int = MAX_CONTENT) -> Finding:
+    return counted("oversized_content", "warn", F.length("content") > cap, _free())
+
+
+def dimension_(expected: int) -> Finding:
+    return counted("embedding_dimension", "critical", F.col("embedding").isNotNull() & (F.size("embedding") != expected), F.lit(True))
+
+
+def no_embedding_(name: str = "null_embedding", client: bool = True) -> Finding:
+    """Critical where more than half of the rows have none; one run of the repair fills 500. Without an embedding function it is information that nothing repairs."""
+    n = F.count_if(F.col("embedding").isNull())
+    if not client:
+        return Finding(name, F.lit("info"), n, F.lit(0).cast("long"))
+    return Finding(name, F.when(2 * n > F.count("*"), "critical").otherwise("warn"), n, F.least(n, F.lit(500)))
+
+
+def invalid_json_(column: str) -> Finding:
+    return counted(f"invalid_json_{column}", "warn", ~F.coalesce(json_valid(F.col(column)), F.lit(False)), _free())
+
+
+def invalid_timestamp_() -> Finding:
+    return counted("invalid_timestamp", "warn", _bad_time(), _free() & instant(F.col("created_at")).isNotNull())
+
+
+def zone_drift_() -> Finding:
+    """Readable times of more than one convention, or with another offset: those that aren't in UTC. The repair reaches times with an offset."""
+    zone = F.when((F.coalesce("timestamp", F.lit("")) != "") & instant(F.col("timestamp")).isNotNull(), zone_class(F.col("timestamp")))
+    aware, naive, utc = (F.count_if(zone == z) for z in ("aware", "naive", "utc"))
+    return Finding("timestamp_format_drift", F.lit("warn"), F.when((aware > 0) | ((naive > 0) & (utc > 0)), aware + naive).otherwise(0), F.count_if((zone == "aware") & _free()))
+
+
+def empty_() -> Finding:
+    return counted("empty_content", "warn", F.trim(F.coalesce("content", F.lit(""))) == "", _free())
+
+
+def invalid_source_() -> Finding:
+    """Sources that name a producer of no known type; those that can be mapped are repairable."""
+    return counted("invalid_source_type", "warn", _bad_source(), _free() & normalised_source(F.col("source"))["mapped"])
+
+
+def anonymous_() -> Finding:
+    _, nobody = _source()
+    return counted("anonymous_source", "info", _anonymous() | F.coalesce(nobody, F.lit(False)))
+
+
+def short_(most: int = SHORT) -> Finding:
+    return counted("short_content", "info", F.length(F.trim("content")) <= most, _free())
+
+
+def vectors_(kept: bool) -> Finding:
+    """With vectors kept elsewhere: rows that no local scan can find."""
+    return counted("vector_fallback_config", "info", F.lit(not kept) & F.col("embedding").isNull())
+
+
+def missing_start_() -> Finding:
+    return counted("missing_episode_start_time", "info", F.coalesce("start_time", F.lit("")) == "", instant(F.col("created_at")).isNotNull())
+
+
+def oversized_profile_(cap: int = MAX_PROFILE) -> Finding:
+    return counted("oversized_profile", "warn", F.length("content") > cap, F.lit(True))
+
+
+def annotation(rows: DataFrame) -> DataFrame:
+    return report(rows, [annotation_()])
+
+
+def mention(rows: DataFrame) -> DataFrame:
+    return report(rows, [mention_()])
 
 
 def cleaned(rows: DataFrame) -> DataFrame:
@@ -43,46 +152,85 @@ def cleaned(rows: DataFrame) -> DataFrame:
 
 
 def oversized(rows: DataFrame, cap: int = MAX_CONTENT) -> DataFrame:
-    return finding(rows, "oversized_content", "warn", F.length("content") > cap, _free())
+    return report(rows, [oversized_(cap)])
+
+
+def cut_contents(rows: DataFrame, cap: int = MAX_CONTENT) -> DataFrame:
+    """Repair: unlocked contents are cut to cap characters."""
+    return rows.withColumn("content", F.when(_free(), F.substring("content", 1, cap)).otherwise(F.col("content")))
 
 
 def oversized_profile(profiles: DataFrame, cap: int = MAX_PROFILE) -> DataFrame:
-    return finding(profiles, "oversized_profile", "warn", F.length("content") > cap, F.lit(True))
+    return report(profiles, [oversized_profile_(cap)])
+
+
+def cut_profiles(profiles: DataFrame, cap: int = MAX_PROFILE) -> DataFrame:
+    return profiles.withColumn("content", F.substring("content", 1, cap))
+
+
+def _surplus(rows: DataFrame) -> DataFrame:
+    """Rows of equal agent, project and content but for the one that stays. Contents are compared by digest, so that texts stay where they are."""
+    slim = rows.select("id", "agent_id", "project_id", "channel", "locked", F.sha2(F.col("content").cast("binary"), 256).alias("content"))
+    kept = survivors(slim).where("cnt > 1").select("agent_id", "project_id", "content", F.col("id").alias("kept"))
+    return slim.join(kept, ["agent_id", "project_id", "content"]).where("id <> kept")
 
 
 def duplicates(rows: DataFrame) -> DataFrame:
     """Surplus rows of equal agent, project and content; the repair deletes those that are unlocked."""
-    kept = survivors(rows).where("cnt > 1").select("agent_id", "project_id", "content", F.col("id").alias("kept"))
-    extra = rows.join(kept, ["agent_id", "project_id", "content"]).where("id <> kept")
-    return finding(extra, "duplicate_content", "warn", F.lit(True), _free())
+    return finding(_surplus(rows), "duplicate_content", "warn", F.lit(True), _free())
 
 
 def deduplicated(rows: DataFrame) -> DataFrame:
-    kept = survivors(rows).where("cnt > 1").select("agent_id", "project_id", "content", F.col("id").alias("kept"))
-    extra = rows.join(kept, ["agent_id", "project_id", "content"]).where("id <> kept and not locked").select("id")
-    return rows.join(extra, "id", "left_anti")
+    return rows.join(_surplus(rows).where(_free()).select("id"), "id", "left_anti")
 
 
 def dimension(rows: DataFrame, expected: int) -> DataFrame:
-    return finding(rows, "embedding_dimension", "critical", F.col("embedding").isNotNull() & (F.size("embedding") != expected), F.lit(True))
+    return report(rows, [dimension_(expected)])
+
+
+def without_misfits(rows: DataFrame, expected: int) -> DataFrame:
+    """Repair: embeddings of another width become null, for the next run of embed_missing."""
+    return rows.withColumn("embedding", F.when(F.size("embedding") == expected, F.col("embedding")))
 
 
 def no_embedding(rows: DataFrame, name: str = "null_embedding") -> DataFrame:
-    """Critical where more than half of the rows have none."""
-    return rows.agg(F.count_if(F.col("embedding").isNull()).alias("n"), F.count("*").alias("all")).select(F.lit(name).alias("check"), F.when(2 * F.col("n") > F.col("all"), "critical").otherwise("warn").alias("severity"), "n", F.least("n", F.lit(500)).cast("long").alias("repairable"))
+    return report(rows, [no_embedding_(name)])
 
 
 def index_drift(index: DataFrame, rows: DataFrame, kind: str, *columns: str) -> DataFrame:
-    """Postings that the index lacks or has too many."""
-    own = postings(rows, kind, *columns)
+    """Postings that the index lacks or has too many.
+
+    First each text's postings are boiled down to their number and a digest, on both
+    sides; only texts that differ are compared posting by posting.
+    """
+    one = F.xxhash64("pos", "tri")
+    digest = (F.count("*").alias("n"), F.bit_xor(one).alias("x"), F.bit_xor(F.xxhash64(one, F.lit(1))).alias("y"))
     mine = index.where(F.col("kind") == kind)
-    return finding(own.exceptAll(mine).unionAll(mine.exceptAll(own)), "fts_integrity", "critical", F.lit(True), F.lit(True))
+    have = mine.groupBy("id", "col").agg(*digest)
+    want = postings(rows, kind, *columns).groupBy("id", "col").agg(*digest)
+    both = want.join(have.select("id", "col", *[F.col(c).alias(f"h{c}") for c in "nxy"]), ["id", "col"], "full")
+    odd = both.where(~(F.col("n").eqNullSafe(F.col("hn")) & F.col("x").eqNullSafe(F.col("hx")) & F.col("y").eqNullSafe(F.col("hy")))).select("id").distinct()
+    odd = stored(odd, "index-drift")
+    theirs = mine.join(odd, "id", "left_semi")
+    own = postings(rows.join(odd, "id", "left_semi"), kind, *columns)
+    return finding(own.exceptAll(theirs.select(*own.columns)).unionAll(theirs.select(*own.columns).exceptAll(own)), "fts_integrity", "critical", F.lit(True), F.lit(True))
 
 
-def repeated_ids(rows: DataFrame) -> DataFrame:
+def _older_ids(rows: DataFrame) -> DataFrame:
     """Rows that share agent, project and msg_id with a later one."""
-    last = F.max("id").over(W.partitionBy("agent_id", "project_id", "msg_id"))
-    return finding(rows.where("msg_id <> ''").withColumn("last", last), "dedup_msg_id", "warn", F.col("id") < F.col("last"), _free())
+    slim = rows.where("msg_id <> ''").select("id", "agent_id", "project_id", "msg_id", "locked")
+    last = slim.groupBy("agent_id", "project_id", "msg_id").agg(F.max("id").alias("last"))
+    return slim.join(last, ["agent_id", "project_id", "msg_id"]).where(F.col("id") < F.col("last"))
+
+
+def repeated_ids(rows: DataFrame) -> DataFrame:
+    return finding(_older_ids(rows), "dedup_msg_id", "warn", F.lit(True), _free())
+
+
+def without_repeated_ids(rows: DataFrame) -> DataFrame:
+    """Repair: of rows that share a msg_id the last keeps it; unlocked earlier ones get none."""
+    gone = _older_ids(rows).where(_free()).select("id", F.lit(True).alias("blank"))
+    return rows.join(gone, "id", "left").withColumn("msg_id", F.when(F.col("blank"), "").otherwise(F.col("msg_id"))).drop("blank").select(*rows.columns)
 
 
 def schema(rows: DataFrame, expected: dict[str, str]) -> DataFrame:
@@ -93,9 +241,21 @@ def schema(rows: DataFrame, expected: dict[str, str]) -> DataFrame:
     return spark.createDataFrame([("schema_objects", "critical" if wrong else "ok", len(wrong), len(wrong))], "check string, severity string, n long, repairable long")
 
 
+def schema_version(found: str | None, wanted: str, spark) -> DataFrame:
+    """Whether tables were written by a scheme that this engine knows."""
+    wrong = int(found is not None and found != wanted)
+    return spark.createDataFrame([("schema_version", "critical" if wrong else "ok", wrong, None)], "check string, severity string, n long, repairable long")
+
+
 def readable(rows: DataFrame) -> DataFrame:
-    """Reads every row once, so that damaged files show."""
-    return rows.agg(F.count("*").alias("rows")).select(F.lit("integrity").alias("check"), F.lit("ok").alias("severity"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("repairable"))
+    """Reads every value of every row once, so that damaged files show."""
+    read = rows.agg(F.bit_xor(F.xxhash64(*rows.columns)).alias("x"))
+    return read.select(F.lit("integrity").alias("check"), F.lit("ok").alias("severity"), F.coalesce(F.pmod("x", F.lit(1)), F.lit(0)).cast("long").alias("n"), F.lit(None).cast("long").alias("repairable"))
+
+
+def axis_hygiene(rows: DataFrame) -> DataFrame:
+    """Groups of project ids that differ in case and punctuation only."""
+    return finding(drifting_projects(rows), "axis_hygiene", "warn", F.lit(True))
 
 
 def drifting_projects(rows: DataFrame) -> DataFrame:
@@ -111,7 +271,7 @@ def axis_counts(rows: DataFrame, axis: str, k: int = 20) -> DataFrame:
 
 
 def invalid_json(rows: DataFrame, column: str) -> DataFrame:
-    return finding(rows, f"invalid_json_{column}", "warn", ~F.coalesce(json_valid(F.col(column)), F.lit(False)), _free())
+    return report(rows, [invalid_json_(column)])
 
 
 def valid_json(rows: DataFrame, column: str) -> DataFrame:
@@ -123,7 +283,7 @@ def _bad_time() -> Column:
 
 
 def invalid_timestamp(rows: DataFrame) -> DataFrame:
-    return finding(rows, "invalid_timestamp", "warn", _bad_time(), _free() & instant(F.col("created_at")).isNotNull())
+    return report(rows, [invalid_timestamp_()])
 
 
 def valid_timestamps(rows: DataFrame) -> DataFrame:
@@ -132,7 +292,13 @@ def valid_timestamps(rows: DataFrame) -> DataFrame:
 
 
 def missing_start(episodes: DataFrame) -> DataFrame:
-    return finding(episodes, "missing_episode_start_time", "info", F.coalesce("start_time", F.lit("")) == "", instant(F.col("created_at")).isNotNull())
+    return report(episodes, [missing_start_()])
+
+
+def with_start(episodes: DataFrame) -> DataFrame:
+    """Repair: a missing start becomes the time the row was made, in UTC."""
+    made = instant(F.col("created_at"))
+    return episodes.withColumn("start_time", F.when((F.coalesce("start_time", F.lit("")) == "") & made.isNotNull(), utc_text(made)).otherwise(F.col("start_time")))
 
 
 def zone_drift(rows: DataFrame, column: str = "timestamp") -> DataFrame:
@@ -151,8 +317,34 @@ def episode_zone_drift(episodes: DataFrame) -> DataFrame:
     return zone_drift(values, "value")
 
 
+def episode_drift(episodes: DataFrame) -> DataFrame:
+    """Times of episodes that aren't in UTC, of more than one convention; those with an offset and copies of created_at are repairable."""
+    values = episodes.select(F.explode(F.array("start_time", "end_time")).alias("value"), "created_at").where((F.coalesce("value", F.lit("")) != "") & instant(F.col("value")).isNotNull())
+    zone = zone_class(F.col("value"))
+    aware, naive, utc = (F.count_if(zone == z) for z in ("aware", "naive", "utc"))
+    fixable = F.count_if((zone == "aware") | ((zone == "naive") & (F.col("value") == F.col("created_at"))))
+    return report(values, [Finding("episode_timestamp_format_drift", F.lit("warn"), F.when((fixable > 0) | ((aware > 0).cast("int") + (naive > 0).cast("int") + (utc > 0).cast("int") > 1), aware + naive).otherwise(0), fixable)])
+
+
+def episodes_in_utc(episodes: DataFrame) -> DataFrame:
+    """Repair: times with another offset, and copies of created_at, become UTC."""
+    out = episodes
+    for c in ("start_time", "end_time"):
+        copied = (zone_class(F.col(c)) == "naive") & (F.col(c) == F.col("created_at"))
+        out = out.withColumn(c, F.when((zone_class(F.col(c)) == "aware") | copied, utc_text(instant(F.col(c)))).otherwise(F.col(c)))
+    return out
+
+
 def waiting_tasks(tasks: DataFrame, now: float, hours: float = 1) -> DataFrame:
-    return finding(tasks, "stale_pending_tasks", "warn", instant(F.col("created_at")) < now - hours * 3600)
+    return finding(tasks, "stale_pending_tasks", "warn", _waiting(now, hours), F.lit(True))
+
+
+def _waiting(now: float, hours: float = 1) -> Column:
+    return instant(F.col("created_at")) < now - hours * 3600
+
+
+def without_waiting(tasks: DataFrame, now: float) -> DataFrame:
+    return tasks.where(~F.coalesce(_waiting(now), F.lit(False)))
 
 
 def no_profile(rows: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -161,7 +353,11 @@ def no_profile(rows: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def empty(rows: DataFrame) -> DataFrame:
-    return finding(rows, "empty_content", "warn", F.trim("content") == "", _free())
+    return report(rows, [empty_()])
+
+
+def without_empty(rows: DataFrame) -> DataFrame:
+    return rows.where((F.trim(F.coalesce("content", F.lit(""))) != "") | F.col("locked"))
 
 
 def _source() -> tuple[Column, Column]:
@@ -171,12 +367,27 @@ def _source() -> tuple[Column, Column]:
     return v, nobody
 
 
-def invalid_source(rows: DataFrame) -> DataFrame:
-    """Sources that name a producer of no known type; those that can be mapped are repairable."""
+def _bad_source() -> Column:
     v, nobody = _source()
     kind = F.try_variant_get(v, "$.type", "string")
-    bad = v.isNotNull() & ~nobody & ~F.coalesce(kind.isin("User", "Agent", "System"), F.lit(False))
-    return finding(rows, "invalid_source_type", "warn", F.coalesce(bad, F.lit(False)), _free() & normalised_source(F.col("source"))["mapped"])
+    return F.coalesce(v.isNotNull() & ~nobody & ~F.coalesce(kind.isin("User", "Agent", "System"), F.lit(False)), F.lit(False))
+
+
+def invalid_source(rows: DataFrame) -> DataFrame:
+    return report(rows, [invalid_source_()])
+
+
+def valid_sources(rows: DataFrame) -> DataFrame:
+    """Repair: unlocked sources of a known legacy shape are rewritten; unknown shapes stay."""
+    s = normalised_source(F.col("source"))
+    fresh = F.to_json(F.struct(s["type"].alias("type"), F.coalesce(s["id"], F.lit("")).alias("id"), F.coalesce(s["name"], F.lit("")).alias("name")))
+    return rows.withColumn("source", F.when(_free() & _bad_source() & s["mapped"], fresh).otherwise(F.col("source")))
+
+
+def source_counts(rows: DataFrame) -> DataFrame:
+    """(mapped, unmapped, locked, remaining): what a repair of sources does, and what is left after it."""
+    bad, mapped = _bad_source(), normalised_source(F.col("source"))["mapped"]
+    return rows.agg(F.count_if(bad & _free() & mapped).alias("mapped"), F.count_if(bad & _free() & ~mapped).alias("unmapped"), F.count_if(bad & ~_free()).alias("locked"), F.count_if(bad & _free() & ~mapped).alias("remaining"))
 
 
 def _anonymous() -> Column:
@@ -185,8 +396,7 @@ def _anonymous() -> Column:
 
 
 def anonymous(rows: DataFrame) -> DataFrame:
-    _, nobody = _source()
-    return finding(rows, "anonymous_source", "info", _anonymous() | F.coalesce(nobody, F.lit(False)))
+    return report(rows, [anonymous_()])
 
 
 def vectors_kept(rows: DataFrame) -> DataFrame:
@@ -199,8 +409,20 @@ def named_sources(rows: DataFrame) -> DataFrame:
     return rows.where(_anonymous()).select("id", F.when(name != "", name).alias("name"), "locked")
 
 
+def with_names(rows: DataFrame) -> DataFrame:
+    """Deep repair: unlocked anonymous rows take the [name] that their content begins with."""
+    name = F.regexp_extract("content", r"^\[(.+?)\]\s", 1)
+    fresh = F.to_json(F.struct(F.lit("User").alias("type"), F.lit("").alias("id"), name.alias("name")))
+    return rows.withColumn("source", F.when(_free() & _anonymous() & (name != ""), fresh).otherwise(F.col("source")))
+
+
 def short(rows: DataFrame, most: int = SHORT) -> DataFrame:
-    return finding(rows, "short_content", "info", F.length(F.trim("content")) <= most, _free())
+    return report(rows, [short_(most)])
+
+
+def without_short(rows: DataFrame, most: int = SHORT) -> DataFrame:
+    """Deep repair: unlocked rows of at most so many characters go."""
+    return rows.where((F.length(F.trim("content")) > most) | F.col("locked"))
 
 
 def stale_profiles(profiles: DataFrame, now: float, days: int = STALE_DAYS) -> DataFrame:
@@ -211,20 +433,24 @@ def stale_profiles(profiles: DataFrame, now: float, days: int = STALE_DAYS) -> D
 def orphaned(episodes: DataFrame, rows: DataFrame) -> DataFrame:
     """Episodes of which no memory of the agent lies between start and end.
 
-    The agent alone is a hot key, so both sides are cut into days: an episode looks
-    into the days it spans, and a hash join on (agent, day) checks the rest.
+    The agent alone is a hot key. An episode's own day is searched by a join on (agent,
+    day); of the days after it only the first memory of each counts, and so many rows
+    as an agent has days are put in order. However long an episode is, it is one row.
     """
     day = 86400
-    e = episodes.select("id", "agent_id", instant(F.col("start_time")).alias("s"), instant(F.col("end_time")).alias("t")).where("s is not null and t is not null")
-    spans = e.withColumn("day", F.explode(F.sequence(F.floor(F.col("s") / day), F.greatest(F.floor(F.col("t") / day), F.floor(F.col("s") / day)))))
-    m = rows.select("agent_id", instant(F.col("timestamp")).alias("ts")).where("ts is not null").withColumn("day", F.floor(F.col("ts") / day)).distinct()
-    held = spans.join(m, ["agent_id", "day"]).where("ts >= s and ts <= t").select("id").distinct()
-    return e.join(held, "id", "left_anti").select("id", "agent_id")
+    e = episodes.select("id", "agent_id", instant(F.col("start_time")).alias("s"), instant(F.col("end_time")).alias("t")).where("s is not null and t is not null").withColumn("day", F.floor(F.col("s") / day))
+    m = rows.select("agent_id", instant(F.col("timestamp")).alias("ts")).where("ts is not null").withColumn("day", F.floor(F.col("ts") / day))
+    same = e.join(m.distinct(), ["agent_id", "day"]).where("ts >= s and ts <= t").select("id")
+    firsts = m.groupBy("agent_id", "day").agg(F.min("ts").alias("first"))
+    later = F.min("first").over(W.partitionBy("agent_id").orderBy("day").rangeBetween(1, W.unboundedFollowing))
+    days = firsts.unionByName(e.select("agent_id", "day", F.lit(None).cast("double").alias("first")).distinct()).groupBy("agent_id", "day").agg(F.min("first").alias("first")).withColumn("later", later)
+    after = e.join(days.select("agent_id", "day", "later"), ["agent_id", "day"]).where("later <= t").select("id")
+    return e.join(same.union(after).distinct(), "id", "left_anti").select("id", "agent_id")
 
 
 def near_duplicates(rows: DataFrame, least: float = NEAR, most: int = NEAR_ROWS) -> DataFrame:
     """(a, b, sim) among the newest `most` rows of an agent's corpus: cosine above `least`, contents differ."""
-    few = rows.where("embedding is not null").orderBy(F.desc("created_at"), "id").limit(most).select("id", "content", unit(F.col("embedding")).alias("v"))
+    few = rows.where("embedding is not null").orderBy(F.desc("id")).limit(most).select("id", "content", unit(F.col("embedding")).alias("v"))
     a, b = (few.select(F.col("id").alias(n), F.col("content").alias(f"{n}_c"), F.col("v").alias(f"{n}_v")) for n in "ab")
     close = a.join(F.broadcast(b), (F.col("a") < F.col("b")) & (F.size("a_v") == F.size("b_v"))).withColumn("sim", dot(F.col("a_v"), F.col("b_v")))
     return close.where((F.col("sim") > least) & (F.col("a_c") != F.col("b_c"))).select("a", "b", "sim")
@@ -242,13 +468,51 @@ def status(findings: DataFrame) -> str:
     return "critical" if "critical" in seen else "degraded" if "warn" in seen else "healthy"
 
 
-def all_checks(rows: DataFrame, episodes: DataFrame, profiles: DataFrame, width: int, now: float, tasks: DataFrame | None = None) -> DataFrame:
-    """All counting checks in one table. Spark scans each table once a check; AQE reuses equal exchanges."""
-    found = [annotation(rows), mention(rows), oversized(rows), duplicates(rows), dimension(rows, width), no_embedding(rows), no_embedding(episodes, "null_episode_embedding"), repeated_ids(rows), invalid_json(rows, "source"), invalid_json(rows, "metadata"), invalid_timestamp(rows), missing_start(episodes), empty(rows), invalid_source(rows), anonymous(rows), oversized_profile(profiles), short(rows), stale_profiles(profiles, now)]
-    found += [finding(no_profile(rows, profiles), "missing_profile", "info", F.lit(True)), finding(orphaned(episodes, rows), "orphaned_episodes", "info", F.lit(True))]
+def memory_findings(width: int, vectors_kept: bool = True, client: bool = True) -> list[Finding]:
+    return [annotation_(), mention_(), oversized_(), dimension_(width), no_embedding_(client=client), invalid_json_("source"), invalid_json_("metadata"), invalid_timestamp_(), zone_drift_(), empty_(), invalid_source_(), anonymous_(), vectors_(vectors_kept)]
+
+
+def all_checks(rows: DataFrame, episodes: DataFrame, profiles: DataFrame, width: int, now: float, tasks: DataFrame | None = None, index: DataFrame | None = None, columns: dict[str, str] | None = None, version: tuple[str | None, str] | None = None, context: tuple[str | None, int] | None = None, vectors_kept: bool = True, client: bool = True) -> DataFrame:
+    """(check, severity, n, repairable) of the whole registry, findings of one check added up.
+
+    All checks that count rows of a table by a predicate are one aggregate over it.
+    index: a trigram index of the contents, to be held against them; columns: the
+    table's expected columns; version: of the stored tables and of the engine; context:
+    error and length of the operating context's summary.
+    """
+    spark = rows.sparkSession
+    found = [report(rows, memory_findings(width, vectors_kept, client)), report(episodes, [no_embedding_("null_episode_embedding", client), dimension_(width), missing_start_()]), report(profiles, [oversized_profile_()])]
+    found += [episode_drift(episodes), duplicates(rows), repeated_ids(rows), axis_hygiene(rows), readable(rows), finding(no_profile(rows, profiles), "missing_profile", "info", F.lit(True))]
     if tasks is not None:
         found.append(waiting_tasks(tasks, now))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    if index is not None:
+        found.append(index_drift(index, rows, "mem", "content"))
+    if columns is not None:
+        found.append(schema(rows, columns))
+    if version is not None:
+        found.append(schema_version(*version, spark))
+    if context is not None:
+        error, length = context
+        found.append(spark.createDataFrame([("operating_context_parse", "warn", int(bool(error)), None), ("operating_context_size", "info", int(length > MAX_SUMMARY), None)], "check string, severity string, n long, repairable long"))
+    every = reduce(DataFrame.unionByName, found)
+    worst = F.max_by("severity", F.array_position(F.array(*map(F.lit, ("ok", "info", "warn", "critical"))), F.col("severity")))
+    return every.groupBy("check").agg(worst.alias("severity"), F.sum("n").alias("n"), F.sum("repairable").alias("repairable"))
+
+
+def in_order(findings: DataFrame) -> DataFrame:
+    """Findings in the registry's order; others last."""
+    place = F.array_position(F.array(*map(F.lit, REGISTRY)), F.col("check"))
+    return findings.orderBy(F.when(place > 0, place).otherwise(len(REGISTRY) + 1), "check")
+
+
+def repaired(rows: DataFrame, width: int | None = None) -> DataFrame:
+    """The next version of memories with all repairs, in the registry's order: what one makes possible the next one finds."""
+    out = deduplicated(cut_contents(cleaned(rows)))
+    out = without_misfits(out, width) if width else out
+    out = valid_json(valid_json(without_repeated_ids(out), "source"), "metadata")
+    return valid_sources(without_empty(in_utc(valid_timestamps(out)))).select(*rows.columns)
+
+
+def repaired_episodes(episodes: DataFrame, width: int | None = None) -> DataFrame:
+    out = without_misfits(episodes, width) if width else episodes
+    return episodes_in_utc(with_start(out)).select(*episodes.columns)

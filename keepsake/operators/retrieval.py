@@ -1,12 +1,11 @@
 """Vector and lexical candidates, for one query or a batch of them.
 
 Candidate rows: qid, kind ('mem' or 'ep'), id, score, ord. Identity is (kind, id).
+Equal similarities are ordered newest first, as a scan from the newest row would find them.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,19 +14,13 @@ from pyspark.sql import Window as W
 
 from ..functions.scoring import dot
 from ..functions.text import contains_literal, occurrences, phrases, trigrams
+from ..shared import scratch, stored
+from .lexical import B, K1, Corpus, Query, idf, matching_batch
 
 SCAN_WINDOW = 10_000
 LEAST_SIMILARITY = 0.3
 #: Numbers in the query matrix that one pass over the corpus carries.
 QUERY_BLOCK = 4 << 20
-K1, B = 1.2, 0.75
-
-
-@dataclass(frozen=True)
-class Query:
-    qid: int
-    text: str = ""
-    vector: tuple[float, ...] = ()
 
 
 def newest(rows: DataFrame, n: int = SCAN_WINDOW, dimension: int | None = None) -> DataFrame:
@@ -56,43 +49,114 @@ def by_rank(hits: DataFrame, rows: DataFrame, within: Column | None = None) -> D
     return found.withColumn("place", F.row_number().over(W.orderBy("rank", "id")))  # a list of at most a query's limit
 
 
-def similar_batch(rows: DataFrame, queries: list[Query], k: int, least: float = LEAST_SIMILARITY) -> DataFrame:
-    """(qid, id, cosine, rank) of the k nearest rows of each query, exact, one matrix product a batch of rows.
+def query_blocks(queries: DataFrame, wide: int) -> list[str]:
+    """Writes the vectors of a query table (qid, vector) to files of at most QUERY_BLOCK numbers in the shared folder; their paths."""
+    folder = scratch(queries.sparkSession, "queries")
+    step = max(1, QUERY_BLOCK // max(1, wide))
+
+    def write(batches):
+        from pyarrow import fs
+
+        system, path = fs.FileSystem.from_uri(folder)
+        system.create_dir(path, recursive=True)
+        held: list[pa.RecordBatch] = []
+
+        def flush():
+            import uuid
+
+            name = uuid.uuid4().hex
+            table = pa.Table.from_batches(held)
+            with system.open_output_stream(f"{path}/{name}") as out:
+                out.write(np.array([table.num_rows], np.int64).tobytes())
+                out.write(table.column(0).to_numpy().astype(np.int64).tobytes())
+                out.write(table.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], names=["path"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                held.append(batch.slice(at, step))
+                if sum(b.num_rows for b in held) >= step:
+                    yield flush()
+                    held.clear()
+        if held:
+            yield flush()
+
+    even = queries.where(F.size("vector") == wide).select(F.col("qid").cast("long").alias("qid"), F.col("vector").cast("array<double>").alias("vector")).coalesce(8)
+    return [r.path for r in stored(even.mapInArrow(write, "path string"), "query-blocks").collect()]  # names; one a block
+
+
+def read_block(path: str) -> tuple[np.ndarray, np.ndarray]:
+    from pyarrow import fs
+
+    system, file = fs.FileSystem.from_uri(path)
+    with system.open_input_file(file) as f:
+        raw = f.read()
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    return np.frombuffer(raw, np.int64, n, 8), np.frombuffer(raw, np.float64, -1, 8 + 8 * n).reshape(n, -1)
+
+
+def best_first(cosines: np.ndarray, made: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best: by cosine, then newest, then smallest id."""
+    if len(ids) > k:  # what is below the k-th cosine can't be among them
+        least = np.partition(cosines, len(ids) - k)[len(ids) - k]
+        some = np.flatnonzero(cosines >= least)
+    else:
+        some = np.arange(len(ids))
+    age = -np.unique(made[some], return_inverse=True)[1]
+    return some[np.lexsort((ids[some], age, -cosines[some]))[:k]]
+
+
+def similar_batch(rows: DataFrame, queries: list[Query] | DataFrame, k: int, least: float = LEAST_SIMILARITY, wide: int | None = None) -> DataFrame:
+    """(qid, id, cosine, created_at, rank) of the k nearest rows of each query, exact, one matrix product a batch of rows.
 
     A task keeps its k best rows a query, so at most k rows a query and task are
-    shuffled. Queries go out in blocks of bounded size.
+    shuffled. Queries go out in blocks of bounded size, one pass over the rows a
+    block; those of a table (qid, vector; of `wide` numbers) never pass through the
+    driver. Rows without created_at are ordered by id where they tie.
     """
+    spark = rows.sparkSession
+    if isinstance(queries, DataFrame):
+        wide = wide or (queries.select(F.max(F.size("vector"))).first()[0] or 0)
+        blocks = query_blocks(queries, wide)
+        reads = [lambda path=path: read_block(path) for path in blocks]
+    else:
+        wide = max((len(q.vector) for q in queries), default=0)
+        step = max(1, QUERY_BLOCK // max(1, wide))
+        reads = []
+        for at in range(0, len(queries), step):
+            part = [q for q in queries[at : at + step] if len(q.vector) == wide]
+            told = spark.sparkContext.broadcast((np.array([q.qid for q in part], np.int64), np.array([q.vector for q in part], np.float64).reshape(len(part), wide)))
+            reads.append(lambda told=told: told.value)
+    made = F.coalesce("created_at", F.lit("")) if "created_at" in rows.columns else F.lit("")
+    slim = rows.where(F.size("embedding") == wide).select("id", "embedding", made.alias("created_at"))
+    names = "qid long, id long, cosine double, created_at string"
     frames = []
-    wide = max((len(q.vector) for q in queries), default=0)
-    step = max(1, QUERY_BLOCK // max(1, wide))
-    slim = rows.where(F.size("embedding") == wide).select("id", "embedding")
-    for at in range(0, len(queries), step):
-        part = queries[at : at + step]
-        told = rows.sparkSession.sparkContext.broadcast((np.array([q.qid for q in part]), np.array([q.vector for q in part], np.float64).reshape(len(part), wide)))
-
-        def best(batches, told=told):
-            qids, matrix = told.value
-            held: list[np.ndarray] | None = None  # per query: cosines and ids of the best so far
+    for read in reads:
+
+        def best(batches, read=read):
+            qids, matrix = read()
+            held: list[tuple] | None = None  # per query: cosines, times and ids of the best so far
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 ids = batch.column(0).to_numpy()
+                times = np.array(batch.column(2).to_pylist(), np.str_)
                 cosines = np.round(matrix @ batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype(np.float64).T, 9)
-                held = held or [np.zeros((0, 2))] * len(qids)
+                held = held or [(np.zeros(0), np.zeros(0, "U1"), np.zeros(0, np.int64))] * len(qids)
                 for i, row in enumerate(cosines):
                     near = np.flatnonzero(row >= least)
-                    both = np.concatenate([held[i], np.stack([row[near], ids[near]], 1)])
-                    held[i] = both[np.lexsort((both[:, 1], -both[:, 0]))[:k]]
+                    own = [np.concatenate([a, b]) for a, b in zip(held[i], (row[near], times[near], ids[near]))]
+                    keep = best_first(*own, k)
+                    held[i] = tuple(x[keep] for x in own)
             if held:
-                sizes = [len(x) for x in held]
-                rows_ = np.concatenate(held)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, sizes), pa.int64()), pa.array(rows_[:, 1].astype(np.int64)), pa.array(rows_[:, 0])], names=["qid", "id", "cosine"])
+                cos, times, ids = (np.concatenate(x) for x in zip(*held))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, [len(x[0]) for x in held]), pa.int64()), pa.array(ids.astype(np.int64)), pa.array(cos), pa.array(times.tolist(), pa.string())], names=[n.split()[0] for n in names.split(", ")])
 
-        frames.append(slim.mapInArrow(best, "qid long, id long, cosine double"))
-    found = frames[0] if frames else rows.sparkSession.createDataFrame([], "qid long, id long, cosine double")
+        frames.append(slim.mapInArrow(best, names))
+    found = frames[0] if frames else spark.createDataFrame([], names)
     for f in frames[1:]:
         found = found.union(f)
-    rank = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("cosine"), "id"))
+    rank = F.row_number().over(W.partitionBy("qid").orderBy(F.desc("cosine"), F.desc("created_at"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
@@ -114,15 +178,6 @@ def phrase_hits(index: DataFrame, phrase: str) -> DataFrame:
     return starts.where(F.col("n") == len(grams)).groupBy("kind", "id").agg(F.count("*").alias("f"))
 
 
-@dataclass(frozen=True)
-class Corpus:
-    """What BM25 asks of the whole table: one row, gathered before any isolation."""
-
-    rows: int
-    average: float
-    holding: dict[str, int]
-
-
 def _low(columns: tuple[str, ...]) -> list[Column]:
     return [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in columns]
 
@@ -147,9 +202,7 @@ def bm25(stats: Corpus, terms: list[str], *columns: str) -> Column:
     total, any_hit = F.lit(0.0), F.lit(0)
     for t in terms:
         f = _frequency(columns, t)
-        n = stats.holding[t]
-        idf = float(np.log((stats.rows - n + 0.5) / (n + 0.5)))
-        total = total + (idf if idf > 0 else 1e-6) * f * (K1 + 1) / (f + K1 * (1 - B + B * _size(columns) / max(stats.average, 1e-9)))
+        total = total + idf(stats, t) * f * (K1 + 1) / (f + K1 * (1 - B + B * _size(columns) / max(stats.average, 1e-9)))
         any_hit = any_hit + f
     return F.when(any_hit > 0, F.round(total, 9))
 
@@ -164,18 +217,6 @@ def matching(rows: DataFrame, query: str, k: int | None = None, within: Column |
     return found if k is None else found.orderBy(F.desc("bm25"), "id").limit(k)
 
 
-def matching_batch(rows: DataFrame, queries: list[Query], k: int, within: Column | None = None, columns: tuple[str, ...] = ("content",)) -> DataFrame:
-    """(qid, id, bm25, rank) of the k best rows of each query: one pass for the statistics, one for all scores."""
-    terms = {q.qid: phrases(q.text) for q in queries}
-    every = list(dict.fromkeys(t for ts in terms.values() for t in ts))
-    stats = corpus_stats(rows, every, *columns) if every else Corpus(0, 0.0, {})
-    scores = [F.struct(F.lit(i).cast("long").alias("qid"), bm25(stats, ts, *columns).alias("bm25")) for i, ts in terms.items() if ts]
-    if not scores:
-        return rows.sparkSession.createDataFrame([], "qid long, id long, bm25 double, rank int")
-    found = (rows if within is None else rows.where(within)).select("id", F.explode(F.filter(F.array(*scores), lambda s: s["bm25"].isNotNull())).alias("s")).select("s.qid", "id", "s.bm25")
-    return found.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("bm25"), "id"))).where(F.col("rank") <= k)
-
-
 def containing(rows: DataFrame, query: str, limit: int, window: int = SCAN_WINDOW) -> DataFrame:
     """The newest rows that contain the query literally."""
     cap = min(window, max(5 * limit, 50))

@@ -31,12 +31,17 @@ def _first(rows: DataFrame, *keys: str, when: Column | None = None) -> DataFrame
 
 
 def _seen(rows: DataFrame, target: DataFrame, column: str, shared: bool) -> DataFrame:
-    """Keys (seq) of rows whose column is in the target already: in the same bucket, or (shared) also in the global project."""
-    if shared:
-        have = target.select(F.col("agent_id").alias("a"), F.col("project_id").alias("p"), F.col("channel").alias("c"), F.col(column).alias("x")).distinct()
-        wanted = rows.select("seq", "agent_id", F.explode(F.array_distinct(F.array("project_id", F.lit("")))).alias("p"), "channel", column)
-        return wanted.join(have, (F.col("agent_id") == F.col("a")) & (wanted.p == have.p) & (F.col("channel") == F.col("c")) & (F.col(column) == F.col("x")), "left_semi").select("seq").distinct()
-    return rows.join(target.select(*EXACT, column).distinct(), [*EXACT, column], "left_semi").select("seq").distinct()
+    """Keys (seq) of rows whose column is in the target already: in the same bucket, or (shared) also in the global project.
+
+    Texts are compared by digest: only keys and digests of the target are shuffled, and
+    nothing of it where Spark finds the incoming rows small enough to broadcast.
+    """
+    key = F.md5(F.col(column).cast("binary"))
+    have = target.select(F.col("agent_id").alias("a"), F.col("project_id").alias("p"), F.col("channel").alias("c"), key.alias("x"))
+    projects = F.array_distinct(F.array("project_id", F.lit(""))) if shared else F.array("project_id")
+    wanted = rows.select("seq", "agent_id", F.explode(projects).alias("own"), "channel", key.alias("key"))
+    found = have.join(wanted, (F.col("agent_id") == F.col("a")) & (F.col("own") == F.col("p")) & (F.col("channel") == F.col("c")) & (F.col("key") == F.col("x")))
+    return found.select("seq").distinct()
 
 
 def store(target: DataFrame, incoming: DataFrame, shared: bool = True) -> DataFrame:
@@ -93,19 +98,39 @@ def episode(history: DataFrame, by: str = "conv") -> DataFrame:
     return history.where("coalesce(timestamp, '') <> ''").groupBy(by).agg(F.min("timestamp").alias("start_time"), F.max("timestamp").alias("end_time"))
 
 
+def _merge(ours: DataFrame, kept: DataFrame, move: bool) -> DataFrame:
+    told = ours.join(kept.select("seq", F.lit(True).alias("kept")), "seq", "left")
+    return told.select("id", F.when(F.col("kept"), "moved" if move else "copied").otherwise("left_at_source" if move else "skipped").alias("action"))
+
+
 def merged(rows: DataFrame, source: str, target: str, move: bool = False) -> DataFrame:
     """(id, action) for every row of the source agent: copied or skipped; of a move also left_at_source for what can't go.
 
     A row is skipped where the target holds its content in the same bucket, or its
     msg_id in the same project, or an earlier row of the source does.
     """
-    ours, theirs = rows.where(F.col("agent_id") == source).withColumn("seq", F.col("id")), rows.where(F.col("agent_id") == target)
-    by_content = ours.join(theirs.select("project_id", "channel", "content").distinct(), ["project_id", "channel", "content"], "left_semi").select("seq")
-    by_id = ours.where("msg_id <> ''").join(theirs.where("msg_id <> ''").select("project_id", "msg_id").distinct(), ["project_id", "msg_id"], "left_semi").select("seq")
+    slim = rows.select("id", "agent_id", "project_id", "channel", "msg_id", F.md5(F.col("content").cast("binary")).alias("content"))
+    ours, theirs = slim.where(F.col("agent_id") == source).withColumn("seq", F.col("id")), slim.where(F.col("agent_id") == target)
+    by_content = ours.join(theirs, ["project_id", "channel", "content"], "left_semi").select("seq")
+    by_id = ours.where("msg_id <> ''").join(theirs.where("msg_id <> ''"), ["project_id", "msg_id"], "left_semi").select("seq")
     new = ours.join(by_content.union(by_id).distinct(), "seq", "left_anti")
     kept = _first(_first(new, "project_id", "msg_id", when=F.col("msg_id") != ""), "project_id", "channel", "content")
-    told = ours.join(kept.select("seq", F.lit(True).alias("kept")), "seq", "left")
-    return told.select("id", F.when(F.col("kept"), "moved" if move else "copied").otherwise("left_at_source" if move else "skipped").alias("action"))
+    return _merge(ours, kept, move)
+
+
+def episodes_merged(rows: DataFrame, source: str, target: str, move: bool = False) -> DataFrame:
+    """(id, action) for the source's episodes: those whose summary the target has in the same bucket, or an earlier one of the source, and empty ones stay."""
+    slim = rows.where(F.coalesce("summary", F.lit("")) != "").select("id", "agent_id", "project_id", "channel", F.md5(F.col("summary").cast("binary")).alias("summary"))
+    ours, theirs = rows.where(F.col("agent_id") == source).select("id", F.col("id").alias("seq")), slim.where(F.col("agent_id") == target)
+    new = slim.where(F.col("agent_id") == source).withColumn("seq", F.col("id")).join(theirs, ["project_id", "channel", "summary"], "left_anti")
+    return _merge(ours, _first(new, "project_id", "channel", "summary"), move)
+
+
+def profiles_merged(rows: DataFrame, source: str, target: str, move: bool = False) -> DataFrame:
+    """(id, action) for the source's profiles: one that the target has for the same user stays, whatever it says."""
+    ours = rows.where(F.col("agent_id") == source).withColumn("seq", F.col("id"))
+    kept = ours.where(F.coalesce("content", F.lit("")) != "").join(rows.where(F.col("agent_id") == target), "user_id", "left_anti")
+    return _merge(ours, kept, move)
 
 
 def imported(target: DataFrame, records: DataFrame) -> DataFrame:
@@ -113,14 +138,34 @@ def imported(target: DataFrame, records: DataFrame) -> DataFrame:
     return store(target, records, shared=False)
 
 
+def episodes_imported(target: DataFrame, records: DataFrame) -> DataFrame:
+    """(seq, result) of episode records (seq, agent_id, project_id, channel, summary): rejected without a summary, skipped where the same one is in the same bucket already."""
+    rows = records.withColumn("summary", sanitised(F.col("summary"), MAX_CONTENT))
+    good = rows.where(F.coalesce("summary", F.lit("")) != "").withColumn("key", F.md5(F.col("summary").cast("binary")))
+    have = target.select(*EXACT, F.md5(F.col("summary").cast("binary")).alias("key"))
+    kept = _first(good.join(have, [*EXACT, "key"], "left_anti"), *EXACT, "key")
+    told = rows.join(kept.select("seq", F.lit(True).alias("kept")), "seq", "left")
+    return told.select("seq", F.when(F.coalesce("summary", F.lit("")) == "", "rejected").when(F.col("kept"), "stored").otherwise("skipped").alias("result"))
+
+
+def profiles_imported(rows: DataFrame, records: DataFrame) -> DataFrame:
+    """Profiles after an import: the file's last record of an (agent_id, user_id) wins over earlier ones and over what is there; blank ones change nothing."""
+    new = records.withColumn("content", sanitised(F.col("content"), MAX_PROFILE)).where(F.coalesce("content", F.lit("")) != "")
+    both = rows.withColumn("seq", F.lit(-1).cast("long")).unionByName(new, allowMissingColumns=True)
+    n = F.row_number().over(W.partitionBy("agent_id", "user_id").orderBy(F.desc("seq")))
+    kept_id = F.max(F.when(F.col("seq") < 0, F.col("id"))).over(W.partitionBy("agent_id", "user_id"))
+    return both.withColumns({"n": n, "kept_id": kept_id}).where("n = 1").withColumn("id", F.coalesce("kept_id", "id")).drop("n", "kept_id", "seq")
+
+
 def channels(rows: DataFrame) -> DataFrame:
     """(id, recovered) for rows filed under a bridge's name: digits before ':' of metadata.session_id, null where there are none.
 
     A recovered channel in which the row's content already is, or which an earlier row takes, gives null with collision.
     """
     session = F.when(json_valid(F.col("metadata")), F.get_json_object("metadata", "$.session_id"))
-    found = rows.where("channel = 'discord'").select("id", "agent_id", "project_id", "content", F.when(session.rlike("(?s)^[0-9].*:"), F.substring_index(session, ":", 1)).alias("recovered"))
-    there = rows.select("agent_id", "project_id", F.col("channel").alias("recovered"), "content").distinct().withColumn("there", F.lit(True))
+    digest = F.md5(F.col("content").cast("binary"))
+    found = rows.where("channel = 'discord'").select("id", "agent_id", "project_id", digest.alias("content"), F.when(session.rlike("(?s)^[0-9].*:"), F.substring_index(session, ":", 1)).alias("recovered"))
+    there = rows.select("agent_id", "project_id", F.col("channel").alias("recovered"), digest.alias("content")).distinct().withColumn("there", F.lit(True))
     place = F.row_number().over(W.partitionBy("agent_id", "project_id", "recovered", "content").orderBy("id"))
     told = found.join(there, ["agent_id", "project_id", "recovered", "content"], "left").withColumn("place", place)
     collides = F.col("recovered").isNotNull() & (F.col("there").isNotNull() | (F.col("place") > 1))

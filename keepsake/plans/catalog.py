@@ -14,21 +14,24 @@ from pyspark.sql import functions as F
 from ..functions import scoring
 from ..functions.isolation import permissions, project_visible, visible
 from ..functions.text import contains_literal, excluded, instant, memory_key, normalised_source, sanitised, source_starts, utc_text, zone_class
-from ..operators import calibrate, evaluate, fusion, health, retrieval, writes
-from ..operators.retrieval import Query
+from ..operators import calibrate, evaluate, fusion, health, lexical, retrieval, writes
+from ..operators.lexical import Query
 from ..sources.views import CTES, NOW, Views
+from ..shared import scratch, stored
 from . import recall as plan
 from .recall import Options
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: The SQL without the views, for queries that are put together from others.
+BODIES: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
     def add(fn):
         QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Views(spark, sf_dir))
         if sql is not None:
-            body = sql.strip()
+            BODIES[fn.__name__] = body = sql.strip()
             ORACLE_SQL[fn.__name__] = f"WITH {CTES}{', ' + body[5:] if body.upper().startswith('WITH ') else body}"
         return fn
 
@@ -67,10 +70,16 @@ def iso_all_axes(v):
     return v.memory.where(visible("agent0", "en", "src3")).select(*SLIM)
 
 
-@query("SELECT * FROM (VALUES ('bot', 'agent0', 2), ('bot', 'agent1', 1), ('bot', '*', 1), ('ops', 'agent0', 3), ('ops', '*', 0), ('web', 'agent9', 0)) t(principal, agent_id, level)")
+_GRANTS = [("bot", "agent0", 2), ("bot", "*", 1), ("ops", "agent0", 3), ("dev", "*", 3), ("dev", "agent1", 1), ("dev", "agent1", 2)]
+_DEMANDS = [("bot", "agent0"), ("bot", "agent1"), ("bot", "*"), ("ops", "agent0"), ("ops", "*"), ("web", "agent9"), ("dev", "agent1"), ("dev", "agent2"), ("dev", "*")]
+
+
+@query(f"""WITH g(principal, pattern, level) AS (VALUES {', '.join(map(str, _GRANTS))}), d(principal, agent_id) AS (VALUES {', '.join(map(str, _DEMANDS))})
+SELECT d.principal, d.agent_id, coalesce(CASE WHEN d.agent_id = '*' THEN (SELECT min(level) FROM g WHERE g.principal = d.principal HAVING bool_or(pattern = '*'))
+ELSE coalesce((SELECT max(level) FROM g WHERE g.principal = d.principal AND pattern = d.agent_id), (SELECT max(level) FROM g WHERE g.principal = d.principal AND pattern = '*')) END, 0) AS level FROM d""")
 def acl_levels(v):
-    grants = v.spark.createDataFrame([("bot", "agent0", 2), ("bot", "*", 1), ("ops", "agent0", 3)], "principal string, pattern string, level int")
-    demands = v.spark.createDataFrame([("bot", "agent0"), ("bot", "agent1"), ("bot", "*"), ("ops", "agent0"), ("ops", "*"), ("web", "agent9")], "principal string, agent_id string")
+    grants = v.spark.createDataFrame(_GRANTS, "principal string, pattern string, level int")
+    demands = v.spark.createDataFrame(_DEMANDS, "principal string, agent_id string")
     return permissions(grants, demands)
 
 
@@ -122,8 +131,9 @@ _REFS = ["mem:1", "mem:4", "mem:2", "ep:1", "bad", "mem:999999999", "mem:40", "m
 
 @query(f"""WITH refs(pos, ref) AS (VALUES {', '.join(f"({i}, '{r}')" for i, r in enumerate(_REFS))}),
 t AS (SELECT 'mem:' || id AS ref, content FROM memory WHERE agent_id = 'agent0' UNION ALL SELECT 'ep:' || id, '[Episode] ' || summary FROM episode WHERE agent_id = 'agent0'),
-x AS (SELECT refs.pos, refs.ref, t.content, sum(coalesce(length(t.content), 0)) OVER (ORDER BY refs.pos) AS spent FROM refs LEFT JOIN t USING (ref))
-SELECT pos, ref, CASE WHEN content IS NULL THEN 'missing' WHEN spent <= 6000 THEN 'ok' ELSE 'deferred' END AS status, CASE WHEN spent <= 6000 THEN content END AS content FROM x""")
+x AS (SELECT refs.pos, refs.ref, t.content, coalesce(sum(length(t.content)) OVER b, 0) AS used, count(t.content) OVER b AS items FROM refs LEFT JOIN t USING (ref) WINDOW b AS (ORDER BY refs.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+y AS (SELECT *, pos >= coalesce(min(CASE WHEN items > 0 AND used + length(content) > 6000 THEN pos END) OVER (), 99) AS late FROM x)
+SELECT pos, ref, CASE WHEN late THEN 'deferred' WHEN content IS NULL THEN 'missing' ELSE 'ok' END AS status, CASE WHEN NOT late THEN content END AS content FROM y""")
 def get_contents(v):
     refs = v.spark.createDataFrame([(0, i, r) for i, r in enumerate(_REFS)], "qid long, pos int, ref string")
     return plan.contents(refs, v.memory, v.episode, "agent0", 6000)
@@ -135,25 +145,51 @@ def preview(v):
     return fusion.preview(rows).drop("ref").withColumnRenamed("content", "preview")
 
 
-@query("""SELECT id, sum(length(content)) OVER (ORDER BY id DESC) <= 20000 OR id = max(id) OVER () AS whole FROM memory WHERE agent_id = 'agent1' AND id <= 60""")
+_DOT = "list_dot_product({a}::DOUBLE[], {b}::DOUBLE[])"
+_COS = "round(" + _DOT.format(a="m.embedding", b="(SELECT embedding FROM embeddings WHERE vec_id = 7)") + ", 9)"
+
+
+@query(f"""WITH r AS (SELECT id, content, row_number() OVER (ORDER BY {_COS} DESC, created_at DESC, id) AS rank FROM memory m WHERE embedding IS NOT NULL AND agent_id = 'agent1' QUALIFY rank <= 100),
+w AS (SELECT *, sum(length(content)) OVER (ORDER BY rank) AS spent FROM r), x AS (SELECT *, length(content) > 500 AND NOT (spent <= 20000 OR spent = length(content)) AS cut FROM w)
+SELECT id, 101 - rank AS place, CASE WHEN cut THEN substr(content, 1, 500) ELSE content END AS content, CASE WHEN cut THEN length(content) END AS content_len, cut AS content_truncated FROM x""")
 def full_content_budget(v):
-    rows = v.memory.where(visible("agent1")).where("id <= 60").select(F.lit(0).alias("qid"), "id", "content")
-    last = F.col("id") == F.max("id").over(fusion.W.partitionBy("qid"))
-    return fusion.budget(rows, F.length("content"), 20_000, [F.desc("id")], last).select("id", "whole")
+    best = retrieval.similar(v.memory.where(visible("agent1")), v.vector(7), -2.0, 100).select(F.lit(0).alias("qid"), "id", "content", "cosine", "created_at")
+    rank = F.row_number().over(fusion.W.partitionBy("qid").orderBy(F.desc("cosine"), F.desc("created_at"), "id"))
+    rows = best.withColumns({"place": F.lit(101).cast("long") - rank, "ref": F.concat(F.lit("mem:"), "id")})
+    return fusion.full_contents(rows, 20_000).select("id", "place", "content", "content_len", "content_truncated")
+
 
+def _listing_sql(most: int, columns: tuple[str, ...], table: str, kind: str, limit: int, where: str) -> str:
+    size = " + ".join(f"length({c})" for c in columns)
+    cut = lambda c: f"(length({c}) > 500 AND NOT whole)"
+    each = ", ".join(f"CASE WHEN {cut(c)} THEN substr({c}, 1, 500) ELSE {c} END AS {c}, CASE WHEN {cut(c)} THEN length({c}) END AS {c}_len, {cut(c)} AS {c}_truncated" for c in columns)
+    return f"""WITH l AS (SELECT *, {size} AS size FROM {table} WHERE {where} ORDER BY created_at DESC, id LIMIT {limit}), w AS (SELECT *, sum(size) OVER (ORDER BY created_at DESC, id) AS spent FROM l), x AS (SELECT *, spent <= {most} OR spent = size AS whole FROM w)
+SELECT id, {each}, CASE WHEN {' OR '.join(map(cut, columns))} THEN '{kind}:' || id END AS ref FROM x"""
 
-@query("SELECT id, sum(length(content)) OVER (ORDER BY created_at DESC, id) <= 50000 AS whole FROM memory WHERE agent_id = 'agent2'")
+
+def _listing(rows, most, columns, kind, limit):
+    few = rows.orderBy(F.desc("created_at"), "id").limit(limit).withColumn("qid", F.lit(0))
+    out = fusion.degraded(few, kind, columns, most, [F.desc("created_at"), F.col("id")])
+    return out.select("id", *[c + x for c in columns for x in ("", "_len", "_truncated")], "ref")
+
+
+@query(_listing_sql(50_000, ("content",), "memory", "mem", 500, "agent_id = 'agent2'"))
 def list_budget(v):
-    rows = v.memory.where(visible("agent2")).select(F.col("agent_id").alias("qid"), "id", "content", "created_at")
-    return fusion.budget(rows, F.length("content"), 50_000, [F.desc("created_at"), F.col("id")]).select("id", "whole")
+    return _listing(v.memory.where(visible("agent2")), 50_000, ("content",), "mem", 500)
 
 
-# ---- vectors --------------------------------------------------------------------
+@query(_listing_sql(600, ("summary", "keywords"), "episode", "ep", 200, "agent_id = 'agent0'"))
+def list_episodes_budget(v):
+    return _listing(v.episode.where(visible("agent0")), 600, ("summary", "keywords"), "ep", 200)
 
-_DOT = "list_dot_product({a}::DOUBLE[], {b}::DOUBLE[])"
-_COS = "round(" + _DOT.format(a="m.embedding", b="(SELECT embedding FROM embeddings WHERE vec_id = 7)") + ", 9)"
+
+@query(_listing_sql(10, ("content",), "memory", "mem", 500, "agent_id = 'agent1'"))
+def budget_first_row(v):
+    return _listing(v.memory.where(visible("agent1")), 10, ("content",), "mem", 500)
 
 
+# ---- vectors --------------------------------------------------------------------
+
 @query(f"SELECT id, round({_COS}, 6) AS cosine FROM memory m WHERE embedding IS NOT NULL ORDER BY {_COS} DESC, created_at DESC, id LIMIT 20")
 def vector_topk(v):
     return retrieval.similar(v.memory, v.vector(7), -2.0, 20).select("id", F.round("cosine", 6).alias("cosine"))
@@ -164,8 +200,8 @@ def vector_topk_threshold(v):
     return retrieval.similar(v.memory.where(visible("agent1")), v.vector(7), 0.1).select("id", F.round("cosine", 6).alias("cosine"))
 
 
-@query(f"""SELECT qid, kind, id, round(c, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY c DESC, kind DESC, id) AS n FROM (
-SELECT 1 AS qid, 'mem' AS kind, id, {_COS} AS c FROM memory m WHERE embedding IS NOT NULL UNION ALL SELECT 1, 'ep', id, {_COS} FROM episode m WHERE embedding IS NOT NULL) u WHERE c >= 0.05) w WHERE n <= 15""")
+@query(f"""SELECT qid, kind, id, round(c, 6) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY c DESC, kind DESC, created_at DESC, id) AS n FROM (
+SELECT 1 AS qid, 'mem' AS kind, id, created_at, {_COS} AS c FROM memory m WHERE embedding IS NOT NULL UNION ALL SELECT 1, 'ep', id, created_at, {_COS} FROM episode m WHERE embedding IS NOT NULL) u WHERE c >= 0.05) w WHERE n <= 15""")
 def vector_topk_mem_ep(v):
     rows = plan.vector_list(v.memory, v.episode, [Query(1, "", tuple(v.vector(7)))], Options(limit=15), 0.05)
     return rows.select(F.col("qid").cast("int").alias("qid"), "kind", "id", F.round("cosine", 6).alias("cosine"))
@@ -177,10 +213,10 @@ def two_phase_hydrate(v):
     return retrieval.hydrated(ranked, v.memory, ("content",))
 
 
-@query(f"""SELECT qid, id, round(c, 6) AS cosine, rank FROM (SELECT q.vec_id AS qid, m.id, round({_DOT.format(a='m.embedding', b='q.embedding')}, 9) AS c, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_DOT.format(a='m.embedding', b='q.embedding')}, 9) DESC, m.id) AS rank
+@query(f"""SELECT qid, id, round(c, 6) AS cosine, rank FROM (SELECT q.vec_id AS qid, m.id, round({_DOT.format(a='m.embedding', b='q.embedding')}, 9) AS c, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_DOT.format(a='m.embedding', b='q.embedding')}, 9) DESC, m.created_at DESC, m.id) AS rank
 FROM memory m, embeddings q WHERE m.embedding IS NOT NULL AND q.vec_id % 20 = 0) x WHERE rank <= 10""")
 def vector_topk_batch(v):
-    queries = [Query(r.vec_id, "", tuple(r.embedding)) for r in v.vectors.where("vec_id % 20 = 0").toLocalIterator()]
+    queries = v.vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
     return retrieval.similar_batch(v.memory, queries, 10, -2.0).select("qid", "id", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -218,9 +254,9 @@ def _queries(v, vectors: bool = True) -> list[Query]:
     return [Query(i, t, got.get(x, ())) for i, (t, x) in TEXTS.items()]
 
 
-@query("""SELECT id, pos, substr(lower(content), pos + 1, 3) AS tri FROM (SELECT id, content, unnest(range(greatest(length(content) - 2, 0))) AS pos FROM memory WHERE id <= 40) x""")
+@query("""SELECT id, pos, substr(lower(content), pos + 1, 3) AS tri FROM (SELECT id, content, unnest(range(greatest(length(content) - 2, 0))) AS pos FROM memory) x""")
 def trigram_postings(v):
-    return retrieval.postings(v.memory.where("id <= 40"), "mem", "content").select("id", F.col("pos").cast("long").alias("pos"), "tri")
+    return retrieval.postings(v.memory, "mem", "content").select("id", F.col("pos").cast("long").alias("pos"), "tri")
 
 
 @query("SELECT 'mem' AS kind, id, CAST((length(lower(content)) - length(replace(lower(content), 'attion', ''))) / 6 AS BIGINT) AS f FROM memory WHERE contains(lower(content), 'attion')")
@@ -236,13 +272,13 @@ def bm25_stats(v):
 
 @query("WITH " + _bm25_sql("b", "memory", ["content"], "a.agent_id = 'agent0'", 20) + " SELECT qid, id, round(score, 6) AS bm25, pos + 1 AS rank FROM b")
 def bm25_memories(v):
-    rows = retrieval.matching_batch(v.memory, _queries(v, False), 20, visible("agent0"))
+    rows = lexical.matching_batch(v.memory, _queries(v, False), 20, visible("agent0"))
     return rows.select(F.col("qid").cast("int").alias("qid"), "id", F.round("bm25", 6).alias("bm25"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("WITH " + _bm25_sql("b", "episode", ["summary", "keywords"], "true", 20) + " SELECT qid, id, round(score, 6) AS bm25, pos + 1 AS rank FROM b")
 def bm25_episodes(v):
-    rows = retrieval.matching_batch(v.episode, _queries(v, False), 20, None, ("summary", "keywords"))
+    rows = lexical.matching_batch(v.episode, _queries(v, False), 20, None, ("summary", "keywords"))
     return rows.select(F.col("qid").cast("int").alias("qid"), "id", F.round("bm25", 6).alias("bm25"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -263,9 +299,9 @@ _QVEC = "(VALUES " + ", ".join(f"({i}, {x})" for i, (_, x) in TEXTS.items()) + "
 
 def _lists_sql(least: float, k: int = 20) -> str:
     c = "round(" + _DOT.format(a="m.embedding", b="e.embedding") + ", 9)"
-    return f"""v AS (SELECT qid, kind, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, kind DESC, id) - 1 AS pos FROM (
-  SELECT q.qid, 'mem' AS kind, m.id, {c} AS score FROM memory m, {_QVEC} JOIN embeddings e ON e.vec_id = q.vec WHERE m.embedding IS NOT NULL AND m.agent_id = 'agent0'
-  UNION ALL SELECT q.qid, 'ep', m.id, {c} FROM episode m, {_QVEC} JOIN embeddings e ON e.vec_id = q.vec WHERE m.embedding IS NOT NULL AND m.agent_id = 'agent0') u WHERE score >= {least} QUALIFY pos < {k}),
+    return f"""v AS (SELECT qid, kind, id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, kind DESC, created_at DESC, id) - 1 AS pos FROM (
+  SELECT q.qid, 'mem' AS kind, m.id, m.created_at, {c} AS score FROM memory m, {_QVEC} JOIN embeddings e ON e.vec_id = q.vec WHERE m.embedding IS NOT NULL AND m.agent_id = 'agent0'
+  UNION ALL SELECT q.qid, 'ep', m.id, m.created_at, {c} FROM episode m, {_QVEC} JOIN embeddings e ON e.vec_id = q.vec WHERE m.embedding IS NOT NULL AND m.agent_id = 'agent0') u WHERE score >= {least} QUALIFY pos < {k}),
 {_bm25_sql('bt', 'episode', ['summary', 'keywords'], "a.agent_id = 'agent0'", k)},
 {_bm25_sql('bm', 'memory', ['content'], "a.agent_id = 'agent0'", k)},
 l AS (SELECT qid, kind, id, 0 AS list, pos, score FROM v UNION ALL SELECT qid, 'ep', id, 1, pos, score FROM bt UNION ALL SELECT qid, 'mem', id, 2, pos, score FROM bm)"""
@@ -299,13 +335,26 @@ def rsf_recall(v):
 
 
 @query("WITH " + _lists_sql(0.3) + """,
-d AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY qid, kind, id ORDER BY list, pos) = 1),
-o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY list, pos) AS ord FROM d)
-SELECT qid, kind, id, ord FROM o WHERE ord <= 20 UNION ALL SELECT DISTINCT qid, 'profile', -1, 1073741825 FROM l""")
+d AS (SELECT qid, kind, id, list, pos FROM l WHERE list < 2 QUALIFY row_number() OVER (PARTITION BY qid, kind, id ORDER BY list, pos) = 1
+  UNION ALL SELECT q.qid, 'profile', -1, 1, 1000000 FROM """ + _QVEC + """, profile WHERE agent_id = 'agent0' AND user_id = ''),
+t AS (SELECT qid, count(*) AS n FROM d GROUP BY qid),
+w AS (SELECT l.qid, l.kind, l.id, l.list, l.pos FROM l LEFT JOIN t USING (qid) WHERE l.list = 2 AND l.pos < 20 - coalesce(n, 0) AND NOT EXISTS (SELECT 1 FROM d WHERE d.qid = l.qid AND d.kind = l.kind AND d.id = l.id))
+SELECT qid, kind, id, row_number() OVER (PARTITION BY qid ORDER BY list, pos) AS ord FROM (SELECT * FROM d UNION ALL SELECT * FROM w) x""")
 def cascade_recall(v):
-    rows = plan.fused(v.memory, v.episode, _queries(v), _options(mode="cascade"))
-    mine = rows.select("qid").distinct().crossJoin(F.broadcast(v.profile.where(visible("agent0")).select("id", "content", "updated_at")))  # an agent has few profiles
-    return fusion.with_profiles(rows, mine).select(F.col("qid").cast("int").alias("qid"), "kind", "id", F.col("ord").cast("long").alias("ord"))
+    rows = plan.fused(v.memory, v.episode, _queries(v), _options(mode="cascade"), v.profile)
+    return rows.select(F.col("qid").cast("int").alias("qid"), "kind", "id", F.col("ord").cast("long").alias("ord"))
+
+
+_SHORT = "(VALUES (1, 'ab'), (2, 'Er i'), (3, 'zq')) t(qid, text)"
+
+
+@query(f"""WITH k AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY created_at DESC, id) AS rank FROM memory m, {_SHORT} WHERE agent_id = 'agent0' AND contains(translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) QUALIFY rank <= 20)
+SELECT qid, 'mem' AS kind, id, round(1 / (60.0 + rank), 6) AS rrf, rank AS ord FROM k""")
+def recall_fallback(v):
+    """Queries of short words: no phrase to search for, so the newest rows that hold the text take the keyword list's place."""
+    queries = [Query(1, "ab", (0.0,) * 64), Query(2, "Er i", (0.0,) * 64), Query(3, "zq", (0.0,) * 64)]
+    rows = plan.fused(v.memory, v.episode, queries, _options(least=2.0))
+    return rows.select(F.col("qid").cast("int").alias("qid"), "kind", "id", F.round("rrf", 6).alias("rrf"), F.col("ord").cast("long").alias("ord"))
 
 
 @query("WITH " + _lists_sql(0.15) + """,
@@ -315,10 +364,12 @@ SELECT f.qid, f.kind, f.id, cosine IS NULL AND e.id IS NOT NULL AS backfilled, r
 FROM f JOIN """ + _QVEC + """ ON q.qid = f.qid JOIN embeddings qe ON qe.vec_id = q.vec LEFT JOIN e ON e.kind = f.kind AND e.id = f.id""")
 def cosine_backfill(v):
     queries = _queries(v)
-    rows = plan.fused(v.memory, v.episode, queries, _options())
+    rows = stored(plan.fused(v.memory, v.episode, queries, _options()), "fused")
     wide = v.memory.where("embedding is not null").select(F.lit("mem").alias("kind"), "id", "embedding").unionByName(v.episode.where("embedding is not null").select(F.lit("ep").alias("kind"), "id", "embedding"))
-    vector = F.element_at(F.create_map(*[x for q in queries for x in (F.lit(q.qid), F.array(*map(F.lit, q.vector)))]), F.col("qid").cast("int"))
-    return fusion.backfilled(rows, wide, scoring.dot(F.col("embedding"), vector)).select(F.col("qid").cast("int").alias("qid"), "kind", "id", "backfilled", F.round("cosine", 6).alias("cosine"))
+    told = v.spark.createDataFrame([(q.qid, list(q.vector)) for q in queries], "qid long, asked array<double>")
+    few = rows.select("kind", "id").distinct()
+    out = fusion.backfilled(rows.join(F.broadcast(told), "qid"), wide.join(F.broadcast(few), ["kind", "id"]), scoring.dot(F.col("embedding"), F.col("asked")))
+    return out.select(F.col("qid").cast("int").alias("qid"), "kind", "id", "backfilled", F.round("cosine", 6).alias("cosine"))
 
 
 # ---- scoring and gates ------------------------------------------------------------
@@ -381,51 +432,128 @@ def _small(v):
     return v.spark.createDataFrame([(*r, i + 1) for i, r in enumerate(_ROWS)], "qid int, kind string, id long, cosine double, backfilled boolean, ord int")
 
 
-@query("SELECT * FROM (VALUES (1, 'mem', 1::BIGINT, false), (2, 'profile', -1, true), (2, 'mem', 3, true)) t(qid, kind, id, fallback)")
+_SMALL = "r(qid, kind, id, cosine, backfilled, ord) AS (VALUES " + ", ".join(f"({q}, '{k}', {i}::BIGINT, {'NULL' if c is None else c}::DOUBLE, {b}, {n + 1})" for n, (q, k, i, c, b) in enumerate(_ROWS)) + ")"
+
+
+@query(f"""WITH {_SMALL}, p AS (SELECT *, CASE WHEN kind = 'profile' THEN true ELSE cosine >= round(0.5 - 0.3 * ln(61) / ln(500), 4) END AS passes FROM r),
+f AS (SELECT qid, count(CASE WHEN passes AND kind <> 'profile' THEN 1 END) = 0 AND count(CASE WHEN backfilled THEN 1 END) > 0 AS fallback FROM p GROUP BY qid)
+SELECT p.qid, kind, id, fallback FROM p JOIN f ON f.qid = p.qid WHERE passes OR (fallback AND backfilled)""")
 def gate_fallback(v):
     rows = _small(v)
     return fusion.rescued(fusion.gate(rows, F.lit(60)), rows).select("qid", "kind", "id", "fallback")
 
 
-@query("SELECT * FROM (VALUES (1, 1::BIGINT), (1, 2), (2, 5), (2, 6), (2, 7), (3, 9), (3, 10)) t(qid, id)")
+_CUTS = [(1, 1, 0.9), (1, 2, 0.85), (1, 3, 0.4), (1, 4, 0.39), (2, 5, 0.9), (2, 6, 0.85), (2, 7, 0.8), (3, 9, 0.9), (3, 10, 0.1), (4, 11, 0.9), (4, 12, 0.5), (4, 13, 0.1), (5, 14, 0.0), (5, 15, 0.0), (5, 16, -0.5)]
+
+
+def _autocut_sql(rows: str, key: str, also: str = "true") -> str:
+    """Rows (qid, ord, ...) up to the first largest gap, where it is a fair part of the best score."""
+    return f"""SELECT * EXCLUDE (gap, top, many, widest, cut_at) FROM (SELECT *, min(CASE WHEN gap = widest THEN ord END) OVER (PARTITION BY qid) AS cut_at FROM (
+SELECT *, max(gap) OVER (PARTITION BY qid) AS widest FROM (SELECT *, {key} - lead({key}) OVER (PARTITION BY qid ORDER BY ord) AS gap, first({key}) OVER (PARTITION BY qid ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS top, count(*) OVER (PARTITION BY qid) AS many FROM {rows}) g) h) i
+WHERE NOT coalesce({also} AND many >= 3 AND top > 0 AND widest / top >= 0.15, false) OR ord <= cut_at"""
+
+
+@query(f"""WITH r(qid, id, cosine, ord) AS (VALUES {", ".join(f"({q}, {i}::BIGINT, {c}::DOUBLE, {i})" for q, i, c in _CUTS)}), n AS (SELECT qid, id, cosine, row_number() OVER (PARTITION BY qid ORDER BY ord) AS ord FROM r)
+SELECT qid, id FROM ({_autocut_sql('n', 'cosine')}) x""")
 def autocut(v):
-    rows = [(1, 1, 0.9), (1, 2, 0.85), (1, 3, 0.4), (1, 4, 0.39), (2, 5, 0.9), (2, 6, 0.85), (2, 7, 0.8), (3, 9, 0.9), (3, 10, 0.1)]
-    df = v.spark.createDataFrame([(q, i, c, i) for q, i, c in rows], "qid int, id long, cosine double, ord int")
+    df = v.spark.createDataFrame([(q, i, c, i) for q, i, c in _CUTS], "qid int, id long, cosine double, ord int")
     return fusion.autocut(df).select("qid", "id")
 
 
-@query(_GATED.rstrip().replace("g AS (SELECT o.*", "b AS (SELECT epoch(max(created_at)::TIMESTAMP) AS s FROM episode WHERE agent_id = 'agent0'), pf AS (SELECT o.qid, o.kind, o.id, o.ord, o.cosine * x.k AS cosine, o.rrf * x.k AS rrf FROM o LEFT JOIN (SELECT 'mem' AS kind, id, CASE WHEN seconds < b.s THEN greatest(0.5, exp(-0.01 * (b.s - seconds) / 3600.0)) ELSE 1.0 END AS k0, CASE WHEN seconds IS NULL THEN 1.0 WHEN seconds < b.s THEN greatest(0.5, exp(-0.01 * (b.s - seconds) / 3600.0)) ELSE 1.0 END AS k FROM memory, b UNION ALL SELECT 'ep', id, 1.0, 1.0 FROM episode) x ON x.kind = o.kind AND x.id = o.id), po AS (SELECT qid, kind, id, cosine, rrf, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, ord) AS ord FROM pf), g AS (SELECT o.*").replace("FROM o, pool", "FROM po o, pool") + """,
-n AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ord) AS n FROM g QUALIFY n <= 20)
-SELECT qid, kind || ':' || id AS ref, count(*) OVER (PARTITION BY qid) - n + 1 AS place, round(coalesce(cosine, rrf), 6) AS score FROM n""")
+_POOL = "pool AS (SELECT (SELECT count(*) FROM memory WHERE agent_id = 'agent0') + (SELECT count(*) FROM episode WHERE agent_id = 'agent0') AS n)"
+_LEAST = "(SELECT round(0.5 - 0.3 * least(1.0, ln(n + 1) / ln(500)), 4) FROM pool)"
+
+
+def _recall_sql(lists: str, limit: int, sure: bool = False, gate: float | None = None) -> str:
+    """The whole recall in rrf mode with the agent's profiles: CTE `out` (qid, kind, id, ord, cosine, rrf, conf, fallback)."""
+    pen = "CASE WHEN seconds < b.s THEN greatest(0.5, exp(-0.01 * (b.s - seconds) / 3600.0)) ELSE 1.0 END"
+    cos = "CASE WHEN f.cosine IS NULL AND x.embedding IS NOT NULL THEN round(" + _DOT.format(a="x.embedding", b="qe.embedding") + ", 9) ELSE f.cosine END" if sure else "f.cosine"
+    age = f"coalesce(greatest(0, ({NOW} - seconds) / 3600), newest + span / 2)"
+    since = f"(CASE WHEN recall_count > 0 THEN ({NOW} - last_recalled) / 3600 END)"
+    d = f"greatest(least(0.5, 0.3 + ln(1 + coalesce(recall_count, 0)) * 0.02 / (1 + 0.002 * coalesce({since}, 0))), 1 / (1 + {age} * 0.005 / greatest(1, greatest(24, span) / 168)))"
+    conf = f"round(coalesce(sqrt(greatest(0, least(1, (cosine - 0.2) / 0.55)) * {d}), sqrt({d})) * CASE WHEN resolved THEN 0.3 ELSE 1.0 END * CASE WHEN {since} * 60 < 5 THEN 0.7 ELSE 1.0 END, 4)"
+    score, order = ("conf", "conf DESC, ord") if sure else ("coalesce(cosine, rrf)", "rrf DESC NULLS LAST, ord")
+    least = str(gate) if gate is not None else _LEAST if sure else f"{_LEAST} * CASE WHEN cosine IS NULL THEN 3 / 61.0 ELSE 1 END"
+    return f"""{lists}, {_POOL},
+f AS (SELECT qid, kind, id, round(sum(1 / (60.0 + pos + 1)), 9) AS rrf, max(CASE WHEN list = 0 THEN score END) AS cosine, min(list * 1000000 + pos) AS first FROM l GROUP BY qid, kind, id),
+o AS (SELECT qid, kind, id, rrf, cosine, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, first) AS ord FROM f
+  UNION ALL SELECT qid, 'profile', -1, NULL, NULL, 1000000 FROM {_QVEC}, profile WHERE agent_id = 'agent0' AND user_id = ''),
+b AS (SELECT epoch(max(created_at)::TIMESTAMP) AS s FROM episode WHERE agent_id = 'agent0'),
+t AS (SELECT greatest(0, (arg_max(seconds, "timestamp") - arg_min(seconds, "timestamp")) / 3600) AS span, greatest(0, ({NOW} - arg_max(seconds, "timestamp")) / 3600) AS newest FROM memory WHERE agent_id = 'agent0' AND seconds IS NOT NULL AND "timestamp" <> ''),
+x AS (SELECT 'mem' AS kind, id, embedding, seconds, recall_count, last_recalled, false AS resolved, {pen} AS factor FROM memory, b
+  UNION ALL SELECT 'ep', id, embedding, epoch(coalesce(start_time, created_at)::TIMESTAMP), 0, NULL, resolved, 1.0 FROM episode),
+p AS (SELECT f.qid, f.kind, f.id, f.ord, f.rrf * coalesce(x.factor, 1) AS rrf, {cos} * coalesce(x.factor, 1) AS cosine, f.cosine IS NULL AND x.embedding IS NOT NULL AND {'true' if sure else 'false'} AS backfilled, seconds, recall_count, last_recalled, coalesce(resolved, false) AS resolved
+  FROM o f JOIN {_QVEC} ON q.qid = f.qid JOIN embeddings qe ON qe.vec_id = q.vec LEFT JOIN x ON x.kind = f.kind AND x.id = f.id),
+s AS (SELECT p.*, {conf} AS conf FROM p, t),
+r AS (SELECT * EXCLUDE (ord), row_number() OVER (PARTITION BY qid ORDER BY {order}) AS ord FROM s),
+g AS (SELECT *, CASE WHEN kind = 'profile' THEN (SELECT n FROM pool) >= 50 ELSE {score} >= {least} END AS passes FROM r),
+h AS (SELECT *, count(CASE WHEN passes AND kind <> 'profile' THEN 1 END) OVER (PARTITION BY qid) = 0 AND count(CASE WHEN backfilled THEN 1 END) OVER (PARTITION BY qid) > 0 AS fallback FROM g),
+k AS (SELECT * EXCLUDE (ord), row_number() OVER (PARTITION BY qid ORDER BY ord) AS ord FROM h WHERE passes OR (fallback AND backfilled)),
+c AS ({_autocut_sql('k', 'conf', 'NOT fallback') if sure else 'SELECT * FROM k'}),
+out AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ord) AS n FROM c QUALIFY n <= {limit})"""
+
+
+def _recalled(v, **more):
+    rows = plan.recall(v.memory, v.episode, _queries(v), _options(**more), v.profile)
+    return rows.select(F.col("qid").cast("int").alias("qid"), "kind", "id", "ref", F.col("place").cast("long").alias("place"), "signal", F.round("score", 4 if more.get("use_confidence") else 6).alias("score"), *[F.coalesce(c, F.lit(False)).alias(c) for c in ("fallback",) if c in rows.columns], F.round("match_reason.cosine", 6).alias("reason_cosine"))
+
+
+_TOLD = "qid, kind, id, CASE WHEN kind <> 'profile' THEN kind || ':' || id END AS ref, count(*) OVER (PARTITION BY qid) - n + 1 AS place"
+
+
+@query("WITH " + _recall_sql(_lists_sql(0.15), 20) + f" SELECT {_TOLD}, CASE WHEN kind = 'profile' THEN NULL WHEN cosine IS NULL THEN 'rrf' ELSE 'cosine' END AS signal, round(coalesce(cosine, rrf), 6) AS score, round(cosine, 6) AS reason_cosine FROM out")
 def recall_full(v):
-    rows = plan.recall(v.memory, v.episode, _queries(v), _options())
-    return rows.select(F.col("qid").cast("int").alias("qid"), "ref", F.col("place").cast("long").alias("place"), F.round("score", 6).alias("score"))
+    return _recalled(v)
+
+
+@query("WITH " + _recall_sql(_lists_sql(0.15, 100), 100) + f" SELECT {_TOLD}, CASE WHEN kind = 'profile' THEN NULL WHEN cosine IS NULL THEN 'rrf' ELSE 'cosine' END AS signal, round(coalesce(cosine, rrf), 6) AS score, round(cosine, 6) AS reason_cosine FROM out")
+def recall_profiles(v):
+    """With so long lists that the agent's profile, which stands last, is among what is returned."""
+    return _recalled(v, limit=100)
+
+
+@query("WITH " + _recall_sql(_lists_sql(0.15), 20, True) + f" SELECT {_TOLD}, 'confidence' AS signal, round(conf, 4) AS score, fallback, round(cosine, 6) AS reason_cosine FROM out")
+def recall_confidence(v):
+    return _recalled(v, use_confidence=True)
+
+
+@query("WITH " + _recall_sql(_lists_sql(0.15), 20, True, 0.9999) + f" SELECT {_TOLD}, 'confidence' AS signal, round(conf, 4) AS score, fallback, round(cosine, 6) AS reason_cosine FROM out")
+def recall_gate_fallback(v):
+    """A gate that nothing passes: the rows whose cosine was filled in come back, marked."""
+    return _recalled(v, use_confidence=True, calibrated={"confidence": 0.9999})
+
 
+_OWN = "abc"
 
-@query("""SELECT qid, role, content, "timestamp", row_number() OVER (ORDER BY coalesce("timestamp", ''), part, spot) AS place FROM (
-SELECT 1 AS qid, 0 AS part, row_number() OVER (ORDER BY id) AS spot, 'memory' AS role, content, "timestamp" FROM memory WHERE id <= 20
-UNION ALL SELECT 1, 1, 0, 'user', 'hello', '2024-01-01T00:30:00Z' UNION ALL SELECT 1, 1, 1, 'assistant', 'hi', NULL) x""")
+
+@query(f"""WITH {_lists_sql(-2.0, 200).replace("l AS (SELECT", "l0 AS (SELECT")}, l AS (SELECT * FROM l0 WHERE NOT (kind = 'mem' AND id IN (SELECT id FROM memory WHERE lower(trim(content)) = '{_OWN}'))),
+f AS (SELECT qid, kind, id, round(sum(1 / (60.0 + pos + 1)), 9) AS rrf, min(list * 1000000 + pos) AS first FROM l GROUP BY qid, kind, id),
+o AS (SELECT qid, kind, id, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, first) AS ord FROM f)
+SELECT qid, role, content, "timestamp", row_number() OVER (PARTITION BY qid ORDER BY coalesce("timestamp", ''), part, spot) AS place FROM (
+SELECT o.qid, 0 AS part, ord AS spot, 'memory' AS role, content, "timestamp" FROM o JOIN memory m ON m.id = o.id WHERE kind = 'mem'
+UNION ALL SELECT 1, 1, 0, 'user', 'Abc', '2024-01-01T00:30:00Z' UNION ALL SELECT 1, 1, 1, 'assistant', 'hi', NULL) x""")
 def recall_with_context(v):
-    recalled = v.memory.where("id <= 20").select(F.lit(1).alias("qid"), F.lit("mem").alias("kind"), "id", F.row_number().over(fusion.W.orderBy("id")).alias("place"))
-    context = v.spark.createDataFrame([(1, 0, "user", "hello", "2024-01-01T00:30:00Z"), (1, 1, "assistant", "hi", None), (1, 2, "system", "no", "")], "qid int, pos int, role string, content string, timestamp string")
-    return plan.with_context(recalled, v.memory, context).select("qid", "role", "content", "timestamp", F.col("place").cast("long").alias("place"))
+    """The caller's own text isn't recalled; its messages are merged with what is, by time."""
+    recalled = plan.fused(v.memory, v.episode, _queries(v), _options(limit=200, least=-4.0, exclude=[" ABC "])).withColumn("place", F.col("ord"))
+    context = v.spark.createDataFrame([(1, 0, "user", "Abc", "2024-01-01T00:30:00Z"), (1, 1, "assistant", "hi", None), (1, 2, "system", "no", "")], "qid long, pos int, role string, content string, timestamp string")
+    return plan.with_context(recalled, v.memory, context).select(F.col("qid").cast("int").alias("qid"), "role", "content", "timestamp", F.col("place").cast("long").alias("place"))
 
 
 # ---- calibration -------------------------------------------------------------------
 
-_SAMPLE = "s AS (SELECT id, embedding::DOUBLE[] AS e FROM memory WHERE embedding IS NOT NULL ORDER BY id LIMIT 60)"
+_SAMPLE = "s AS (SELECT id, embedding::DOUBLE[] AS e FROM memory WHERE embedding IS NOT NULL ORDER BY id LIMIT 200)"
 _PAIRS = f"WITH {_SAMPLE}, p AS (SELECT a.id AS a, b.id AS b, list_dot_product(a.e, b.e) AS sim FROM s a JOIN s b ON a.id < b.id) "
 _ADJ = "sqrt(list_dot_product({0}::DOUBLE[], {0}::DOUBLE[]))"
 
 
 def _pairs(v):
-    return calibrate.pairs(calibrate.sample(v.memory, 60))
+    return calibrate.pairs(calibrate.sample(v.memory))
 
 
-@query(_PAIRS + "SELECT count(*) AS n, round(avg(sim), 6) AS mean, round(stddev_pop(sim), 6) AS std, round(median(sim), 6) AS median, round(quantile_cont(sim, 0.95), 6) AS p95 FROM p")
+@query(_PAIRS + "SELECT count(*) AS n, round(avg(sim), 6) AS mean, round(stddev_pop(sim), 6) AS std, round(median(sim), 6) AS median, round(quantile_cont(sim, 0.95), 6) AS p95, round(avg(CASE WHEN sim >= 0.1 THEN 1.0 ELSE 0.0 END), 6) AS admit_rate FROM p")
 def null_distribution(v):
-    d = calibrate.distribution(_pairs(v))
-    return d.select("n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "median", "p95")])
+    d = calibrate.distribution(_pairs(v), 0.1)
+    return d.select("n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "median", "p95", "admit_rate")])
 
 
 @query(_PAIRS + "SELECT round(greatest(quantile_cont(sim, 0.95), 0.05), 4) AS threshold FROM p")
@@ -461,13 +589,16 @@ def youden_separation(v):
     return calibrate.by_separation(_pairs(v), positive).select("threshold", F.round("objective", 6).alias("objective"))
 
 
-@query("SELECT * FROM (VALUES (0.3::DOUBLE)) t(threshold)")
+_DRAWS = (0.5, 0.1, 0.3, 0.2)
+
+
+@query(f"SELECT threshold FROM (SELECT x::DOUBLE AS threshold, row_number() OVER (ORDER BY x) - 1 AS i, count(*) OVER () AS n FROM (VALUES {', '.join(f'({x})' for x in _DRAWS)}) t(x)) y WHERE i = n // 2")
 def gate_median(v):
-    return calibrate.upper_median(v.spark.createDataFrame([(x,) for x in (0.5, 0.1, 0.3, 0.2)], "threshold double"))
+    return calibrate.upper_median(v.spark.createDataFrame([(x,) for x in _DRAWS], "threshold double"))
 
 
 @query(f"""WITH q AS (SELECT id AS qid, seconds AS q_seconds, embedding::DOUBLE[] AS e FROM memory WHERE embedding IS NOT NULL AND seconds IS NOT NULL ORDER BY id LIMIT 40),
-r AS (SELECT q.qid, q_seconds, m.id, m.seconds, round(list_dot_product(m.embedding::DOUBLE[], q.e), 9) AS score, row_number() OVER (PARTITION BY q.qid ORDER BY round(list_dot_product(m.embedding::DOUBLE[], q.e), 9) DESC, m.id) AS rank FROM q, memory m WHERE m.embedding IS NOT NULL)
+r AS (SELECT q.qid, q_seconds, m.id, m.seconds, round(list_dot_product(m.embedding::DOUBLE[], q.e), 9) AS score, row_number() OVER (PARTITION BY q.qid ORDER BY round(list_dot_product(m.embedding::DOUBLE[], q.e), 9) DESC, m.created_at DESC, m.id) AS rank FROM q, memory m WHERE m.embedding IS NOT NULL)
 SELECT qid, id, CASE WHEN abs(seconds - q_seconds) <= 1800 THEN 1 WHEN seconds IS NULL THEN NULL ELSE 0 END AS pos, round(score, 6) AS score FROM r WHERE rank <= 20""")
 def gate_simulation(v):
     few = v.memory.where("embedding is not null and seconds is not null").orderBy("id").limit(40).select("id", "seconds", "embedding").collect()  # 40 simulated queries
@@ -505,8 +636,9 @@ def store_dedup_msg_id(v):
     return writes.imported(v.memory, rows)
 
 
-@query("""WITH o AS (SELECT id AS seq, agent_id, 'en' AS project_id, channel, content FROM memory WHERE project_id = '' AND id % 3 = 0 AND content NOT LIKE '[Memory%' AND content NOT LIKE '<@%' AND content <> '' AND length(content) <= 16000)
-SELECT seq, 'skipped' AS result FROM o""")
+@query("""WITH o AS (SELECT id AS seq, agent_id, 'en' AS project_id, channel, content FROM memory WHERE project_id = '' AND id % 3 = 0 AND content NOT LIKE '[Memory%' AND content NOT LIKE '<@%' AND content <> '' AND length(content) <= 16000),
+z AS (SELECT o.*, EXISTS (SELECT 1 FROM memory m WHERE m.agent_id = o.agent_id AND m.project_id IN ('en', '') AND m.channel = o.channel AND m.content = o.content) AS seen FROM o)
+SELECT seq, CASE WHEN seen OR row_number() OVER (PARTITION BY agent_id, channel, content, seen ORDER BY seq) > 1 THEN 'skipped' ELSE 'stored' END AS result FROM z""")
 def gamma_dedup(v):
     rows = v.memory.where("project_id = '' and id % 3 = 0 and content not like '[Memory%' and content not like '<@%' and content <> '' and length(content) <= 16000")
     return writes.store(v.memory, rows.select(F.col("id").alias("seq"), "agent_id", F.lit("en").alias("project_id"), "channel", F.lit("").alias("msg_id"), "content", F.lit("{}").alias("source"), F.lit("{}").alias("metadata")))
@@ -536,15 +668,19 @@ def migrate_channel(v):
     return writes.channels(v.memory)
 
 
-@query("SELECT agent_id, user_id, content FROM (VALUES ('agent0', '', 'likes figs'), ('agent1', '', 'prefers short answers'), ('agent2', '', 'new')) t(agent_id, user_id, content)")
+_TOLD_OF = [("agent0", "", "likes figs", "2024-03-01 00:00:00"), ("agent1", "", "  ", "2024-03-01 00:00:00"), ("agent2", "", "new", "2024-03-01 00:00:00"), ("agent0", "", "older", "2024-02-28 00:00:00"), ("agent1", "u", "of one user", "2024-01-01 00:00:00")]
+
+
+@query(f"""WITH n(agent_id, user_id, content, updated_at) AS (VALUES {', '.join(map(str, _TOLD_OF))}), u AS (SELECT agent_id, user_id, content, updated_at, 0 AS new FROM profile UNION ALL SELECT *, 1 FROM n WHERE trim(content) <> '')
+SELECT agent_id, user_id, content FROM u QUALIFY row_number() OVER (PARTITION BY agent_id, user_id ORDER BY updated_at DESC, new DESC) = 1""")
 def profile_upsert(v):
-    new = v.spark.createDataFrame([("agent0", "", "likes figs", "2024-03-01 00:00:00"), ("agent1", "", "  ", "2024-03-01 00:00:00"), ("agent2", "", "new", "2024-03-01 00:00:00")], "agent_id string, user_id string, content string, updated_at string")
+    new = v.spark.createDataFrame(_TOLD_OF, "agent_id string, user_id string, content string, updated_at string")
     return writes.profiles_upserted(v.profile, new).select("agent_id", "user_id", "content")
 
 
-@query("SELECT id, CASE WHEN id = 5 THEN 'changed' ELSE content END AS content, embedding IS NOT NULL AND id <> 5 AS has_vector, locked OR id = 8 AS locked FROM memory WHERE id <= 30 AND id NOT IN (2, 20)")
+@query("SELECT id, CASE WHEN id = 5 AND agent_id = 'agent1' AND NOT locked THEN 'changed' ELSE content END AS content, embedding IS NOT NULL AND NOT (id = 5 AND agent_id = 'agent1' AND NOT locked) AS has_vector, locked OR (id = 8 AND agent_id = 'agent1') AS locked FROM memory WHERE NOT (agent_id = 'agent1' AND NOT locked AND id IN (2, 1, 12, 20))")
 def update_lock_delete(v):
-    rows = writes.locked(writes.updated(v.memory.where("id <= 30"), 5, "agent1", "changed"), 8, "agent1")
+    rows = writes.locked(writes.updated(v.memory, 5, "agent1", "changed"), 8, "agent1")
     return writes.without(writes.without(rows, [2, 1, 12], "agent1"), [20], "agent1").select("id", "content", F.col("embedding").isNotNull().alias("has_vector"), "locked")
 
 
@@ -559,10 +695,17 @@ def mem_key(v):
     return v.memory.select("id", memory_key(F.col("agent_id"), F.col("timestamp"), F.col("content")).alias("mem_key"))
 
 
-@query("""WITH n AS (SELECT id, 1 AS a, CASE id % 10 WHEN 1 THEN 'User' WHEN 2 THEN 'Agent' WHEN 3 THEN 'User' WHEN 6 THEN 'Agent' WHEN 8 THEN 'System' WHEN 9 THEN 'User' WHEN 0 THEN 'User' END AS type,
-CASE id % 10 WHEN 1 THEN '' WHEN 2 THEN 'a' || ((id - 1) % 7) WHEN 3 THEN 'u' || ((id - 1) % 5) WHEN 6 THEN '' WHEN 8 THEN 'ep' WHEN 9 THEN 'Discord:' || ((id - 1) % 13) WHEN 0 THEN 'Discord:' || ((id - 1) % 13) END AS sid,
-CASE id % 10 WHEN 1 THEN '' WHEN 3 THEN 'u' || ((id - 1) % 5) WHEN 6 THEN '' WHEN 8 THEN '' WHEN 9 THEN 'n' WHEN 0 THEN 'n' END AS name, id % 10 IN (2, 3, 6, 8) AS mapped FROM memory)
-SELECT id, type, sid, name, mapped FROM n""")
+_JSON = """j AS (SELECT *, CASE WHEN json_valid(source) THEN source ELSE 'null' END AS s FROM memory),
+k AS (SELECT *, json_type(s) AS shape, json_extract_string(s, '$.type') AS type, lower(trim(json_extract_string(s, '$.type'))) AS word, lower(trim(json_extract_string(s, '$'))) AS bare, CASE WHEN json_type(s) = 'OBJECT' THEN json_keys(s) ELSE [] END AS keys, json_extract_string(s, '$.id') AS sid, json_extract_string(s, '$.name') AS sname, json_type(s, '$.type') AS kind FROM j),
+n AS (SELECT *, CASE WHEN len(keys) = 1 AND keys[1] IN ('User', 'Agent', 'System') THEN keys[1] END AS sole, json_type(s, '$.' || keys[1]) AS held, json_extract_string(s, '$.' || keys[1]) AS own, json_extract_string(s, '$.' || keys[1] || '.id') AS own_id, json_extract_string(s, '$.' || keys[1] || '.name') AS own_name FROM k),
+c AS (SELECT *, CASE WHEN shape = 'VARCHAR' AND bare IN ('user', 'assistant', 'ai') THEN 1 WHEN shape = 'OBJECT' AND kind = 'VARCHAR' AND type IN ('User', 'Agent', 'System') THEN 2 WHEN shape = 'OBJECT' AND kind = 'VARCHAR' AND word IN ('user', 'agent', 'system', 'assistant', 'ai', 'session') THEN 3 WHEN sole IS NOT NULL AND held = 'VARCHAR' THEN 4 WHEN sole IS NOT NULL AND held = 'OBJECT' THEN 5 ELSE 0 END AS rule FROM n),
+m AS (SELECT *, CASE rule WHEN 1 THEN CASE bare WHEN 'user' THEN 'User' ELSE 'Agent' END WHEN 2 THEN type WHEN 3 THEN CASE word WHEN 'user' THEN 'User' WHEN 'system' THEN 'System' WHEN 'session' THEN 'System' ELSE 'Agent' END WHEN 4 THEN sole WHEN 5 THEN sole END AS new_type,
+CASE rule WHEN 1 THEN '' WHEN 4 THEN own WHEN 5 THEN coalesce(own_id, '') WHEN 2 THEN sid WHEN 3 THEN sid END AS new_id, CASE rule WHEN 1 THEN '' WHEN 4 THEN CASE sole WHEN 'System' THEN '' ELSE own END WHEN 5 THEN coalesce(own_name, '') WHEN 2 THEN sname WHEN 3 THEN sname END AS new_name, rule IN (1, 3, 4, 5) AS mapped,
+shape = 'NULL' OR (shape = 'OBJECT' AND len(keys) = 0) AS nobody FROM c)"""
+_ANONYMOUS = "coalesce(shape = 'OBJECT' AND type = 'User' AND sid = '' AND sname = '', false)"
+
+
+@query(f"WITH {_JSON} SELECT id, new_type AS type, new_id AS sid, new_name AS name, mapped FROM m")
 def normalize_source(v):
     s = normalised_source(F.col("source"))
     return v.memory.select("id", s["type"].alias("type"), s["id"].alias("sid"), s["name"].alias("name"), s["mapped"].alias("mapped"))
@@ -573,12 +716,27 @@ def sanitise_content(v):
     return v.memory.select("id", sanitised(F.col("content")).alias("content"))
 
 
-@query("""SELECT 'header' AS _type, 1 AS n UNION ALL SELECT 'memory', (SELECT count(*) FROM memory WHERE agent_id = 'agent0') UNION ALL SELECT 'episode', (SELECT count(*) FROM episode WHERE agent_id = 'agent0') UNION ALL SELECT 'profile', 1""")
+_EXPORTED = "_type, id, agent_id, project_id, channel, msg_id, content, source, metadata, timestamp, created_at, locked, recall_count, last_recalled, summary, keywords, start_time, end_time, resolved, user_id, updated_at, memory_count, episode_count, profile_count, size, first_number".split(", ")
+
+
+def _export_sql(kind: str, table: str, have: str) -> str:
+    own = dict(x.split("=", 1) if "=" in x else (x, x) for x in have.split("; "))
+    return f"SELECT '{kind}' AS _type, " + ", ".join(f"{own[c]} AS {c}" if c in own else f"NULL AS {c}" for c in _EXPORTED[1:]) + f" FROM {table}"
+
+
+@query(" UNION ALL ".join([
+    _export_sql("memory", "memory WHERE agent_id = 'agent0'", "id; agent_id; project_id; channel; msg_id; content; source; metadata; timestamp=\"timestamp\"; created_at; locked; recall_count; last_recalled; size=len(embedding); first_number=round(embedding[1], 5)"),
+    _export_sql("episode", "episode WHERE agent_id = 'agent0'", "id; agent_id; project_id; channel; summary; keywords; start_time; end_time; created_at; resolved; size=len(embedding); first_number=round(embedding[1], 5)"),
+    _export_sql("profile", "profile WHERE agent_id = 'agent0'", "agent_id; user_id; content; updated_at"),
+    _export_sql("header", "(SELECT 1) h", "agent_id='agent0'; memory_count=(SELECT count(*) FROM memory WHERE agent_id = 'agent0'); episode_count=(SELECT count(*) FROM episode WHERE agent_id = 'agent0'); profile_count=(SELECT count(*) FROM profile WHERE agent_id = 'agent0')"),
+]))
 def export_jsonl(v):
+    """What a reader of the exported lines gets, field by field."""
     from ..sources import jsonl
 
     lines = jsonl.records(v.memory, v.episode, v.profile, "agent0")
-    return lines.select(F.get_json_object("line", "$._type").alias("_type")).groupBy("_type").agg(F.count("*").alias("n"))
+    rows = jsonl.parsed(lines.withColumnRenamed("line", "value")).withColumn("vector", jsonl.decode_embedding())
+    return rows.withColumns({"size": F.when(F.col("vector").isNotNull(), F.size("vector")).cast("long"), "first_number": F.round(F.col("vector")[0], 5)}).select(*_EXPORTED)
 
 
 # ---- health --------------------------------------------------------------------------
@@ -620,9 +778,9 @@ def health_duplicate_content(v):
     return health.duplicates(v.memory)
 
 
-@query(_check("embedding_dimension", "critical", "embedding IS NOT NULL AND len(embedding) <> 64", "true"))
+@query(_check("embedding_dimension", "critical", "embedding IS NOT NULL AND len(embedding) <> 32", "true"))
 def health_embedding_dimension(v):
-    return health.dimension(v.memory, 64)
+    return health.dimension(v.memory, 32)
 
 
 def _null_check(name: str, table: str) -> str:
@@ -650,9 +808,14 @@ def health_dedup_msg_id(v):
     return health.repeated_ids(v.memory)
 
 
-@query("SELECT 'schema_objects' AS \"check\", 'critical' AS severity, 1::BIGINT AS n, 1::BIGINT AS repairable")
+_COLUMNS = [("doc_id", "bigint"), ("text", "string"), ("n_chars", "bigint"), ("lang", "int"), ("missing", "string")]
+
+
+@query(f"""WITH e(name, kind) AS (VALUES {', '.join(map(str, _COLUMNS))}), h AS (SELECT column_name AS name, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' END AS kind FROM (DESCRIBE documents) d(column_name, data_type, c, d, e, f)),
+x AS (SELECT count(*) AS n FROM e LEFT JOIN h USING (name) WHERE h.kind IS DISTINCT FROM e.kind)
+SELECT 'schema_objects' AS "check", CASE WHEN n > 0 THEN 'critical' ELSE 'ok' END AS severity, n, n AS repairable FROM x""")
 def health_schema_objects(v):
-    return health.schema(v.memory, {"id": "bigint", "content": "string", "missing": "string"})
+    return health.schema(v.table("documents"), dict(_COLUMNS))
 
 
 @query("SELECT regexp_replace(lower(project_id), '[^a-z0-9]', '', 'g') AS key, count(DISTINCT project_id) AS spellings, count(*) AS rows FROM (SELECT CASE WHEN id % 6 = 1 THEN upper(project_id) || '-' ELSE project_id END AS project_id FROM memory) x WHERE project_id NOT IN ('', '-') GROUP BY 1 HAVING count(DISTINCT project_id) > 1")
@@ -715,14 +878,14 @@ def timestamp_parse(v):
     return v.memory.select("id", instant(t).alias("seconds"), zone_class(t).alias("zone"))
 
 
-def _tasks(v, rows: str = "true"):
+def _tasks(v):
     at = utc_text(F.lit(NOW) - F.col("event_id") * 60, "yyyy-MM-dd HH:mm:ss")
-    return v.table("events").where(rows).select(F.col("event_id").alias("id"), F.col("event_type").alias("task_type"), (F.col("event_id") % 3).alias("retries"), at.alias("created_at"))
+    return v.table("events").select(F.col("event_id").alias("id"), F.col("event_type").alias("task_type"), (F.col("event_id") % 3).alias("retries"), at.alias("created_at"))
 
 
-@query(_check("stale_pending_tasks", "warn", "event_id > 60", None, "(SELECT event_id FROM events WHERE event_id < 200) x"))
+@query(_check("stale_pending_tasks", "warn", "event_id > 60", "true", "events"))
 def health_stale_pending_tasks(v):
-    return health.waiting_tasks(_tasks(v, "event_id < 200"), NOW)
+    return health.waiting_tasks(_tasks(v), NOW)
 
 
 @query("SELECT DISTINCT m.agent_id FROM memory m LEFT JOIN profile p ON p.agent_id = m.agent_id WHERE p.id IS NULL")
@@ -735,12 +898,12 @@ def health_empty_content(v):
     return health.empty(v.memory)
 
 
-@query(_check("invalid_source_type", "warn", "id % 10 IN (2, 3, 6, 7, 8)", "NOT locked AND id % 10 IN (2, 3, 6, 8)"))
+@query(f"WITH {_JSON} " + _check("invalid_source_type", "warn", "json_valid(source) AND NOT nobody AND coalesce(type, '') NOT IN ('User', 'Agent', 'System')", "NOT locked AND mapped", "m"))
 def health_invalid_source_type(v):
     return health.invalid_source(v.memory)
 
 
-@query(_check("anonymous_source", "info", "id % 10 IN (1, 4)", None))
+@query(f"WITH {_JSON} " + _check("anonymous_source", "info", f"json_valid(source) AND ({_ANONYMOUS} OR nobody)", None, "m"))
 def health_anonymous_source(v):
     return health.anonymous(v.memory)
 
@@ -750,7 +913,7 @@ def health_vector_fallback(v):
     return health.vectors_kept(v.memory)
 
 
-@query("SELECT id, CASE WHEN regexp_matches(content, '^\\[.+?\\]\\s') THEN regexp_extract(content, '^\\[(.+?)\\]\\s', 1) END AS name, locked FROM memory WHERE id % 10 = 1")
+@query(f"WITH {_JSON} " + "SELECT id, CASE WHEN regexp_matches(content, '^\\[.+?\\]\\s') THEN regexp_extract(content, '^\\[(.+?)\\]\\s', 1) END AS name, locked FROM m WHERE json_valid(source) AND " + _ANONYMOUS)
 def deep_anonymous_source(v):
     return health.named_sources(v.memory)
 
@@ -770,49 +933,204 @@ def deep_orphaned_episodes(v):
     return health.orphaned(v.episode, v.memory)
 
 
-@query("""WITH f AS (SELECT id, content, embedding::DOUBLE[] AS e FROM memory WHERE embedding IS NOT NULL ORDER BY created_at DESC, id LIMIT 300)
-SELECT a.id AS a, b.id AS b, round(list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)), 6) AS sim FROM f a JOIN f b ON a.id < b.id AND a.content <> b.content
-WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) > 0.4""")
+def _near_sql(least: float) -> str:
+    return f"""WITH f AS (SELECT id, content, embedding::DOUBLE[] AS e FROM memory WHERE embedding IS NOT NULL ORDER BY created_at DESC, id LIMIT 1000), u AS (SELECT id, content, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM f)
+SELECT a.id AS a, b.id AS b, round(list_dot_product(a.e, b.e), 6) AS sim FROM u a JOIN u b ON a.id < b.id AND a.content <> b.content WHERE list_dot_product(a.e, b.e) > {least}"""
+
+
+@query(_near_sql(0.97))
 def deep_near_duplicate(v):
-    return health.near_duplicates(v.memory, 0.4, 300).select("a", "b", F.round("sim", 6).alias("sim"))
+    return health.near_duplicates(v.memory).select("a", "b", F.round("sim", 6).alias("sim"))
+
+
+@query(_near_sql(0.4))
+def deep_near_duplicate_wide(v):
+    """With a threshold that random vectors pass now and then."""
+    return health.near_duplicates(v.memory, 0.4).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
-@query("""SELECT severity, count(*) AS n FROM (
+@query(f"WITH {_JSON} " + """SELECT severity, count(*) AS n FROM (
 SELECT CASE WHEN count(CASE WHEN trim(content) = '' AND NOT locked THEN 1 END) = 0 THEN 'info' ELSE 'warn' END AS severity, count(CASE WHEN trim(content) = '' THEN 1 END) AS n FROM memory
-UNION ALL SELECT 'warn', count(*) FROM memory WHERE "timestamp" = 'x' UNION ALL SELECT 'info', count(*) FROM memory WHERE id % 10 IN (1, 4)
+UNION ALL SELECT 'warn', count(*) FROM memory WHERE "timestamp" = 'x' UNION ALL SELECT 'info', count(*) FROM m WHERE json_valid(source) AND (""" + _ANONYMOUS + """ OR nobody)
 UNION ALL SELECT 'critical', count(*) FROM memory WHERE embedding IS NOT NULL AND len(embedding) <> 64) x WHERE n > 0 GROUP BY 1""")
 def severity_summary(v):
     found = health.empty(v.memory).unionByName(health.invalid_timestamp(v.memory)).unionByName(health.anonymous(v.memory)).unionByName(health.dimension(v.memory, 64))
     return health.verdict(found)
 
 
-@query()
+def _drift_sql(name: str, source: str, fixable: str) -> str:
+    count = lambda z: f"count(CASE WHEN zone = '{z}' THEN 1 END)"
+    fixed = f"count(CASE WHEN {fixable} THEN 1 END)"
+    mixed = f"({count('aware')} > 0)::INT + ({count('naive')} > 0)::INT + ({count('utc')} > 0)::INT > 1"
+    return f"SELECT '{name}' AS \"check\", 'warn' AS severity, CASE WHEN {mixed} OR {count('aware')} > 0 OR {fixed if 'created' in fixable else '0'} > 0 THEN {count('aware')} + {count('naive')} ELSE 0 END AS n, {fixed} AS repairable FROM {source}"
+
+
+@query(_drift_sql("timestamp_format_drift", f"(SELECT {_ZONE.format('\"timestamp\"')} AS zone, locked FROM memory WHERE \"timestamp\" NOT IN ('', 'x')) x", "zone = 'aware' AND NOT locked"))
+def health_timestamp_drift(v):
+    return health.report(v.memory, [health.zone_drift_()])
+
+
+@query(_drift_sql("episode_timestamp_format_drift", f"(SELECT {_ZONE.format('t')} AS zone, t, created_at FROM (SELECT start_time AS t, created_at FROM episode UNION ALL SELECT end_time, created_at FROM episode) y WHERE t IS NOT NULL) x", "zone = 'aware' OR (zone = 'naive' AND t = created_at)"))
+def health_episode_drift(v):
+    return health.episode_drift(v.episode)
+
+
+def _whole_health() -> str:
+    own = {n: BODIES[f"health_{n}"] for n in ("memory_annotation", "discord_mention", "duplicate_content", "null_embedding", "null_episode_embedding", "dedup_msg_id", "invalid_json_source", "invalid_json_metadata", "invalid_timestamp", "missing_episode_start_time", "timestamp_drift", "episode_drift", "stale_pending_tasks", "empty_content", "invalid_source_type", "anonymous_source")}
+    more = [
+        _check("oversized_content", "warn", "length(content) > 16000", "NOT locked"),
+        _check("oversized_profile", "warn", "length(content) > 2000", "true", "profile"),
+        _check("embedding_dimension", "critical", "embedding IS NOT NULL AND len(embedding) <> 64", "true", "(SELECT embedding FROM memory UNION ALL SELECT embedding FROM episode) x"),
+        _check("vector_fallback_config", "info", "false", None),
+        f"SELECT 'axis_hygiene' AS \"check\", 'warn' AS severity, count(*) AS n, NULL::BIGINT AS repairable FROM (SELECT 1 FROM memory WHERE project_id <> '' GROUP BY regexp_replace(lower(project_id), '[^a-z0-9]', '', 'g') HAVING count(DISTINCT project_id) > 1) x",
+        f"SELECT 'missing_profile' AS \"check\", 'info' AS severity, count(*) AS n, NULL::BIGINT AS repairable FROM ({BODIES['health_missing_profile']}) x",
+        "SELECT 'integrity' AS \"check\", 'ok' AS severity, 0 AS n, NULL::BIGINT AS repairable",
+        "SELECT 'schema_version', 'critical', 1, NULL::BIGINT",
+        "SELECT 'operating_context_parse', 'warn', 0, NULL::BIGINT",
+        "SELECT 'operating_context_size', 'info', 1, NULL::BIGINT",
+    ]
+    every = " UNION ALL ".join(f"SELECT * FROM ({x}) q{i}" for i, x in enumerate([*own.values(), *more]))
+    rank = "list_position(['ok', 'info', 'warn', 'critical'], severity)"
+    return f"SELECT \"check\", arg_max(severity, {rank}) AS severity, sum(n)::BIGINT AS n, sum(repairable)::BIGINT AS repairable FROM ({every}) z GROUP BY 1"
+
+
+@query(_whole_health())
 def check_health(v):
-    return health.all_checks(v.memory, v.episode, v.profile, 64, NOW, _tasks(v))
+    return health.all_checks(v.memory, v.episode, v.profile, 64, NOW, _tasks(v), version=("0", "1"), context=(None, 2001))
+
+
+# ---- repairs -----------------------------------------------------------------------------
+
+_CLEAN = r"regexp_replace(regexp_replace(regexp_replace(content, '\[Memory from [^\]]*\]\s*', '', 'g'), '<@!?\d+>', '', 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query(f"SELECT id, substr(CASE WHEN locked THEN content ELSE {_CLEAN} END, 1, CASE WHEN locked THEN 100000000 ELSE 5000 END) AS content FROM memory")
+def repair_contents(v):
+    return health.cut_contents(health.cleaned(v.memory), 5000).select("id", "content")
+
+
+@query("SELECT id, substr(content, 1, 10) AS content FROM profile")
+def repair_profiles(v):
+    return health.cut_profiles(v.profile, 10).select("id", "content")
+
+
+@query("SELECT id FROM (SELECT id, locked, id <> coalesce(min(CASE WHEN channel = '' THEN id END) OVER w, min(id) OVER w) AS surplus FROM memory WINDOW w AS (PARTITION BY agent_id, project_id, content)) x WHERE locked OR NOT surplus")
+def repair_duplicates(v):
+    return health.deduplicated(v.memory).select("id")
+
+
+@query("SELECT id, embedding IS NOT NULL AND len(embedding) = 64 AND id % 2 = 0 AS kept FROM memory")
+def repair_embeddings(v):
+    rows = v.memory.withColumn("embedding", F.when(F.col("id") % 2 == 0, F.col("embedding")).otherwise(F.slice("embedding", 1, 32)))
+    return health.without_misfits(rows, 64).select("id", F.col("embedding").isNotNull().alias("kept"))
+
+
+@query("SELECT id, CASE WHEN msg_id <> '' AND NOT locked AND id < max(id) OVER (PARTITION BY agent_id, project_id, msg_id) THEN '' ELSE msg_id END AS msg_id FROM memory")
+def repair_msg_ids(v):
+    return health.without_repeated_ids(v.memory).select("id", "msg_id")
+
+
+@query("SELECT id, CASE WHEN NOT locked AND NOT json_valid(source) THEN '{}' ELSE source END AS source, CASE WHEN NOT locked AND NOT json_valid(metadata) THEN '{}' ELSE metadata END AS metadata FROM memory")
+def repair_json(v):
+    return health.valid_json(health.valid_json(v.memory, "source"), "metadata").select("id", "source", "metadata")
+
+
+@query("SELECT id, coalesce(nullif(start_time, ''), replace(created_at, ' ', 'T') || '+00:00') AS start_time FROM episode")
+def repair_start_times(v):
+    return health.with_start(v.episode).select("id", "start_time")
+
+
+@query("SELECT id, CASE WHEN start_time = created_at THEN replace(start_time, ' ', 'T') || '+00:00' ELSE start_time END AS start_time, CASE WHEN end_time = created_at THEN replace(end_time, ' ', 'T') || '+00:00' ELSE end_time END AS end_time FROM episode")
+def repair_episode_zones(v):
+    return health.episodes_in_utc(v.episode).select("id", "start_time", "end_time")
+
+
+_FRESH = "'{\"type\":\"' || new_type || '\",\"id\":\"' || coalesce(new_id, '') || '\",\"name\":\"' || coalesce(new_name, '') || '\"}'"
+
+
+@query(f"WITH {_JSON} SELECT id, CASE WHEN NOT locked AND json_valid(source) AND NOT nobody AND coalesce(type, '') NOT IN ('User', 'Agent', 'System') AND mapped THEN {_FRESH} ELSE source END AS source FROM m")
+def repair_sources(v):
+    return health.valid_sources(v.memory).select("id", "source")
+
+
+@query(f"WITH {_JSON}, b AS (SELECT *, json_valid(source) AND NOT nobody AND coalesce(type, '') NOT IN ('User', 'Agent', 'System') AS bad FROM m) SELECT count(CASE WHEN bad AND NOT locked AND mapped THEN 1 END) AS mapped, count(CASE WHEN bad AND NOT locked AND NOT mapped THEN 1 END) AS unmapped, count(CASE WHEN bad AND locked THEN 1 END) AS locked, count(CASE WHEN bad AND NOT locked AND NOT mapped THEN 1 END) AS remaining FROM b")
+def repair_source_counts(v):
+    return health.source_counts(v.memory)
+
+
+@query(f"WITH {_JSON} " + "SELECT id, CASE WHEN NOT locked AND json_valid(source) AND " + _ANONYMOUS + " AND regexp_matches(content, '^\\[.+?\\]\\s') THEN '{\"type\":\"User\",\"id\":\"\",\"name\":\"' || regexp_extract(content, '^\\[(.+?)\\]\\s', 1) || '\"}' ELSE source END AS source FROM m")
+def repair_names(v):
+    return health.with_names(v.memory).select("id", "source")
+
+
+@query("SELECT id FROM memory WHERE locked OR (trim(content) <> '' AND length(trim(content)) > 5)")
+def repair_short_and_empty(v):
+    return health.without_short(health.without_empty(v.memory)).select("id")
+
+
+@query("SELECT event_id AS id FROM events WHERE event_id <= 60")
+def repair_waiting_tasks(v):
+    return health.without_waiting(_tasks(v), NOW).select("id")
+
+
+# ---- transfer of episodes and profiles ------------------------------------------------------
+
+
+@query(r"""WITH o AS (SELECT id AS seq, agent_id, project_id, channel, CASE WHEN id % 3 = 0 THEN '' WHEN id % 3 = 1 THEN summary ELSE 'talk ' || (id % 4) END AS summary FROM episode),
+z AS (SELECT *, regexp_replace(summary, '^\s+|\s+$', '', 'g') AS s FROM o), k AS (SELECT z.*, EXISTS (SELECT 1 FROM episode e WHERE e.agent_id = z.agent_id AND e.project_id = z.project_id AND e.channel = z.channel AND e.summary = z.s) AS seen FROM z)
+SELECT seq, CASE WHEN s = '' THEN 'rejected' WHEN seen OR row_number() OVER (PARTITION BY agent_id, project_id, channel, s, seen ORDER BY seq) > 1 THEN 'skipped' ELSE 'stored' END AS result FROM k""")
+def import_episodes(v):
+    rows = v.episode.select(F.col("id").alias("seq"), "agent_id", "project_id", "channel", F.when(F.col("id") % 3 == 0, "").when(F.col("id") % 3 == 1, F.col("summary")).otherwise(F.concat(F.lit("talk "), (F.col("id") % 4).cast("string"))).alias("summary"))
+    return writes.episodes_imported(v.episode, rows)
+
+
+_FILED = [(0, "agent0", "", "first of the file", "2024-01-01 00:00:00"), (1, "agent0", "", "last of the file", "2023-01-01 00:00:00"), (2, "agent1", "", "   ", "2025-01-01 00:00:00"), (3, "agent2", "u", "of one user", "2024-01-01 00:00:00")]
+
+
+@query(f"""WITH n(seq, agent_id, user_id, content, updated_at) AS (VALUES {', '.join(map(str, _FILED))}), u AS (SELECT -1 AS seq, agent_id, user_id, content, updated_at FROM profile UNION ALL SELECT * FROM n WHERE trim(content) <> '')
+SELECT agent_id, user_id, content, updated_at FROM u QUALIFY row_number() OVER (PARTITION BY agent_id, user_id ORDER BY seq DESC) = 1""")
+def import_profiles(v):
+    return writes.profiles_imported(v.profile, v.spark.createDataFrame(_FILED, "seq long, agent_id string, user_id string, content string, updated_at string")).select("agent_id", "user_id", "content", "updated_at")
+
+
+@query("""WITH s AS (SELECT * FROM episode WHERE agent_id = 'agent1'), n AS (SELECT * FROM s WHERE coalesce(summary, '') <> '' AND NOT EXISTS (SELECT 1 FROM episode t WHERE t.agent_id = 'agent2' AND t.project_id = s.project_id AND t.channel = s.channel AND t.summary = s.summary)),
+k AS (SELECT id FROM n QUALIFY row_number() OVER (PARTITION BY project_id, channel, summary ORDER BY id) = 1)
+SELECT s.id, CASE WHEN k.id IS NULL THEN 'left_at_source' ELSE 'moved' END AS action FROM s LEFT JOIN k ON k.id = s.id""")
+def merge_episodes(v):
+    return writes.episodes_merged(v.episode, "agent1", "agent2", move=True)
+
+
+@query("SELECT id, CASE WHEN EXISTS (SELECT 1 FROM profile t WHERE t.agent_id = 'agent1' AND t.user_id = s.user_id) THEN 'skipped' ELSE 'copied' END AS action FROM (SELECT * FROM profile WHERE agent_id = 'agent0' UNION ALL SELECT 9, 'agent0', 'u', 'of one user', '') s")
+def merge_profiles(v):
+    more = v.spark.createDataFrame([(9, "agent0", "u", "of one user", "")], "id long, agent_id string, user_id string, content string, updated_at string")
+    return writes.profiles_merged(v.profile.unionByName(more), "agent0", "agent1")
 
 
 # ---- evaluation ------------------------------------------------------------------------
 
 
 def _ranked(v, vec_shift: int = 0, k: int = 20):
-    queries = [Query(r.vec_id, "", tuple(r.embedding)) for r in v.vectors.where("vec_id % 50 = 0").toLocalIterator()]
-    rows = v.vectors.select(F.col("vec_id").alias("id"), "embedding").where(F.col("vec_id") % 50 != 0)
+    asked = v.vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    rows = v.vectors.select(F.col("vec_id").alias("id"), "embedding")
     if vec_shift:
         rows = rows.where(F.col("id") % vec_shift != 0)
-    return retrieval.similar_batch(rows, queries, k, -2.0).select("qid", F.col("id").alias("doc_id"), "rank")
+    found = retrieval.similar_batch(rows, asked, k + 1, -2.0).where("qid <> id")  # a query is its own nearest row or one of equals
+    rank = F.row_number().over(fusion.W.partitionBy("qid").orderBy("rank"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("qid", F.col("id").alias("doc_id"), "rank")
 
 
 def _rank_sql(name: str, where: str = "true") -> str:
-    return f"""{name} AS (SELECT q.vec_id AS qid, d.vec_id AS doc_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_DOT.format(a='d.embedding', b='q.embedding')}, 9) DESC, d.vec_id) AS rank FROM embeddings q, embeddings d WHERE q.vec_id % 50 = 0 AND d.vec_id % 50 <> 0 AND {where} QUALIFY rank <= 20)"""
+    return f"""{name} AS (SELECT q.vec_id AS qid, d.vec_id AS doc_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_DOT.format(a='d.embedding', b='q.embedding')}, 9) DESC, d.vec_id) AS rank FROM embeddings q, embeddings d WHERE q.vec_id % 20 = 0 AND d.vec_id <> q.vec_id AND {where} QUALIFY rank <= 20)"""
 
 
-@query(f"WITH {_rank_sql('r')}" + """, g AS (SELECT q.vec_id AS qid, d.vec_id AS doc_id FROM embeddings q JOIN embeddings d ON q.label = d.label WHERE q.vec_id % 50 = 0 AND d.vec_id % 50 <> 0),
+@query(f"WITH {_rank_sql('r')}" + """, g AS (SELECT q.vec_id AS qid, d.vec_id AS doc_id FROM embeddings q JOIN embeddings d ON q.label = d.label WHERE q.vec_id % 20 = 0 AND d.vec_id <> q.vec_id),
 i AS (SELECT qid, count(*) AS n FROM g GROUP BY qid), b AS (SELECT qid, (SELECT sum(1 / log2(x + 1)) FROM range(1, least(n, 10) + 1) t(x)) AS best FROM i),
 d AS (SELECT r.qid, sum(1 / log2(rank + 1)) AS dcg FROM r JOIN g USING (qid, doc_id) WHERE rank <= 10 GROUP BY r.qid)
 SELECT round(100 * avg(coalesce(dcg, 0) / best), 6) AS ndcg FROM b LEFT JOIN d USING (qid)""")
 def ndcg_at_10(v):
     e = v.table("embeddings").select("vec_id", "label")
-    judged = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "label").join(e.where("vec_id % 50 <> 0").select(F.col("vec_id").alias("doc_id"), "label"), "label").withColumn("relevance", F.lit(1))
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "label")
+    judged = asked.join(e.select(F.col("vec_id").alias("doc_id"), "label"), "label").where("qid <> doc_id").withColumn("relevance", F.lit(1))
     return evaluate.ndcg(_ranked(v), judged).select(F.round("ndcg", 6).alias("ndcg"))
 
 
@@ -839,7 +1157,6 @@ def _stream(v, name: str):
 
 def _drain(v, stream, mode: str = "append"):
     from ..streaming import ingest
-    from .shared import scratch
 
     path = scratch(v.spark, "stream")
     ingest.drained(stream, path, f"{path}-state", mode)
@@ -875,11 +1192,11 @@ def counter_fold(v):
     return writes.counted(v.memory, events).select("id", "recall_count")
 
 
-@query("""SELECT event_id AS id, CASE WHEN event_id % 5 > 0 THEN 'done' WHEN event_id % 3 = 2 THEN 'discarded' ELSE 'retry' END AS action, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS turn FROM events WHERE event_id < 200""")
+@query("""SELECT event_id AS id, CASE WHEN event_id % 5 > 0 THEN 'done' WHEN event_id % 3 = 2 THEN 'discarded' ELSE 'retry' END AS action, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS turn FROM events""")
 def task_queue(v):
     from ..streaming import ingest
 
-    tasks = _tasks(v, "event_id < 200")
+    tasks = _tasks(v)
     return ingest.work(tasks, tasks.where("id % 5 = 0").select("id")).withColumn("turn", F.col("turn").cast("long"))
 
 

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 VERSION = "keepsake-export/1.0"
 FIELDS = {
-    "memory": ("id", "agent_id", "msg_id", "content", "source", "timestamp", "metadata", "created_at", "project_id", "channel", "locked", "recall_count", "last_recalled_at"),
+    "memory": ("id", "agent_id", "msg_id", "content", "source", "timestamp", "metadata", "created_at", "project_id", "channel", "locked", "recall_count", "last_recalled"),
     "episode": ("id", "agent_id", "summary", "keywords", "start_time", "end_time", "created_at", "resolved", "project_id", "channel"),
     "profile": ("agent_id", "user_id", "content", "updated_at", "project_id"),
 }
-SCHEMA = "_type string, version string, memory_count long, episode_count long, profile_count long, id long, agent_id string, msg_id string, content string, source string, timestamp string, metadata string, created_at string, project_id string, channel string, locked boolean, recall_count long, last_recalled_at string, summary string, keywords string, start_time string, end_time string, resolved boolean, user_id string, updated_at string, embedding_b64 string, _bad string"
+SCHEMA = "_type string, version string, memory_count long, episode_count long, profile_count long, id long, agent_id string, msg_id string, content string, source string, timestamp string, metadata string, created_at string, project_id string, channel string, locked boolean, recall_count long, last_recalled double, summary string, keywords string, start_time string, end_time string, resolved boolean, user_id string, updated_at string, embedding_b64 string, _bad string"
 
 
 def records(memory: DataFrame, episode: DataFrame, profile: DataFrame, agent: str | None = None) -> DataFrame:
@@ -22,6 +22,8 @@ def records(memory: DataFrame, episode: DataFrame, profile: DataFrame, agent: st
     lines = []
     for kind, df in tables.items():
         columns = [F.col(c) for c in FIELDS[kind] if c in df.columns]
+        if "embedding" in df.columns:
+            columns.append(encode_embedding().alias("embedding_b64"))
         lines.append(df.select(F.to_json(F.struct(F.lit(kind).alias("_type"), *columns), {"ignoreNullFields": "false"}).alias("line")))
     count = lambda k: tables[k].agg(F.count("*").alias(f"{k}_count"))
     head = count("memory").join(count("episode")).join(count("profile"))  # three rows of one column
@@ -37,11 +39,14 @@ def export(path: str, memory: DataFrame, episode: DataFrame, profile: DataFrame,
     records(memory, episode, profile, agent).write.text(path)
 
 
+def parsed(lines: DataFrame) -> DataFrame:
+    """The records of JSON lines (value) with `seq` (their order within the read) and `_bad` for lines that are no JSON; unknown types are kept for the caller."""
+    rows = lines.withColumn("r", F.from_json("value", SCHEMA, {"columnNameOfCorruptRecord": "_bad"})).withColumn("seq", F.monotonically_increasing_id())
+    return rows.select("seq", "r.*")
+
+
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """Parsed records with `seq` (file order within the read) and `_bad` for lines that are no JSON; unknown types are kept for the caller."""
-    lines = spark.read.text(path).where("trim(value) <> ''")
-    parsed = lines.withColumn("r", F.from_json("value", SCHEMA, {"columnNameOfCorruptRecord": "_bad"})).withColumn("seq", F.monotonically_increasing_id())
-    return parsed.select("seq", "r.*")
+    return parsed(spark.read.text(path).where("trim(value) <> ''"))
 
 
 def problems(rows: DataFrame) -> DataFrame:

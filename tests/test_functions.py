@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from keepsake.functions import scoring, text
 from keepsake.functions.isolation import project_visible, read_axis, visible, written_axis
-from keepsake.operators import calibrate, fusion, retrieval, writes
+from keepsake.operators import calibrate, fusion, lexical, retrieval, writes
 from keepsake.sources import evalset, jsonl
 
 
@@ -57,7 +57,7 @@ SOURCES = [
     ('{"System":"ep"}', ("System", "ep", "", True)),
     ('{"Agent":{"id":"a","name":"A"}}', ("Agent", "a", "A", True)),
     ('"user"', ("User", "", "", True)),
-    ('"claude-code"', (None, None, None, False)),
+    ('"some-tool"', (None, None, None, False)),
     ("{}", (None, None, None, False)),
     ("null", (None, None, None, False)),
     ('{"type":"migration"}', (None, None, None, False)),
@@ -105,13 +105,104 @@ def test_bm25_like_sqlite(spark, search):
     assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-8) for i in got)
 
 
+@pytest.mark.parametrize("search", ["apples", "apples orchard", "のパン", "CVE-2024-3094", "aaa", "and the", "Apples apples"])
+def test_batch_scores_like_single_ones(spark, search):
+    """One pass for all phrases gives the scores of a query on its own, over several columns and whatever else is asked."""
+    rows = spark.createDataFrame(TEXTS, "id long, content string").withColumn("more", F.reverse("content"))
+    got = {r.id: r.bm25 for r in lexical.matching_batch(rows, [lexical.Query(1, search), lexical.Query(2, "trees"), lexical.Query(3, "ab")], 9, None, ("content", "more")).where("qid = 1").collect()}
+    assert got == {r.id: r.bm25 for r in retrieval.matching(rows, search, None, None, ("content", "more")).collect()}
+
+
+def test_literal_fallback(spark):
+    rows = spark.createDataFrame([(i, t, f"2024-01-0{i}") for i, t in TEXTS], "id long, content string, created_at string")
+    asked = [lexical.Query(1, "PI"), lexical.Query(2, "apples"), lexical.Query(3, "zz"), lexical.Query(4, "an o")]
+    got = lexical.keywords_batch(rows, asked, 2, F.col("id") != 1)
+    assert sorted((r.qid, r.id, r["rank"]) for r in got.collect()) == [(1, 2, 1), (2, 2, 1), (4, 5, 1)]
+
+
+def test_first_row_fits_any_budget(spark):
+    rows = spark.createDataFrame([(1, "a" * 30, "t3"), (2, "b" * 8, "t2"), (3, "c" * 30, "t1")], "id long, content string, created_at string").withColumn("qid", F.lit(0))
+    got = fusion.degraded(rows, "mem", ("content",), 10, [F.desc("created_at")], 5).orderBy("id").collect()
+    assert [(len(r.content), r.content_len, r.content_truncated, r.ref) for r in got] == [(30, None, False, None), (5, 8, True, "mem:2"), (5, 30, True, "mem:3")]
+    told = spark.createDataFrame([(0, p, None if p == 2 else f"mem:{p}", "x" * 20) for p in (1, 2, 3)], "qid int, place int, ref string, content string")
+    assert [(r.place, len(r.content)) for r in fusion.full_contents(told, 15, 5).orderBy("place").collect()] == [(1, 5), (2, 20), (3, 20)]
+
+
+def test_gate_refused_rows_are_not_cut(spark):
+    rows = spark.createDataFrame([(1, "mem", i, c, True, i) for i, c in enumerate((0.19, 0.1, 0.01))], "qid int, kind string, id long, cosine double, backfilled boolean, ord int")
+    assert fusion.autocut(fusion.rescued(fusion.gate(rows, F.lit(10)), rows)).count() == 3
+
+
+def test_adjacent_rows_meet_across_bins(spark):
+    rows = [("a", 1, 1799.0, [1.0, 0.0]), ("a", 2, 1801.0, [1.0, 0.0]), ("a", 3, 3700.0, [0.0, 1.0]), ("b", 4, 1802.0, [0.0, 1.0]), ("a", 5, 3700.0, [0.0, 1.0])]
+    got = calibrate.adjacent(spark.createDataFrame(rows, "agent_id string, id long, seconds double, embedding array<float>"))
+    assert {r.id: r.sim for r in got.collect()} == {2: 1.0, 5: 1.0}
+
+
+def test_orphaned_episodes(spark):
+    from keepsake.operators import health
+
+    memories = [("a", "2024-01-01T00:00:00Z"), ("a", "2024-03-05T12:00:00Z"), ("b", "2024-02-01T00:00:00Z")]
+    episodes = [(1, "a", "2024-01-01 00:00:00", "2024-01-01 00:00:01"), (2, "a", "2024-01-01 00:00:01", "2024-03-05 11:59:59"), (3, "a", "2024-01-01 00:00:01", "9999-12-31 00:00:00"), (4, "b", "2024-03-01 00:00:00", "2024-03-02 00:00:00"), (5, "c", "2024-01-01 00:00:00", "2024-12-01 00:00:00"), (6, "a", "2024-03-05 11:00:00", "2024-03-05 13:00:00")]
+    got = health.orphaned(spark.createDataFrame(episodes, "id long, agent_id string, start_time string, end_time string"), spark.createDataFrame(memories, "agent_id string, timestamp string"))
+    assert sorted(r.id for r in got.collect()) == [2, 4, 5]
+
+
+def test_index_drift_names_only_what_differs(spark):
+    from keepsake.operators import health
+
+    rows = spark.createDataFrame(TEXTS, "id long, content string")
+    index = retrieval.postings(rows.where("id <> 3"), "mem", "content")
+    changed = index.withColumn("tri", F.when((F.col("id") == 1) & (F.col("pos") == 0), "zzz").otherwise(F.col("tri")))
+    assert health.index_drift(retrieval.postings(rows, "mem", "content"), rows, "mem", "content").first().n == 0
+    assert health.index_drift(changed, rows, "mem", "content").first().n == 2 + len(TEXTS[2][1]) - 2
+
+
+def test_remote_index(spark, tmp_path):
+    from keepsake.sources import remote
+
+    def post(action, space, items):
+        if space.endswith(":bad"):
+            raise OSError("down")
+        with (tmp_path / f"{action}-{space.replace(':', '-')}").open("a") as f:
+            f.write(f"{len(items)}\n")
+
+    rows = spark.createDataFrame([(i, "bad" if i % 4 == 0 else "a", "text" if i else " ") for i in range(400)], "id long, agent_id string, content string").coalesce(1)
+    assert {r.agent_id: (r.sent, r.failed) for r in remote.upsert(rows, "mem", post).collect()} == {"a": (300, 0), "bad": (0, 99)}
+    assert (tmp_path / "index-memories-a").read_text().split() == ["128", "128", "44"]
+    assert remote.remove(rows.where("agent_id = 'a'"), "mem", post).first().sent == 300
+
+
+def test_embedding_cache():
+    from keepsake.functions.embedding import Cached
+
+    calls, now = [], [0.0]
+    cached = Cached(lambda texts: calls.append(list(texts)) or [[float(len(t))] for t in texts], 2, 10, lambda: now[0])
+    assert cached(["a", "bb", "a"]) == [[1.0], [2.0], [1.0]] and cached(["bb"]) == [[2.0]]
+    now[0] = 11
+    assert cached(["a", "ccc"]) == [[1.0], [3.0]] and calls == [["a", "bb"], ["a", "ccc"]]
+
+
+def test_local_time(spark):
+    assert values(spark, "s double", [(0.0,)], text.local_text(F.col("s"), "Asia/Tokyo")) == ["1970-01-01 09:00:00"]
+
+
 def test_postings_find_phrases(spark):
     rows = spark.createDataFrame(TEXTS, "id long, content string")
     found = {r.id: r.f for r in retrieval.phrase_hits(retrieval.postings(rows, "mem", "content"), "apples").collect()}
     assert found == {1: 1, 2: 2}
 
 
-def test_batch_topk_breaks_ties_by_id(spark):
+def test_batch_topk_gives_newest_first(spark):
+    """Equal similarities are ordered newest first, then by id; a query table gives the same as a list."""
+    rows = spark.createDataFrame([(i, [1.0, 0.0], f"2024-01-0{1 + i % 3}") for i in range(9)], "id long, embedding array<float>, created_at string").repartition(3)
+    told = spark.createDataFrame([(1, [1.0, 0.0])], "qid long, vector array<float>")
+    for queries in ([retrieval.Query(1, "", (1.0, 0.0))], told):
+        got = retrieval.similar_batch(rows, queries, 4, 0.1)
+        assert [(r.id, r["rank"]) for r in got.orderBy("rank").collect()] == [(2, 1), (5, 2), (8, 3), (1, 4)]
+
+
+def test_batch_topk_without_times_goes_by_id(spark):
     rows = spark.createDataFrame([(i, [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(20)], "id long, embedding array<float>")
     got = retrieval.similar_batch(rows, [retrieval.Query(1, "", (1.0, 0.0)), retrieval.Query(2, "", (0.0, 1.0))], 3, 0.1)
     assert sorted((r.qid, r.id, r["rank"]) for r in got.collect()) == [(1, 1, 1), (1, 3, 2), (1, 5, 3), (2, 0, 1), (2, 2, 2), (2, 4, 3)]
@@ -158,14 +249,15 @@ def test_store_in_batch_and_target(spark):
 
 
 def test_jsonl_round_trip(spark, tmp_path):
-    memory = spark.createDataFrame([(1, "a", "m", "hé\n", "{}", "t", "{}", "c", "", "", True, 2, None)], "id long, agent_id string, msg_id string, content string, source string, timestamp string, metadata string, created_at string, project_id string, channel string, locked boolean, recall_count long, last_recalled_at string")
+    memory = spark.createDataFrame([(1, "a", "m", "hé\n", "{}", "t", "{}", "c", "", "", True, 2, 5.0, [1.5, -2.0])], "id long, agent_id string, msg_id string, content string, source string, timestamp string, metadata string, created_at string, project_id string, channel string, locked boolean, recall_count long, last_recalled double, embedding array<float>")
     episode = spark.createDataFrame([], "id long, agent_id string, summary string, keywords string, start_time string, end_time string, created_at string, resolved boolean, project_id string, channel string")
     profile = spark.createDataFrame([("a", "", "p", "u", "")], "agent_id string, user_id string, content string, updated_at string, project_id string")
     path = str(tmp_path / "out")
     jsonl.export(path, memory, episode, profile)
     rows = jsonl.load(spark, path)
     assert jsonl.problems(rows).count() == 0
-    assert rows.where("_type = 'memory'").first().content == "hé\n"
+    first = rows.where("_type = 'memory'").withColumn("vector", jsonl.decode_embedding()).first()
+    assert (first.content, first.last_recalled, first.vector) == ("hé\n", 5.0, [1.5, -2.0])
     spark.createDataFrame([("not json",), ('{"_type":"odd"}',)], "value string").coalesce(1).write.mode("append").text(path)
     assert {r.problem: r.n for r in jsonl.problems(jsonl.load(spark, path)).collect()} == {"bad_json": 1, "unknown_type": 1}
 

@@ -24,6 +24,91 @@ def test_store_and_recall(store):
     assert store.recall("a", "", limit=2).count() == 2
     sure = store.recall("a", "orchard apples", limit=2, use_confidence=True)
     assert 0 < sure.orderBy(F.desc("place")).first().confidence <= 1
+    assert store.table("memory").agg(F.sum("recall_count")).first()[0] >= 1
+
+
+def test_recall_of_short_words_and_blank_queries(store):
+    """Words too short for the index are found literally; a blank query gives the newest rows whatever the pool."""
+    found = store.recall("a", "pi", limit=3)
+    assert found.where("content like 'raspberry pi%'").count() == 1
+    assert store.recall("a", " ", limit=2).select("ref").distinct().count() == 2
+
+
+def test_two_writers(spark, tmp_path):
+    """Appends of two writers both stay; a whole version made from rows that changed since is refused."""
+    from keepsake.store import SCHEMAS, Conflict
+
+    one, two = (MemoryStore(spark, f"file://{tmp_path}") for _ in range(2))
+    row = lambda i: spark.createDataFrame([(i, "a", "", "u", "x", "t")][:1], "id long, agent_id string, more string, user_id string, content string, updated_at string")
+    one.append("profile", row(1))
+    since = one.version("profile")
+    two.append("profile", row(2))
+    with pytest.raises(Conflict):
+        one.replace("profile", row(3), since)
+    assert sorted(r.id for r in two.table("profile").collect()) == [1, 2]
+    one.compact("profile")
+    one.append("profile", row(4))
+    one.compact("profile")
+    assert one.vacuum("profile", 1) > 0 and sorted(r.id for r in two.table("profile").collect()) == [1, 2, 4]
+    assert "id long" in SCHEMAS["profile"]
+
+
+def test_transfer_of_all_kinds(spark, tmp_path):
+    """Memories with vectors, counters and locks, episodes and profiles survive an export and an import, and merge."""
+    old, new = MemoryStore(spark, f"file://{tmp_path}/old", clock=lambda: 1.7e9), MemoryStore(spark, f"file://{tmp_path}/new", clock=lambda: 1.8e9, io_root=f"file://{tmp_path}/old/io")
+    old.store("a", {"content": "figs and dates", "timestamp": "2023-11-01T00:00:00Z"})
+    old.store("a", {"content": "quinces"})
+    old.lock_memory("a", old.table("memory").where("content = 'quinces'").first().id)
+    old.archive_episode("a", "a talk on fruit", keywords="fruit")
+    old.update_profile("a", "likes figs")
+    old.recall("a", "figs and dates", use_confidence=True)
+    old.export_memories("out", "a")
+    assert new.import_memories("out") == {"stored": 2, "episodes_stored": 1, "profiles_updated": 1}
+    assert new.table("memory").count() == 0
+    new.import_memories("out", dry_run=False)
+    pick = lambda s: sorted((r.content, r.created_at, r.locked, r.recall_count, r.last_recalled, tuple(r.embedding)) for r in s.table("memory").collect())
+    assert pick(new) == pick(old) and any(r[3] == 1 for r in pick(new))
+    assert new.table("episode").first().keywords == "fruit" and new.get_profile("a") == "likes figs"
+    assert new.import_memories("out", dry_run=False) == {"skipped": 2, "episodes_skipped": 1, "profiles_updated": 1}
+    assert new.merge_memories("a", "b", move=True, dry_run=False) == {"moved": 2, "episodes_moved": 1, "profiles_moved": 1}
+    assert new.list_episodes("a").count() == 0 and new.get_profile("b") == "likes figs"
+    old.update_profile("b", "other")
+    assert old.merge_memories("a", "b", move=True, dry_run=False) == {"moved": 2, "episodes_moved": 1, "profiles_left_at_source": 1}
+    assert old.get_profile("a") == "likes figs"
+
+
+def test_repairs(spark, tmp_path):
+    from keepsake.store import SCHEMAS
+
+    s = MemoryStore(spark, f"file://{tmp_path}", clock=lambda: 1.7e9)
+    rows = [
+        (1, "a", "", "", "m", "x" * 17_000, '"user"', "{}", "2023-01-01T00:00:00+09:00", "2023-01-01 00:00:00", [1.0], 0, None, False),
+        (2, "a", "", "", "m", "[Memory from Bob] kept text", "{bad", "{bad", "odd", "2023-01-02 00:00:00", None, 0, None, False),
+        (3, "a", "", "", "", "  ", "{}", "{}", "", "2023-01-03 00:00:00", None, 0, None, False),
+        (4, "a", "", "c", "", "kept text", "{}", "{}", "", "2023-01-04 00:00:00", None, 0, None, False),
+        (5, "a", "", "", "", "  ", "{bad", "{}", "", "2023-01-05 00:00:00", [1.0], 0, None, True),
+    ]
+    s.append("memory", spark.createDataFrame(rows, SCHEMAS["memory"]))
+    s.append("episode", spark.createDataFrame([(1, "a", "", "", "sum", "k", None, None, None, False, "2023-01-01 00:00:00")], SCHEMAS["episode"]))
+    s.append("task", spark.createDataFrame([(1, "t", "a", "", "{}", 0, "2020-01-01 00:00:00")], SCHEMAS["task"]))
+    before = {r.check: r.n for r in s.check_health().collect()}
+    assert before["oversized_content"] == before["duplicate_content"] == before["stale_pending_tasks"] == 1 and before["embedding_dimension"] == 2
+    after = {r.check: (r.severity, r.n) for r in s.check_health(fix=True).collect()}
+    assert [r.check for r in s.check_health().collect()][:2] == ["memory_annotation", "discord_mention"]
+    left = {k: n for k, (_, n) in after.items() if n}
+    assert left == {"empty_content": 1, "invalid_json_source": 1, "null_embedding": 1, "missing_profile": 1, "anonymous_source": 2}
+    got = {r.id: r for r in s.table("memory").collect()}
+    assert sorted(got) == [1, 2, 5] and len(got[1].content) == 16_000 and got[1].msg_id == "" and got[1].timestamp == "2022-12-31T15:00:00+00:00"
+    assert got[2].content == "kept text" and got[2].timestamp == "2023-01-02T00:00:00+00:00" and len(got[2].embedding) == 64
+    assert s.table("episode").first().start_time == "2023-01-01T00:00:00+00:00"
+
+
+def test_context_that_cannot_be_read(spark, tmp_path):
+    bad = Context.parse("{not json")
+    s = MemoryStore(spark, f"file://{tmp_path}", context=bad)
+    found = {r.check: r.n for r in s.check_health().collect()}
+    assert bad.error and found["operating_context_parse"] == 1 and found["operating_context_size"] == 0
+    assert Context.parse('{"projects": ["p"], "mode": "warn"}').project("q", "a", True) == "q"
 
 
 def test_locks_and_deletes(store):
