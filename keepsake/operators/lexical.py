@@ -9,9 +9,10 @@ phrase) are gathered before any isolation, as a full-text index would.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 from math import log
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +65,7 @@ def counts(rows: DataFrame, terms: list[str], columns: tuple[str, ...], within:
     many = len(terms)
 
     def scan(batches):
-        machine = automaton(terms)
+        machine, second = automaton(terms), itemgetter(1)
         total, rows_, holding = 0, 0, np.zeros(many, np.int64)
         held: tuple[list, list, list, list] = ([], [], [], [])
         chars = 0
@@ -79,10 +80,9 @@ def counts(rows: DataFrame, terms: list[str], columns: tuple[str, ...], within:
             for i, mine, *texts in zip(*(c.to_pylist() for c in batch.columns)):
                 size = sum(max(len(t) - 2, 0) for t in texts)
                 total, rows_ = total + size, rows_ + 1
-                own: dict[int, int] = defaultdict(int)
+                own: Counter = Counter()
                 for t in texts:
-                    for _, term in machine.iter(t):
-                        own[term] += 1
+                    own.update(map(second, machine.iter(t)))
                 if own:
                     order = sorted(own)
                     holding[order] += 1
