@@ -6,7 +6,9 @@ merge makes new pairs and leaves old heap entries behind, which are skipped
 when they come up because the symbols they were made from are gone. That is
 O(n log n) for a word of n symbols, however long.
 
-Rows are independent: no shuffle, and lost executors cost only their own tasks.
+Rows are independent: no shuffle, and lost executors cost only their own tasks. A
+very long text, or word, is encoded whole. Empty tables give no rows; ties of ranks
+can't be, as each pair has its own.
 """
 
 from __future__ import annotations

@@ -6,20 +6,19 @@ that a worker's memory follows the slice and not the partition.
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from ..shared import scratch as shared_path
+from ..shared import stored
+
 U64 = np.uint64
 #: Rows and text bytes of a slice handed to a worker function at once.
 SLICE_ROWS = 512
@@ -28,28 +27,6 @@ _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
-    got = spark.conf.get("spark.checkpoint.dir", None)
-    if not got:
-        got = "file://" + tempfile.mkdtemp(prefix="keepsake-")
-        atexit.register(shutil.rmtree, got.removeprefix("file://"), True)
-        spark.conf.set("spark.checkpoint.dir", got)
-    return got.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends there, lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bucket(col: Column, n: int) -> Column:
     """crc32 of the value as text, modulo n; a null value falls into bucket 0."""
     return F.coalesce(F.crc32(col.cast("string").cast("binary")) % n, F.lit(0))

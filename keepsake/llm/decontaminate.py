@@ -16,16 +16,22 @@ weighs the more the fewer items hold it, and counts as often as it occurs.
 3. Candidates are verified with the exact weighted Jaccard similarity, 0.8 or more.
 
 Each document is worked on alone: one Arrow pass, no shuffle. The items travel to
-the workers in blocks of at most BLOCK_BYTES of text, one pass a block; a benchmark
-is a query set of bounded size, and the documents may be of any number.
-
-Null and empty texts and items match nothing; an item of fewer than five words is
-one shingle. Repeated rows are all returned. Items of equal text all match.
+the workers in blocks of at most BLOCK_BYTES of text, one pass a block; an index is a
+few arrays of about seven times that. In how many items a shingle occurs is counted
+over the whole benchmark before, so blocks change no similarity. A benchmark is a
+query set of bounded size, and the documents may be of any number.
+
+Null and empty texts and items match nothing, and empty tables give no rows. An item
+of fewer than five words is one shingle and is found in documents of just these words
+only: so few words in a row say nothing of a longer text. A very long text is looked at
+whole, some thousands of windows at a time. Of windows of equal similarity the first
+counts. Repeated rows are all returned. Items of equal text all match. Item keys are
+whole numbers; other columns are ignored, or kept as they are.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from functools import reduce
 from math import log
 
@@ -34,14 +40,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, arrow_schema, map_slices, mix, rolling, rows_out, sequence_hash, word_hashes
+from .common import U64, arrow_schema, integer_key, map_slices, mix, rolling, rows_out, sequence_hash, stored, word_hashes
 
 WORDS, SIMILARITY, RADIUS = 5, 0.8, 23
 #: Bits that a byte may differ in: eight blocks of one bit more exceed the radius.
 BYTE_BITS = RADIUS // 8
 #: Units of a weight of 1 where fingerprints are summed; sums of many words stay exact.
 UNITS = 1 << 20
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 SCHEMA = "item_id long, start long, n_words long, similarity double"
 _PUNCTUATION = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
 _BITS = np.arange(64, dtype=U64)
@@ -59,33 +65,33 @@ def shingles(words: list[bytes]) -> np.ndarray:
 
 
 class Index:
-    """Items with their fingerprints and the block index."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids, self.sets, self.lengths = [], [], []
-        df: Counter = Counter()
-        for i, text in items:
-            words = word_list(text)
-            if words:
-                s = shingles(words)
-                self.ids.append(i)
-                self.sets.append(Counter(s.tolist()))
-                self.lengths.append(len(words))
-                df.update(self.sets[-1].keys())
-        self.count = len(self.ids)
-        self.known = np.array(sorted(df), U64)
-        self.weights = np.array([self.weight(df[x]) for x in self.known.tolist()])
+    """Items with their fingerprints and the block index, in arrays. df and count: of the whole benchmark, where items are a block of it."""
+
+    def __init__(self, items: list[tuple[int, str]], df: dict[int, int] | None = None, count: int | None = None):
+        words = [(i, word_list(text)) for i, text in items]
+        words = [(i, w) for i, w in words if w]
+        own = [shingles(w) for _, w in words]
+        self.ids, self.lengths = [i for i, _ in words], [len(w) for _, w in words]
+        sets = [np.unique(s, return_counts=True) for s in own]
+        self.ends = np.cumsum([0, *(len(s) for s, _ in sets)])
+        self.shingle = np.concatenate([s for s, _ in sets] or [np.zeros(0, U64)])
+        self.times = np.concatenate([n for _, n in sets] or [np.zeros(0, np.int64)])
+        self.count = len(self.ids) if count is None else count
+        self.known, held = np.unique(self.shingle, return_counts=True)
+        if df is not None:
+            held = np.array([df[x] for x in self.known.tolist()], np.int64)
+        self.weights = 1 + np.log((1 + self.count) / (1 + held))
         self.rare = self.weight(0)
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.known & U64((1 << 20) - 1)).astype(np.int64)] = True
-        self.of = dict(zip(self.known.tolist(), self.weights.tolist()))
-        self.total = [sum(n * self.of[x] for x, n in s.items()) for s in self.sets]
+        self.each = self.weigh(self.shingle) * self.times if len(self.shingle) else np.zeros(0)
+        self.total = np.add.reduceat(self.each, self.ends[:-1]) if len(self.ids) else np.zeros(0)
         self.groups: dict[int, tuple] = {}
         by_length = defaultdict(list)
         for at, n in enumerate(self.lengths):
             by_length[n].append(at)
         for n, members in by_length.items():
-            prints = np.array([self.fingerprint(np.array(list(self.sets[m].elements()), U64)) for m in members], U64)
+            prints = np.array([self.fingerprint(own[m]) for m in members], U64)
             # places of items by block and byte, one list after the other
             keys = np.concatenate([256 * block + _NEAR[(prints >> U64(8 * block) & U64(255)).astype(np.int64)] for block in range(8)], axis=1)
             order = np.argsort(keys, axis=None, kind="stable")
@@ -121,16 +127,19 @@ class Index:
         return at
 
     def similarity(self, item: int, window: np.ndarray) -> float:
-        got = Counter(window.tolist())
-        both = sum(min(n, got[x]) * self.of[x] for x, n in self.sets[item].items() if x in got)
-        all_window = sum(n * self.of.get(x, self.rare) for x, n in got.items())
-        return both / (self.total[item] + all_window - both)
+        """Weighted Jaccard similarity; shingles count as often as they occur."""
+        got, n = np.unique(window, return_counts=True)
+        own, part = self.shingle[(a := self.ends[item]) : (b := self.ends[item + 1])], slice(a, b)
+        at = np.minimum(np.searchsorted(got, own), len(got) - 1)
+        hit = got[at] == own
+        both = float((np.minimum(self.times[part], n[at]) * (self.each[part] / self.times[part]))[hit].sum())
+        return both / (float(self.total[item]) + float((self.weigh(got) * n).sum()) - both)
 
     def matches(self, text: str):
         """(item, start, words, similarity) of the best window of each item found in the text."""
         words = word_list(text)
         s = shingles(words)
-        if not len(s) or not self.count:
+        if not len(s) or not self.ids:
             return
         anchors = self.anchored(s)
         if not len(anchors):
@@ -164,15 +173,28 @@ class Index:
 
 
 def blocks(items: DataFrame, key: str, text: str):
-    """The benchmark's items in blocks of bounded size."""
-    held, size = [], 0
-    for r in items.where(F.col(key).isNotNull() & (F.length(F.trim(text)) > 0)).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).orderBy("key", "text").toLocalIterator():
+    """Indices of the benchmark's items in blocks of bounded size."""
+    integer_key(items, key)
+    slim = items.where(F.col(key).isNotNull() & (F.length(F.trim(text)) > 0)).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+
+    def cut(batch: pa.RecordBatch):
+        own = [np.unique(shingles(word_list(t))).view(np.int64) for t in batch.column(1).to_pylist()]
+        starts = np.cumsum([0, *map(len, own)]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(starts, np.concatenate(own))], names=["key", "text", "shingles"])
+
+    each = stored(map_slices(slim, cut, "key long, text string, shingles array<long>", text=1).where(F.size("shingles") > 0), "benchmark")
+    count = each.count()
+    df = each.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    often = each.select("key", "text", F.explode("shingles").alias("shingle")).join(df, "shingle").groupBy("key", "text").agg(F.map_from_entries(F.collect_set(F.struct("shingle", "n"))).alias("often"))
+    held, counts, size = [], {}, 0
+    for r in each.join(often, ["key", "text"], "left").select("key", "text", "shingles", "often").orderBy("key", "text").toLocalIterator():
         held.append((r.key, r.text))
+        counts |= {x & (1 << 64) - 1: (r.often or {}).get(x, 1) for x in r.shingles}
         size += len(r.text)
         if size >= BLOCK_BYTES:
-            yield held
-            held, size = [], 0
-    yield held
+            yield Index(held, counts, count)
+            held, counts, size = [], {}, 0
+    yield Index(held, counts, count)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -181,8 +203,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     schema = arrow_schema(SCHEMA)
     slim = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
-    def scan(held: list) -> DataFrame:
-        told = docs.sparkSession.sparkContext.broadcast(Index(held))  # at most BLOCK_BYTES of text
+    def scan(index: Index) -> DataFrame:
+        told = docs.sparkSession.sparkContext.broadcast(index)  # of at most BLOCK_BYTES of text
 
         def run(batch: pa.RecordBatch):
             rows = [(i, *m) for i, t in enumerate(batch.column(1).to_pylist()) if t for m in told.value.matches(t)]
@@ -195,14 +217,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     return reduce(DataFrame.union, map(scan, blocks(benchmark, item, item_text))).withColumnRenamed("key", key)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that hold no item, with all their columns."""
+def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The documents that hold no item, with all their columns. Between two blocks of items what is left is stored, so that a task holds one index."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = docs.columns.index(text)
     frame = docs.toDF(*names)
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema))
-    for held in blocks(benchmark, "item_id", "text"):
-        told = docs.sparkSession.sparkContext.broadcast(Index(held))
+    for number, index in enumerate(blocks(benchmark, item, item_text)):
+        frame = stored(frame, "decontaminated") if number else frame
+        told = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batch: pa.RecordBatch, told=told):
             yield batch.filter(pa.array([not t or next(told.value.matches(t), None) is None for t in batch.column(at).to_pylist()], pa.bool_()))

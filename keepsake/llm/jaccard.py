@@ -29,7 +29,9 @@ Two texts link when the Jaccard similarity of their sets of five-word shingles i
 
 A null text has no words and links with nothing; a text of fewer than five words
 is one shingle. Rows with a null key are returned without a component. Repeated
-rows are all returned. Keys are unique but for repeated rows.
+rows are all returned. Keys are whole numbers, unique but for repeated rows. A very
+long text is one set like any other; empty tables give no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import U64, arrow_schema, components, grouped, map_slices, rolling, rows_out, sequence_hash, slices, stored, word_hashes
+from .common import U64, arrow_schema, components, grouped, integer_key, map_slices, rolling, rows_out, sequence_hash, slices, stored, word_hashes
 
 WORDS = 5
 #: Counters of the sketch that orders shingles, and the rows they are merged in.
@@ -250,7 +252,7 @@ def signatures(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, np.ndar
 def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id): component_id is the smallest key that links lead to, the row's own included."""
     spark = docs.sparkSession
-    kind = docs.schema[key].dataType.simpleString()
+    kind = integer_key(docs, key)
     sets, counts = signatures(docs, key, text)
     classes = sets.where("n > 0 and key is not null").groupBy("s1", "s2").agg(F.min("key").alias("rep"), F.max("n").alias("n"))
     sole = sets.where("n > 3").join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).where("key = rep").select("rep", "bits")  # twice for repeated rows

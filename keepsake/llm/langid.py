@@ -7,28 +7,37 @@ vectors of its trigrams; a language is the sum over its texts. A text belongs to
 the language whose vector has the largest cosine with its own.
 
 Learning is one pass over the labelled rows: a task bundles the trigram counts of
-each language and sends one vector a language, so what is gathered is languages
-times DIMENSION numbers a task. Languages are few; their number is checked.
-Texts that are null or without a letter give `und` with score 0 and teach
-nothing; rows without a language teach nothing.
+each language and sends one packed vector a language, and the sums are stored as
+prototypes in the shared folder, in blocks of BLOCK languages. Workers read them from
+there, one block at a time, so neither the driver nor a worker holds more than a
+block, however many languages there are. What a task has gathered of texts is
+bounded in bytes.
+
+Texts that are null, empty or without a letter give `und` with score 0 and teach
+nothing; so do all texts where nothing was learned, and an empty table gives no rows.
+Rows without a language teach nothing. Very long texts are worked on trigram by
+distinct trigram. Of equal cosines the first language by name wins. Repeated rows
+count and are answered as often as they occur; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, map_slices, rows_out
+from .common import arrow_schema, grouped, map_slices, rows_out, shared_path, slices, stored
 
 DIMENSION = 512
 #: Trigram vectors that a worker keeps.
 KEPT = 24_000
-#: Most languages that profiles are made for; more means that the column isn't a language.
-MOST_LANGUAGES = 4096
+#: Distinct trigrams that a task gathers before it bundles them, and languages of a block of prototypes.
+GATHERED, BLOCK = 1 << 20, 1024
 UNKNOWN = "und"
 _SHIFT = np.uint64(21)
 
@@ -87,60 +96,111 @@ def space(dimension: int = DIMENSION) -> Space:
     return Space(dimension)
 
 
-def profiles(docs: DataFrame, allowed: Column | None = None, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
-    """Language prototypes of unit length, from all rows of docs that have a language (and are allowed)."""
-    slim = docs.where(F.col(lang).isNotNull() & (F.lit(True) if allowed is None else allowed)).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+class Profiles:
+    """Where the prototypes lie: files of sorted names and of unit vectors, in order of the names."""
 
-    def run(batches):
-        sums: dict[str, tuple[list, list]] = {}
-        made: dict[str, np.ndarray] = {}
+    def __init__(self, folder: str, names: list[str], blocks: list[str]):
+        self.folder, self.names, self.blocks = folder, names, blocks
 
-        def fold(name: str) -> None:
-            codes, place = np.unique(np.concatenate(sums[name][0]), return_inverse=True)
-            made[name] = made.get(name, 0) + space().bundle(codes, np.bincount(place, np.concatenate(sums[name][1]))).astype(np.float64)
-            sums[name] = ([], [])
+    def block(self, at: int) -> tuple[list[str], np.ndarray]:
+        system, path = fs.FileSystem.from_uri(f"{self.folder}/{self.blocks[at]}")
+        with system.open_input_file(path) as f:
+            rows = pa.ipc.open_stream(f.read()).read_all()
+        return rows.column(0).to_pylist(), np.frombuffer(b"".join(rows.column(1).to_pylist()), np.float32).reshape(rows.num_rows, -1)
 
-        for batch in batches:
-            for t, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+
+def profiles(docs: DataFrame, allowed: Column | None = None, text: str = "text", lang: str = "lang") -> Profiles:
+    """Language prototypes of unit length, from all rows of docs that have a language (and are allowed)."""
+    slim = docs.where(F.col(lang).isNotNull() & (F.lit(True) if allowed is None else allowed)).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
+    folder = shared_path(docs.sparkSession, "languages")
+    schema = arrow_schema("lang string, v binary")
+
+    def run(batches):
+        held: dict[str, tuple[list, list]] = {}
+        size = 0
+
+        def flush():
+            out = []
+            for name, (codes, counts) in held.items():
+                own, place = np.unique(np.concatenate(codes), return_inverse=True)
+                out.append((name, space().bundle(own, np.bincount(place, np.concatenate(counts))).astype(np.float64).tobytes()))
+            held.clear()
+            return rows_out(schema, list(zip(*out)))
+
+        for piece in slices(batches, 0):
+            for t, name in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
                 codes, counts = trigrams(t or "")
                 if len(codes):
-                    held = sums.setdefault(name, ([], []))
-                    held[0].append(codes)
-                    held[1].append(counts)
-                    if len(held[0]) >= 512 or sum(map(len, held[0][-1:])) > 1 << 20:
-                        fold(name)
-        for name in [n for n, held in sums.items() if held[0]]:
-            fold(name)
-        names = sorted(made)
-        yield rows_out(arrow_schema("lang string, at int, v double"), [np.repeat(names, DIMENSION).tolist(), np.tile(np.arange(DIMENSION, dtype=np.int32), len(names)), np.concatenate([made[n] for n in names]) if names else np.zeros(0)])
-
-    rows = slim.mapInArrow(run, "lang string, at int, v double").groupBy("lang", "at").agg(F.sum("v").alias("v"))
-    if rows.select("lang").distinct().count() > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    found: dict[str, np.ndarray] = {}
-    for r in rows.collect():
-        found.setdefault(r.lang, np.zeros(DIMENSION))[r.at] = r.v
-    return {n: v / max(1e-12, float(np.linalg.norm(v))) for n, v in sorted(found.items())}
-
-
-def identify(docs: DataFrame, known: dict[str, np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
+                    own = held.setdefault(name, ([], []))
+                    own[0].append(codes)
+                    own[1].append(counts)
+                    size += len(codes)
+            if size >= GATHERED:
+                yield flush()
+                size = 0
+        if held:
+            yield flush()
+
+    def add(rows: pa.Table):
+        total = np.sum([np.frombuffer(x, np.float64) for x in rows.column("v").to_pylist()], axis=0)
+        yield rows_out(schema, [[rows.column("lang")[0].as_py()], [(total / max(1e-12, float(np.linalg.norm(total)))).astype(np.float32).tobytes()]])
+
+    def write(batches):
+        held: list[pa.RecordBatch] = []
+
+        def flush():
+            rows = pa.Table.from_batches(held)
+            name = uuid.uuid4().hex
+            system, path = fs.FileSystem.from_uri(folder)
+            system.create_dir(path, recursive=True)
+            with system.open_output_stream(f"{path}/{name}") as out, pa.ipc.new_stream(out, rows.schema) as writer:
+                writer.write_table(rows)
+            first, last = rows.column(0)[0].as_py(), rows.column(0)[rows.num_rows - 1].as_py()
+            return rows_out(arrow_schema("file string, first string, last string"), [[name], [first], [last]])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                held.append(batch.slice(at, BLOCK))
+                if sum(b.num_rows for b in held) >= BLOCK:
+                    yield flush()
+                    held.clear()
+        if held:
+            yield flush()
+
+    # a task's vectors of one language are summed in the next, so a frequent language sends a row a flush
+    sums = grouped(slim.mapInArrow(run, "lang string, v binary"), ["lang"], add, "lang string, v binary")
+    blocks = stored(sums.orderBy("lang").mapInArrow(write, "file string, first string, last string"), "language-files").orderBy("first").collect()  # a row a block
+    return Profiles(folder, [r.first for r in blocks], [r.file for r in blocks])
+
+
+def identify(docs: DataFrame, known: Profiles, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score) for every row; the score is the cosine with the winner, at least 0. Ties go to the first name."""
     kind = docs.schema[key].dataType.simpleString()
     schema = arrow_schema("lang_pred string, score double")
-    names = sorted(known)
-    told = docs.sparkSession.sparkContext.broadcast(np.stack([known[n] for n in names]).astype(np.float32) if names else np.zeros((0, DIMENSION), np.float32))
 
-    def run(batch: pa.RecordBatch):
-        out = []
-        for t in batch.column(1).to_pylist():
+    def setup():
+        return {0: known.block(0)} if len(known.blocks) == 1 else {}
+
+    def run(batch: pa.RecordBatch, held: dict):
+        texts = batch.column(1).to_pylist()
+        vectors: list = []
+        for t in texts:
             codes, counts = trigrams(t or "")
-            if not len(codes) or not names:
-                out.append((UNKNOWN, 0.0))
-                continue
-            v = space().bundle(codes, counts)
-            cosines = told.value @ v / max(1e-12, float(np.linalg.norm(v)))
-            best = int(cosines.argmax())
-            out.append((names[best], min(1.0, max(0.0, float(cosines[best])))))
+            v = space().bundle(codes, counts) if len(codes) and known.blocks else None
+            vectors.append(None if v is None else v / max(1e-12, float(np.linalg.norm(v))))
+        asked = [i for i, v in enumerate(vectors) if v is not None]
+        out = [(UNKNOWN, 0.0)] * len(texts)
+        best = np.full(len(asked), -2.0, np.float32)
+        if asked:
+            matrix = np.stack([vectors[i] for i in asked])
+            for at in range(len(known.blocks)):
+                names, own = held[at] if at in held else known.block(at)
+                cosines = np.round(matrix @ own.T, 6)
+                top = cosines.argmax(axis=1)  # the first of equals; blocks are in order of names
+                here = cosines[np.arange(len(asked)), top]
+                for j in np.flatnonzero(here > best).tolist():
+                    best[j] = here[j]
+                    out[asked[j]] = (names[int(top[j])], min(1.0, max(0.0, float(here[j]))))
         return pa.RecordBatch.from_arrays([batch.column(0), *rows_out(schema, list(zip(*out)) or [[], []]).columns], names=["key", *schema.names])
 
-    return map_slices(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), run, f"key {kind}, lang_pred string, score double", text=1).withColumnRenamed("key", key)
+    return map_slices(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), run, f"key {kind}, lang_pred string, score double", text=1, setup=setup).withColumnRenamed("key", key)

@@ -12,7 +12,10 @@ Kinds, in the order in which spans are listed:
   secret                   a cue such as token or password, = or :, and a value of 8 characters or more
   url                      an address with user and password in it
 
-Null texts count as empty, rows are independent, repeated rows are all returned.
+Null texts count as empty, and empty tables give no rows. Rows are independent,
+repeated rows are all returned, other columns are ignored or kept as they are. A very
+long text is searched whole; a parser goes no farther than the run of characters it
+expands. Of spans of one kind that would overlap the first counts.
 """
 
 from __future__ import annotations

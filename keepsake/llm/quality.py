@@ -9,16 +9,21 @@ metadata. Each input i has a weight w_i and a vector v_i of RANK numbers, and
 whose pairwise sum is 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2): linear in
 the number of inputs. It is fitted with AdaGrad on the driver, on at most
 SAMPLE labelled rows (those with the smallest hash of the key, so the choice is
-random but stable); the model's size does not depend on the data. Scoring covers
-all rows, one Arrow pass without a shuffle.
-
-Null texts count as empty and get a score like any other. Without labelled rows
-the score is 0.5 everywhere. Repeated rows are all scored; of repeated labels of
-one key the largest counts.
+random but stable) of which WORDS_KEPT words each at most are learned from (those with
+the smallest hash); both bound the driver's memory, and the model's size does not
+depend on the data. Scoring covers all rows and all their words, one Arrow pass
+without a shuffle.
+
+Null texts count as empty and get a score like any other; a very long text has at most
+SPACE inputs. Without labelled rows (an empty table of labels, or none allowed) the
+score is 0.5 everywhere; an empty table of documents gives no rows. Repeated rows
+are all scored; of repeated labels of one key the largest counts, and of rows
+of one key one is learned from. Other columns are ignored, or kept as they are.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
 from math import log1p
 
 import numpy as np
@@ -28,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, map_slices, rows_out, word_hashes
 
-#: Most labelled rows that the model is fitted on.
-SAMPLE = 8192
+#: Most labelled rows that the model is fitted on, and distinct words of each: 8192 x 2048 inputs of 8 bytes are 128 MB.
+SAMPLE, WORDS_KEPT = 8192, 2048
 SPACE = 1 << 16
 RANK = 8
 BINS = 16
@@ -37,13 +42,27 @@ EPOCHS = 8
 STATS = 12
 
 
+def cases(text: str, raw: bytes) -> tuple[int, int]:
+    """Upper- and lower-case letters of any script."""
+    if len(raw) == len(text):
+        letters = np.bincount(np.frombuffer(raw, np.uint8), minlength=128)
+        return int(letters[65:91].sum()), int(letters[97:123].sum())
+    kinds = _letters()[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+    return int((kinds == 2).sum()), int((kinds == 1).sum())
+
+
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """For each code point 2 if it is upper case, 1 if it is lower case, else 0."""
+    return np.fromiter((2 if (c := chr(i)).isupper() else int(c.islower()) for i in range(0x110000)), np.int8, 0x110000)
+
+
 def statistics(text: str, words: list[bytes]) -> list[float]:
     """Structure of the text, each between 0 and 1."""
     n, chars = max(1, len(words)), max(1, len(text))
     lines = text.split("\n")
     raw = text.encode()
-    upper = sum(map(raw.count, (b"E", b"A", b"I", b"N", b"T", b"R", b"S", b"O")))
-    lower = sum(map(raw.count, (b"e", b"a", b"i", b"n", b"t", b"r", b"s", b"o")))
+    upper, lower = cases(text, raw)
     return [
         min(1.0, log1p(len(words)) / 12),
         min(1.0, log1p(len(text)) / 15),
@@ -71,6 +90,16 @@ def inputs(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([slots.astype(np.int32), np.array(bins, np.int32)]), np.concatenate([values, np.full(STATS, 0.5)]).astype(np.float32)
 
 
+def learned(index: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The inputs that a row is learned from: its statistics and at most WORDS_KEPT words, those with the smallest hash of the slot."""
+    words = index < SPACE
+    if int(words.sum()) <= WORDS_KEPT:
+        return index, x
+    order = np.argsort((index[words].astype(np.uint32) * np.uint32(2654435769)) & np.uint32(0xFFFFFFFF), kind="stable")
+    keep = np.sort(np.concatenate([np.flatnonzero(words)[order[:WORDS_KEPT]], np.flatnonzero(~words)]))
+    return index[keep], x[keep]
+
+
 class Machine:
     def __init__(self, size: int = SPACE + STATS * BINS, rank: int = RANK):
         rng = np.random.default_rng(7)
@@ -124,7 +153,7 @@ def train(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, sam
     schema = arrow_schema("y long, idx binary, val binary")
 
     def run(batch: pa.RecordBatch):
-        found = [inputs(t) for t in batch.column("text").to_pylist()]
+        found = [learned(*inputs(t)) for t in batch.column("text").to_pylist()]
         return rows_out(schema, [batch.column("y").cast(pa.int64()), [i.tobytes() for i, _ in found], [v.tobytes() for _, v in found]])
 
     # `picked` holds at most `sample` slim rows, which bounds the broadcast

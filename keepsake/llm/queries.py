@@ -20,6 +20,11 @@ def tokenizer(name: str) -> str:
     return importlib.import_module("public_tokenizers").path(name)
 
 
+def yardsticks() -> tuple[str, str, str]:
+    """Two vocabularies for fertility, and the pattern of the second."""
+    return tokenizer("piece_bpe_32k.model"), tokenizer("byte_bpe_multi_50k.tiktoken"), importlib.import_module("public_tokenizers").PATTERN
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -66,9 +71,9 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fertility.rules(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+    found = fertility.rules(table(spark, sf_dir, "documents"), *yardsticks())
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    measures = ("n_tokens", "chars_per_token", "byte_share", "token_entropy", "script")
+    measures = ("n_tokens", "chars_per_token", "byte_share", "token_entropy", "pairs_tokens", "pairs_chars_per_token", "pairs_byte_share", "pairs_token_entropy", "script")
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("in_band")).alias("kept"), *measures)
 
 

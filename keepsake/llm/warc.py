@@ -17,7 +17,11 @@ and records are cut out, unpacked, parsed and checked against their digest.
 
 Null pages have an empty payload. Rows with a null id can't be referred to; they
 are written as responses. Repeated rows of one id are written as often as they
-occur; which of them is the response doesn't matter, as it names the id.
+occur, each as a record with an id of its own; which of them is the response doesn't
+matter, as a revisit names page, URL and date. Ids are whole numbers. A very large
+payload is one record. Empty tables give an empty index. Archives begin with a warcinfo
+record. They lie below spark.checkpoint.dir, or in a folder of the caller's, who
+removes them; `drop` does.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ import base64
 import gzip
 import hashlib
 import uuid
+from datetime import UTC, datetime
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +38,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, grouped, rows_out, shared_path, slices
+from .common import arrow_schema, grouped, integer_key, rows_out, shared_path, slices
 
 #: An archive is closed beyond so many bytes; a read spans at most READ bytes and skips at most GAP; a stretch is read by one task,
 #: and a task reads about TASK bytes where there is work for more tasks than there are shuffle partitions.
 ARCHIVE, READ, GAP, STRETCH, TASK = 256 << 20, 4 << 20, 64 << 10, 8 << 20, 256 << 20
 INDEX = "page_id long, url string, file string, offset long, length long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-_DATE = "2024-01-01T00:00:00Z"
 
 
 def digest(payload: bytes) -> str:
@@ -51,12 +55,12 @@ def one_line(text: str) -> str:
     return "".join(c if c >= " " and c != "\x7f" else "%%%02X" % ord(c) for c in text)
 
 
-def record(page_id: int | None, url: str, payload: bytes, kind: str, sha1: str, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record, uncompressed."""
+def record(where: str, date: str, page_id: int | None, url: str, payload: bytes, kind: str, sha1: str, refers_to: int | None, refers_url: str | None) -> bytes:
+    """One WARC/1.1 record, uncompressed. `where` (archive and offset) makes its id."""
     head = {
         "WARC-Type": kind,
-        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>",
-        "WARC-Date": _DATE,
+        "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, where)}>",
+        "WARC-Date": date,
         "WARC-Target-URI": one_line(url),
         "WARC-Payload-Digest": f"sha1:{sha1}",
         "X-Page-Id": "" if page_id is None else str(page_id),
@@ -66,11 +70,21 @@ def record(page_id: int | None, url: str, payload: bytes, kind: str, sha1: str,
     if kind == "response":
         head["Content-Type"] = "text/html; charset=utf-8"
     else:
-        head |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{refers_to}')}>", "X-Refers-To-Page-Id": str(refers_to)}
+        head |= {"WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", "WARC-Refers-To-Target-URI": one_line(refers_url or ""), "WARC-Refers-To-Date": date, "X-Refers-To-Page-Id": str(refers_to)}
+    return _framed(head, body)
+
+
+def _framed(head: dict[str, str], body: bytes) -> bytes:
     head["Content-Length"] = str(len(body))
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + body + b"\r\n\r\n"
 
 
+def opening(name: str, date: str) -> bytes:
+    """The record that tells what an archive is."""
+    body = b"format: WARC File Format 1.1\r\nsoftware: keepsake\r\n"
+    return _framed({"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", "WARC-Date": date, "WARC-Filename": name, "Content-Type": "application/warc-fields"}, body)
+
+
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     """Header fields and block of a record; raises ValueError where it is damaged."""
     head, gap, rest = raw.partition(b"\r\n\r\n")
@@ -82,15 +96,18 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[:size]
 
 
-def write(pages: DataFrame, least: int = 0, key: str = "page_id", url: str = "url", html: str = "html", folder: str | None = None) -> tuple[str, DataFrame]:
-    """Writes archives and index; (folder, index). Payloads of fewer than `least` bytes are never revisits."""
+def write(pages: DataFrame, least: int = 0, key: str = "page_id", url: str = "url", html: str = "html", folder: str | None = None, date: str | None = None) -> tuple[str, DataFrame]:
+    """Writes archives and index; (folder, index). Payloads of fewer than `least` bytes are never revisits. `date` (UTC) is that of all records, by default now."""
     spark = pages.sparkSession
+    integer_key(pages, key)
     folder = folder or shared_path(spark, "warc")
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     slim = pages.select(F.col(key).cast("long").alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
     slim = slim.withColumns({"sha1": F.sha1("payload"), "sha256": F.sha2("payload", 256), "size": F.octet_length("payload")})
     same = ["sha1", "sha256", "size"]
-    firsts = slim.where(f"size >= {least} and page_id is not null").groupBy(*same).agg(F.min("page_id").alias("first"))
-    told = slim.join(firsts, same, "left").select("page_id", "url", "payload", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to"))
+    firsts = slim.where(f"size >= {least} and page_id is not null").groupBy(*same).agg(F.min(F.struct("page_id", "url")).alias("first"))
+    late = F.col("page_id") > F.col("first.page_id")
+    told = slim.join(firsts, same, "left").select("page_id", "url", "payload", F.when(late, F.col("first.page_id")).alias("refers_to"), F.when(late, F.col("first.url")).alias("refers_url"))
     schema = arrow_schema(INDEX)
 
     def run(batches):
@@ -100,14 +117,16 @@ def write(pages: DataFrame, least: int = 0, key: str = "page_id", url: str = "ur
         try:
             for piece in slices(batches, 2):
                 rows = []
-                for page_id, u, payload, refers in zip(*(c.to_pylist() for c in piece.columns)):
+                for page_id, u, payload, refers, refers_url in zip(*(c.to_pylist() for c in piece.columns)):
                     if out is None or at >= ARCHIVE:
                         if out is not None:
                             out.close()
-                        name, at = f"{uuid.uuid4().hex}.warc.gz", 0
+                        name = f"{uuid.uuid4().hex}.warc.gz"
                         out = system.open_output_stream(f"{root}/{name}", compression=None)
+                        out.write(first := gzip.compress(opening(name, date), 6, mtime=0))
+                        at = len(first)
                     kind = "response" if refers is None else "revisit"
-                    packed = gzip.compress(record(page_id, u, payload, kind, sha := digest(payload), refers), 6, mtime=0)
+                    packed = gzip.compress(record(f"{name}:{at}", date, page_id, u, payload, kind, sha := digest(payload), refers, refers_url), 6, mtime=0)
                     out.write(packed)
                     rows.append((page_id, u, name, at, len(packed), len(payload), sha, kind, refers))
                     at += len(packed)
@@ -121,6 +140,12 @@ def write(pages: DataFrame, least: int = 0, key: str = "page_id", url: str = "ur
     return folder, spark.read.schema(INDEX).parquet(f"{folder}/index")
 
 
+def drop(folder: str) -> None:
+    """Removes archives and index."""
+    system, root = fs.FileSystem.from_uri(folder)
+    system.delete_dir(root)
+
+
 def read(folder: str, index: DataFrame, payloads: bool = True) -> DataFrame:
     """The records that index rows name, from the archives; revisits have a null payload. With payloads=False it isn't returned."""
     wanted = index.select("file", (F.col("offset") / STRETCH).cast("long").alias("stretch"), "offset", "length")

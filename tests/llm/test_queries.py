@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keepsake.llm import decontaminate, fertility, jaccard, pii, queries
 from keepsake.llm.queries import tokenizer
@@ -98,6 +99,58 @@ def test_op2_finds_edits_inside_items():
     assert wanted > 300 and found == wanted
 
 
+def jaccard_of(a, b, weight):
+    """Weighted Jaccard similarity of two lists of shingles, written out."""
+    x, y = Counter(a), Counter(b)
+    return sum(min(x[g], y[g]) * weight(g) for g in x if g in y) / sum(max(x[g], y[g]) * weight(g) for g in {*x, *y})
+
+
+def test_op2_windows_about_the_threshold(spark):
+    """Edits that bring the best window to either side of 0.8: what is found is what all windows, compared one by one, give."""
+    import random
+
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(20, 55)))) for i in range(60)]
+    grams = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    df = Counter(g for _, t in items for g in set(grams(t.split())))
+    weight = lambda g: 1 + math.log((1 + len(items)) / (1 + df[g]))
+    docs, want, near = [], set(), 0
+    for d in range(400):
+        i, text = items[d % len(items)]
+        own = text.split()
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randrange(len(own))
+            own[at : at + 1] = rng.choice(([], ["new"], ["new", "words"]))
+        words = rng.choices(vocabulary, k=rng.randint(0, 40)) + own + rng.choices(vocabulary, k=rng.randint(0, 40))
+        docs.append((d, " ".join(words)))
+        n = len(text.split())
+        best = max(jaccard_of(grams(text.split()), grams(words[a : a + n]), weight) for a in range(max(1, len(words) - n + 1)))
+        near += 0.7 < best < 0.9
+        if best >= 0.8:
+            want.add((d, i))
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench)
+    found = {(r.doc_id, r.item_id) for r in got.collect()}
+    assert near > 60 and found == want
+    assert decontaminate.clean(spark.createDataFrame(docs, "doc_id long, text string"), bench.withColumnRenamed("item_id", "k").withColumnRenamed("text", "t"), item="k", item_text="t").count() == len(docs) - len({d for d, _ in want})
+
+
+def test_op2_blocks_change_nothing(spark, sf_dir, monkeypatch):
+    """Items in blocks of one: the same similarities, and the same documents left, whatever columns there are."""
+    docs, bench = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "benchmark"))
+    pick = lambda df: sorted((r.doc_id, r.item_id, r.start, round(r.similarity, 9)) for r in df.collect())
+    whole, left = pick(decontaminate.contaminated(docs, bench)), decontaminate.clean(docs, bench).count()
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1)
+    assert pick(decontaminate.contaminated(docs, bench)) == whole and decontaminate.clean(docs, bench).count() == left
+
+
+def test_op2_tied_windows():
+    """Two windows of equal similarity: the first counts."""
+    index = decontaminate.Index([(0, "a b c d e f g h")])
+    assert [m[:2] for m in index.matches("x a b c d e f g h y a b c d e f g h")] == [(0, 1)]
+
+
 def removed(rows):
     first = {}
     windows = [[tuple(w[i : i + 50]) for i in range(len(w) - 49)] for w in ((t or "").encode().split() for _, t, *_ in rows)]
@@ -158,6 +211,76 @@ def test_op4(spark, sf_dir, rows):
     assert sum(right) >= 0.9 * len(right)
 
 
+def test_op4_machine_like_double_sum():
+    """The margin is the sum over all pairs of inputs, and one step of the fit goes against its gradient."""
+    from keepsake.llm import quality
+
+    rng = np.random.default_rng(1)
+    m = quality.Machine(40, 3)
+    m.w, m.v, m.bias = rng.normal(0, 1, 40).astype(np.float32), rng.normal(0, 1, (40, 3)).astype(np.float32), np.float32(0.3)
+    index, x = np.array([2, 5, 11, 30], np.int32), np.array([0.5, 1.5, -1.0, 2.0], np.float32)
+    full = lambda b, w, v: b + sum(w[i] * a for i, a in zip(index, x)) + sum(float(v[index[a]] @ v[index[b_]]) * x[a] * x[b_] for a in range(4) for b_ in range(a + 1, 4))
+    assert m.margin(index, x) == pytest.approx(full(m.bias, m.w, m.v), abs=1e-4)
+    fitted = quality.Machine(40, 3)
+    fitted.v = m.v.copy()
+    w0, v0 = np.zeros(40), m.v.astype(np.float64)
+    fitted.fit([(index, x, 1), (index, -x, 0)], epochs=1, rate=0.1, decay=0.0)
+    loss = lambda w, v: sum(math.log1p(math.exp(-s * (sum(w[i] * a for i, a in zip(index, y)) + sum(float(v[index[a]] @ v[index[b]]) * y[a] * y[b] for a in range(4) for b in range(a + 1, 4))))) for y, s in ((x.astype(float), 1), (-x.astype(float), -1)))
+    for i in index.tolist():
+        step = np.zeros(40)
+        step[i] = 1e-5
+        grad = (loss(w0 + step, v0) - loss(w0 - step, v0)) / 2e-5
+        assert fitted.w[i] == pytest.approx(-0.1 * grad / math.sqrt(1e-3 + grad * grad), abs=1e-4)
+        for f in range(3):
+            step = np.zeros((40, 3))
+            step[i, f] = 1e-5
+            grad = (loss(w0, v0 + step) - loss(w0, v0 - step)) / 2e-5
+            assert fitted.v[i, f] - m.v[i, f] == pytest.approx(-0.05 * grad / math.sqrt(1e-3 + grad * grad), abs=1e-4)
+
+
+def test_op4_scores_like_brute_force(spark, sf_dir, rows):
+    """Every score, from inputs worked out word by word and the double sum over their pairs."""
+    from keepsake.llm import quality
+    import xxhash
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
+    machine = quality.train(docs, labels)
+    got = {r.doc_id: r.score for r in quality.score(docs, machine).collect()}
+    for i, text, *_ in rows:
+        text = text or ""
+        if len(text) > 3000:
+            continue
+        slots = Counter(xxhash.xxh3_64_intdigest(w.lower()) % quality.SPACE for w in text.encode().split())
+        length = math.sqrt(sum((1 + math.log(n)) ** 2 for n in slots.values())) or 1
+        x = {s: (1 + math.log(n)) / length for s, n in slots.items()}
+        stats = quality.statistics(text, text.encode().split())
+        x |= {quality.SPACE + k * quality.BINS + min(quality.BINS - 1, int(v * quality.BINS)): 0.5 for k, v in enumerate(stats)}
+        index, values = np.array(list(x)), np.array(list(x.values()))
+        v = machine.v[index].astype(float) * values[:, None]
+        pairs = sum(float(v[a] @ v[b]) for a in range(len(index)) for b in range(a))
+        margin = float(machine.bias) + float(machine.w[index].astype(float) @ values) + pairs
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, margin)))), abs=1e-4)
+
+
+def test_op4_letters_of_any_script():
+    from keepsake.llm import quality
+
+    for text in ("Abc DEF gh", "ÄÖü ПРИвет 日本 x", "", "12"):
+        assert quality.cases(text, text.encode()) == (sum(map(str.isupper, text)), sum(map(str.islower, text)))
+    many = np.arange(5000, dtype=np.int32)
+    index, x = quality.learned(np.concatenate([many, [quality.SPACE + 3]]).astype(np.int32), np.ones(5001, np.float32))
+    assert len(index) == len(x) == quality.WORDS_KEPT + 1 and index[-1] == quality.SPACE + 3
+
+
+def test_op4_without_labels_and_with_tied_ones(spark, sf_dir):
+    from keepsake.llm import quality
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
+    assert {round(r.score, 2) for r in quality.score(docs, quality.train(docs, labels.limit(0))).collect()} <= {0.49, 0.5, 0.51}
+    tied = labels.where("quality is not null").withColumn("quality", F.lit(0)).union(labels.where("quality is not null").withColumn("quality", F.lit(1)))
+    assert all(r.score > 0.9 for r in quality.score(docs, quality.train(docs, tied)).collect())  # the larger label counts
+
+
 def shingle_sets(rows):
     out = []
     for _, text, *_ in rows:
@@ -254,6 +377,25 @@ def test_op6(spark, sf_dir):
     same(run(spark, sf_dir, "op6_warc"), want)
 
 
+def test_op6_record_ids_are_unique(spark, sf_dir):
+    """Archives can be read record by record; ids differ even of repeated rows and null pages, and begin with a warcinfo record."""
+    import gzip
+    import io
+    import pathlib
+
+    from keepsake.llm import warc
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    odd = pages.select(F.lit(None).cast("long").alias("page_id"), "url", "html").limit(2)
+    folder, index = warc.write(pages.select("page_id", "url", "html").union(pages.select("page_id", "url", "html")).union(odd).coalesce(1), date="2024-05-06T07:08:09Z")
+    file = pathlib.Path(folder.removeprefix("file://")) / index.first().file
+    raw = gzip.GzipFile(fileobj=io.BytesIO(file.read_bytes())).read()
+    ids = re.findall(rb"WARC-Record-ID: (<urn:uuid:[0-9a-f-]{36}>)\r\n", raw)
+    assert len(ids) == len(set(ids)) == index.count() + 1 and raw.startswith(b"WARC/1.1\r\nWARC-Type: warcinfo") and b"WARC-Date: 2024-05-06T07:08:09Z" in raw
+    warc.drop(folder)
+    assert not file.exists()
+
+
 def test_op6_selected_records_and_payloads(spark, sf_dir):
     from keepsake.llm import warc
 
@@ -281,8 +423,76 @@ def test_op7(spark, sf_dir, rows):
     assert sum(r["kept"] for r in got) > 20
 
 
+#: One sentence of each of the languages that the bands are made for.
+SENTENCES = {
+    "latin": "Der Ausschuss trifft sich am Donnerstag, um über den Haushalt des kommenden Jahres zu beraten und die Berichte der Abteilungen zu hören.",
+    "cyrillic": "Комитет соберётся в четверг, чтобы обсудить бюджет на следующий год и выслушать отчёты каждого отдела о проделанной работе.",
+    "greek": "Η επιτροπή θα συνεδριάσει την Πέμπτη για να συζητήσει τον προϋπολογισμό του επόμενου έτους και να ακούσει εκθέσεις από κάθε τμήμα.",
+    "hebrew": "הוועדה תתכנס ביום חמישי כדי לדון בתקציב לשנה הקרובה ולשמוע דוחות מכל מחלקה על מה שנעשה.",
+    "arabic": "ستجتمع اللجنة يوم الخميس لمناقشة ميزانية العام المقبل والاستماع إلى تقارير من كل قسم عما تم إنجازه.",
+    "indic": "समिति गुरुवार को अगले वर्ष के बजट पर चर्चा करने और प्रत्येक विभाग से रिपोर्ट सुनने के लिए बैठक करेगी।",
+    "han": "委员会将于星期四开会讨论明年的预算并听取各部门关于工作完成情况的报告然后再作出决定。",
+    "hangul": "위원회는 목요일에 모여 내년도 예산을 논의하고 각 부서의 보고를 들을 예정입니다.",
+    "other": "კომიტეტი ხუთშაბათს შეიკრიბება, რათა განიხილოს მომავალი წლის ბიუჯეტი და მოისმინოს ანგარიშები.",
+}
+
+
+def test_op7_every_band_can_reject():
+    """Sentences of each script are in band; random letters of it, and one letter over and over, are not."""
+    import random
+
+    yardsticks = fertility.load(*queries.yardsticks())
+    rng = random.Random(6)
+    for script, text in SENTENCES.items():
+        assert fertility.script_of(text) == script and fertility.measure(text, yardsticks)[-1], script
+        letters = sorted({c for c in text if c.isalpha()})
+        assert not fertility.measure(" ".join([letters[0] * 5] * 60), yardsticks)[-1], script
+    blocks = {"cyrillic": (0x410, 0x44F), "greek": (0x391, 0x3C9), "hebrew": (0x5D0, 0x5EA), "arabic": (0x627, 0x64A), "indic": (0x905, 0x939), "han": (0x4E00, 0x9FFF), "hangul": (0xAC00, 0xD7A0)}
+    for script, (low, high) in blocks.items():
+        kept = sum(fertility.measure(" ".join("".join(chr(rng.randint(low, high)) for _ in range(rng.randint(2, 9))) for _ in range(60)), yardsticks)[-1] for _ in range(20))
+        assert kept <= 1, script
+
+
+def test_op7_measures(spark, sf_dir, rows):
+    """Measures and verdict worked out again from the vocabularies and the bands alone."""
+    import base64 as b64
+
+    import sentencepiece
+    import tiktoken
+
+    fallback, pairs, pattern = queries.yardsticks()
+    sp = sentencepiece.SentencePieceProcessor(model_file=fallback)
+    with open(pairs, "rb") as f:
+        ranks = {b64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    spelled = {i: b for b, i in ranks.items()}
+    enc = tiktoken.Encoding("t", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    by = {}
+    for r in run(spark, sf_dir, "op7_fertility"):
+        by.setdefault(r["doc_id"], r)
+    for i, text, *_ in rows:
+        words = (text or "").encode().split()
+        plain, r = b" ".join(words).decode(), by[i]
+        chars, verdict = len(plain) - plain.count(" "), True
+        tokens = [[(sp.is_byte(t), float(0 if sp.is_byte(t) and 0x80 <= int(sp.id_to_piece(t)[3:-1], 16) < 0xC0 else 1 if sp.is_byte(t) else len(sp.id_to_piece(t).replace("\u2581", ""))), t) for t in sp.encode(plain)]]
+        tokens.append([("\ufffd" in spelled[t].decode(errors="replace") and b"\xef\xbf\xbd" not in spelled[t], float(sum(not 0x80 <= x < 0xC0 for x in spelled[t].replace(b" ", b""))), t) for t in enc.encode_ordinary(plain)])
+        for own, bands, prefix in zip(tokens, (fertility.FALLBACK_BANDS, fertility.PAIRS_BANDS), ("", "pairs_")):
+            n = len(own)
+            assert r[f"{prefix}tokens" if prefix else "n_tokens"] == n
+            if not n:
+                verdict = False
+                continue
+            counts = Counter(t for *_, t in own)
+            entropy = -sum(c / n * math.log2(c / n) for c in counts.values()) / min(9, math.log2(n)) if n > 1 else 0.0
+            share, spells = sum(b for b, *_ in own) / n, [c for _, c, _ in own]
+            spread = math.sqrt(sum((c - sum(spells) / n) ** 2 for c in spells) / n) / math.sqrt(n)
+            assert r[f"{prefix}chars_per_token"] == pytest.approx(chars / n) and r[f"{prefix}byte_share"] == pytest.approx(share) and r[f"{prefix}token_entropy"] == pytest.approx(entropy, abs=1e-9)
+            low, high, most, least = bands[r["script"]]
+            verdict = verdict and low - 0.25 * spread - 1e-9 <= chars / n <= high and share <= most and entropy >= least
+        assert r["kept"] == (verdict and not r["base_failed"]), i
+
+
 def test_op7_bands():
-    yardstick = fertility.load(tokenizer("piece_bpe_32k.model"))
+    yardstick = fertility.load(*queries.yardsticks())
     measure = lambda t: fertility.measure(t, yardstick)
     assert measure("The committee will meet on Thursday to discuss the budget for the coming year and to hear reports from each department. " * 1)[-1]
     assert not measure("zq xv kj qq zz xx vv " * 40)[-1]
@@ -294,7 +504,7 @@ def test_op7_short_noise():
     import random
     import string
 
-    yardstick = fertility.load(tokenizer("piece_bpe_32k.model"))
+    yardstick = fertility.load(*queries.yardsticks())
     rng, kept = random.Random(8), 0
     for letters in (string.ascii_lowercase, string.ascii_uppercase):
         for n in (30, 35, 40, 50, 60, 75, 90, 120, 150):
@@ -304,7 +514,7 @@ def test_op7_short_noise():
     assert kept <= 1  # of 180; about one of 1000 texts of 30 words comes near the band by chance
     assert not fertility.measure("THE COMMITTEE WILL MEET ON THURSDAY XQJ ZKV WPT " * 6, yardstick)[-1]
     text = "The café's 日本 menu 🙂"
-    assert yardstick.chars[yardstick.tokens(text.encode().split())].sum() == len("".join(text.split()))
+    assert all(y.chars[y.tokens(text)].sum() == len("".join(text.split())) for y in yardstick)
 
 
 def test_op8(spark, sf_dir, rows):
@@ -319,6 +529,63 @@ def test_op8(spark, sf_dir, rows):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def bundled(text, dimension=512):
+    """The sum of bound trigram vectors of a text, one trigram after the other."""
+    letter = lambda p: np.random.default_rng([p, 2021]).integers(0, 2, dimension).astype(float) * 2 - 1
+    stream, total = [0], np.zeros(dimension)
+    for c in (text or "").lower():
+        if c.isalpha():
+            stream.append(ord(c))
+        elif stream[-1]:
+            stream.append(0)
+    stream += [0] if stream[-1] else []
+    if len(stream) < 3:
+        return total
+    for a, b, c in zip(stream, stream[1:], stream[2:]):
+        total += np.roll(letter(a), 2) * np.roll(letter(b), 1) * letter(c)
+    return total
+
+
+def test_op8_like_brute_force(spark, sf_dir, rows):
+    """Predictions and cosines, with vectors bound and bundled one by one."""
+    few = [(i, t, lang) for i, t, lang, _ in rows if t is None or len(t) < 1500][:60]
+    sums = defaultdict(lambda: np.zeros(512))
+    for i, t, lang in few:
+        if lang is not None and crc(i) % 3 != 1:
+            sums[lang] += bundled(t)
+    known = {n: v / np.linalg.norm(v) for n, v in sorted(sums.items()) if np.linalg.norm(v)}
+    from keepsake.llm import langid
+
+    docs = spark.createDataFrame(few, "doc_id long, text string, lang string").repartition(3)
+    allowed = queries.bucket(F.col("doc_id"), 3) != 1
+    for block in (1024, 1):
+        langid.BLOCK, old = block, langid.BLOCK
+        try:
+            got = {r.doc_id: r for r in langid.identify(docs, langid.profiles(docs, allowed)).collect()}
+        finally:
+            langid.BLOCK = old
+        for i, t, _ in few:
+            v = bundled(t)
+            if not np.linalg.norm(v) or not any(map(str.isalpha, t or "")):
+                assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+                continue
+            cosines = {n: float(p @ v) / np.linalg.norm(v) for n, p in known.items()}
+            best = max(cosines.values())
+            assert cosines[got[i].lang_pred] > best - 1e-4 and got[i].score == pytest.approx(max(0.0, best), abs=1e-4)
+
+
+def test_op8_ties_and_many_languages(spark):
+    """Equal prototypes: the first name; thousands of values in the language column don't stop it."""
+    from keepsake.llm import langid
+
+    docs = spark.createDataFrame([(1, "abc def", "b"), (2, "abc def", "a"), (3, "abc def", None)], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in langid.identify(docs, langid.profiles(docs)).collect()} == {"a"}
+    many = spark.range(5000).selectExpr("id as doc_id", "concat('w', cast(id as string), ' some text') as text", "concat('l', cast(id as string)) as lang")
+    known = langid.profiles(many)
+    assert len(known.blocks) >= 5
+    assert langid.identify(many.limit(3), known).count() == 3
+
+
 def kneser_ney(rows):
     tokens = [[*(t or "").encode().lower().split(), None] for _, t, *_ in rows]
     c, pairs = Counter(), Counter()
