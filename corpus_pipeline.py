@@ -21,8 +21,9 @@ LEAST_QUALITY = 0.3
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the classifier doesn't reject; it learns from the labels of four fifths of the keys."""
     machine = quality.train(docs, table(spark, sf_dir, "labels"), bucket(F.col("doc_id"), 5) != 0)
-    scored = quality.score(docs.withColumnRenamed("score", "_score_in"), machine, keep=True)
-    return scored.where(F.col("score") >= LEAST_QUALITY).drop("score").withColumnRenamed("_score_in", "score").select(*docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called
+    scored = quality.score(docs.toDF(*names), machine, text=names[docs.columns.index("text")], keep=True)
+    return scored.where(F.col("score") >= LEAST_QUALITY).drop("score").toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,18 +35,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops documents that hold a benchmark item. Null and empty texts hold none and stay; an empty benchmark drops nothing."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by placeholders and counts characters anew."""
+    """Replaces personal data by placeholders and counts characters anew. Null texts stay null, with null counted for them; all rows stay."""
     done = pii.redact(docs)
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids, packed, and their number and digests."""
+    """Number of token ids and digests of ids and decoded text, a row a document; a null text counts as empty."""
     return bpe.digests(bpe.encode(docs, tokenizer("word_bpe_49k.json")))
 
 
