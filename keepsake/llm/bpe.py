@@ -24,6 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import arrow_schema, map_slices, rows_out
 
@@ -43,6 +44,33 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+@lru_cache(maxsize=2)
+def letters_and_numbers(path: str) -> tuple[dict[str, str], dict[int, str]]:
+    """Letters and numbers as ranges for a pattern, and how characters are folded that Python's tables don't know.
+
+    Three versions of Unicode meet here: Python's, the pattern library's, and that of
+    the library which reads the file. The last one is right. What the first two agree on,
+    it agrees on; what only the newer one knows is asked of the file's own pre-tokenizer
+    and normalizer, a character at a time.
+    """
+    kinds = np.frombuffer("".join(unicodedata.category(chr(i))[0] for i in range(0x110000)).encode(), np.uint8).copy()
+    unknown = "".join(chr(i) for i in np.flatnonzero(kinds == ord("C")).tolist() if unicodedata.category(chr(i)) == "Cn")
+    reader = Tokenizer.from_file(path)
+    folded = {}
+    for c in regex.findall(r"[\p{L}\p{N}]", unknown):
+        if len(reader.pre_tokenizer.pre_tokenize_str("a" + c)) == 1:
+            kinds[ord(c)] = ord("L")
+        elif len(reader.pre_tokenizer.pre_tokenize_str(c + c)) == 2:
+            kinds[ord(c)] = ord("N")
+        if (other := reader.normalizer.normalize_str(c)) != c:
+            folded[ord(c)] = other
+    out = {}
+    for name in "LN":
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], kinds == ord(name), [0]]).astype(np.int8)))
+        out[name] = "".join(f"\\U{a:08X}-\\U{b - 1:08X}" for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()))
+    return out, folded
+
+
 def keep(cache: dict, key: str, value: bytes) -> None:
     """Puts short keys into a cache of bounded size."""
     if len(key) <= 64:
@@ -72,7 +100,11 @@ class Bpe:
         self.last = [self.vocab[c + self.suffix] for c in byte]
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         kinds = [s["pattern"]["Regex"] for s in spec["pre_tokenizer"]["pretokenizers"] if s["type"] == "Split"]
-        self.pieces = regex.compile(kinds[0].replace(r"[^\s", "[^" + _WHITE))
+        pattern = kinds[0].replace(r"[^\s", "[^" + _WHITE)
+        ranges_of, self.folded = letters_and_numbers(path)
+        for name, ranges in ranges_of.items():
+            pattern = pattern.replace(rf"[\p{{{name}}}]", f"[{ranges}]").replace(rf"\p{{{name}}}]", f"{ranges}]").replace(rf"\p{{{name}}}\p", rf"{ranges}\p")
+        self.pieces = regex.compile(pattern)
         self.words: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
 
@@ -138,7 +170,7 @@ class Bpe:
                 out.append(self.added[part].to_bytes(4, "little"))
             elif part:
                 if not part.isascii():
-                    part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # lower-cased letter by letter
+                    part = unicodedata.normalize("NFC", part).replace("Σ", "σ").translate(self.folded)  # lower-cased letter by letter
                 part = part.lower()
                 # no pre-token holds white space; U+001C to U+001F are white space to split() alone
                 words, run, cache = [part] if _SEPARATORS.search(part) else part.split(), self.run, self.runs

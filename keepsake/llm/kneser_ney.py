@@ -1,12 +1,14 @@
 """Language-model scores: an interpolated modified Kneser-Ney bigram model.
 
-Counting. Tasks count the bigrams (history, word) of their rows in numpy, deal
-them by the history's leading hash bits into shards, and send one packed array a
-shard. A shard is merged by one task, whose memory follows the shard; the number
-of shards follows the input. Hot histories are no burden, because only distinct
-bigrams travel. The merged shard knows its histories' totals and how many words
-followed them once, twice and more often; how many histories a word has had is
-sent on to the word's shard.
+Counting. A first pass counts words; those that make up more than a HOT-th of all
+tokens are few, and are told to the tasks of the second, which counts the bigrams
+(history, word) of its rows in numpy and sends one packed array a shard. A history
+and all that follows it go to one shard, named by the history's leading hash bits;
+bigrams of a hot history are dealt by their own hash instead. A shard is merged by one
+task, whose memory follows the shard; the number of shards follows the input. The
+merged shard knows, of each of its histories, how often it occurred and how many words
+followed it once, twice and more often; these parts, of which a hot history has one
+a shard, and the number of histories a word has had are sent on and added up.
 
 Storing. Each shard is a file in the shared folder: sorted 64-bit hashes, then
 their counts. Names are new for each attempt, and the manifest names the files of
@@ -20,11 +22,13 @@ Scoring. Each slice of texts looks its distinct words and bigrams up in order.
 
 with discounts D1, D2, D3+ from the counts of counts of each order, and g the mass
 that they free. Unknown words share the last term, so P sums to 1 over V words and
-one unknown. Hashes have 64 bits; a clash merges two entries.
+one unknown. Words and bigrams have 64 bits of hash of their own, whatever names their
+shard; a clash merges two entries.
 
 Tokens are words, A-Z lower-cased, and one end a text; a null text is only an end.
-Repeated rows count and are scored as often as they occur. Without training rows
-all scores are 0.
+Repeated rows count and are scored as often as they occur. A very long text is scored
+whole. Without training rows all scores are 0; empty tables give no rows; other columns are
+ignored. Files lie below spark.checkpoint.dir and are needed as long as the model is.
 """
 
 from __future__ import annotations
@@ -39,12 +43,13 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, arrow_schema, grouped, map_slices, mix, rows_out, shared_path, slices, word_hashes
+from .common import U64, arrow_schema, grouped, map_slices, mix, rows_out, shared_path, slices, stored, word_hashes
 
 END, START = (int(x) for x in word_hashes([b" ", b"\n"]))
 #: Training tokens for which a shard is made, bits of a hash that may name shards, and tokens a task counts at once.
-SHARD_TOKENS, MOST_BITS, FLUSH = 2_500_000, 16, 4 << 20
-_TOP = U64(0xFFFF << 48)
+SHARD_TOKENS, MOST_BITS, FLUSH = 600_000, 24, 4 << 20
+#: Share of all tokens from which on a history's bigrams are dealt by themselves.
+HOT = 4096
 _PARTS = "kind int, shard int, a binary, b binary, c binary, note string"
 _PARTS_SCHEMA = arrow_schema(_PARTS)
 #: Columns of a word's entry after its hash: count, histories, followers in all, followers seen once, twice, more often.
@@ -69,8 +74,7 @@ def sequences(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """A bigram's hash; it begins as its history's does, so that shards hold whole histories."""
-    return (v & _TOP) | (mix(v * U64(0x9E3779B97F4A7C15) + w) >> U64(16))
+    return mix(v * U64(0x9E3779B97F4A7C15) + w)
 
 
 def split(shards: np.ndarray):
@@ -84,18 +88,44 @@ def shard_of(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
 
-def count(batches, bits: int):
-    """Packed counts of bigrams (kind 2: histories, their lengths and words, counts) and words (kind 1)."""
+def shard_of_pairs(v: np.ndarray, keys: np.ndarray, hot: np.ndarray, bits: int) -> np.ndarray:
+    """Shards of bigrams; hot: sorted hashes of hot histories."""
+    lead = v
+    if len(hot):
+        split_ = hot[np.minimum(np.searchsorted(hot, v), len(hot) - 1)] == v
+        lead = np.where(split_, keys, v)
+    return shard_of(lead, bits)
+
+
+def count_words(batches, bits: int):
+    """Packed counts of words (kind 1)."""
+
+    def flush(held):
+        words, n = np.unique(np.concatenate(held), return_counts=True)
+        return [(1, name, words[part].tobytes(), n[part].astype(np.uint32).tobytes(), None, None) for name, part in split(shard_of(words, bits))]
+
+    held, size = [], 0
+    for piece in slices(batches, 0):
+        held.append(sequences(piece.column(0).to_pylist())[1])
+        size += len(held[-1])
+        if size >= FLUSH:
+            yield rows_out(_PARTS_SCHEMA, list(zip(*flush(held))))
+            held, size = [], 0
+    if size:
+        yield rows_out(_PARTS_SCHEMA, list(zip(*flush(held))))
+
+
+def count(batches, bits: int, hot: np.ndarray):
+    """Packed counts of bigrams (kind 2): histories, their lengths, words and counts."""
 
     def flush(held):
         v, w = (np.concatenate(x) for x in zip(*held))
-        words, n = np.unique(w, return_counts=True)
-        for name, part in split(shard_of(words, bits)):
-            yield 1, name, words[part].tobytes(), n[part].astype(np.uint32).tobytes(), None, None
         keys, first, n = np.unique(pair(v, w), return_index=True, return_counts=True)
-        order = np.argsort(v[first], kind="stable")
-        v, w, n = v[first][order], w[first][order], n[order].astype(np.uint32)
-        for name, part in split(shard_of(v, bits)):
+        v, w = v[first], w[first]
+        shards = shard_of_pairs(v, keys, hot, bits)
+        order = np.lexsort((v, shards))
+        v, w, n, shards = v[order], w[order], n[order].astype(np.uint32), shards[order]
+        for name, part in split(shards):
             own, runs = np.unique(v[part], return_counts=True)
             yield 2, name, own.tobytes() + runs.astype(np.uint64).tobytes(), w[part].tobytes(), n[part].tobytes(), None
 
@@ -147,7 +177,8 @@ def merge_bigrams(rows: pa.Table, folder: str, bits: int):
         out.append((3, name, words[part].tobytes(), histories[part].astype(np.uint32).tobytes(), None, None))
     own, place = np.unique(v, return_inverse=True)
     stats = np.stack([np.bincount(place, n, len(own)), *(np.bincount(place, n == k, len(own)) for k in (1, 2)), np.bincount(place, n > 2, len(own))]).astype(np.int64)
-    out.append((4, shard, own.tobytes(), stats.tobytes(), None, None))
+    for name, part in split(shard_of(own, bits)):  # those of a hot history go to the history's shard
+        out.append((4, name, own[part].tobytes(), np.ascontiguousarray(stats[:, part]).tobytes(), None, None))
     yield rows_out(_PARTS_SCHEMA, list(zip(*out)))
 
 
@@ -187,8 +218,8 @@ def discounts(n: list[int]) -> np.ndarray:
 class Model:
     """A reader of the manifest's files."""
 
-    def __init__(self, folder: str, bits: int, notes: list[dict]):
-        self.folder, self.bits = folder, bits
+    def __init__(self, folder: str, bits: int, notes: list[dict], hot: np.ndarray):
+        self.folder, self.bits, self.hot = folder, bits, hot
         self.files = {(x["kind"], x["shard"]): (x["file"], x["rows"]) for x in notes}
         words = [x for x in notes if x["kind"] == 1]
         self.tokens, self.types, self.bigrams = (sum(x[k] for x in words) for k in ("tokens", "types", "bigrams"))
@@ -216,10 +247,10 @@ class Model:
         keys, rest = raw[: 8 * rows].view(U64), raw[8 * rows :]
         return keys, rest.view(np.uint32)[None] if kind == 2 else rest.view(np.int64).reshape(WORD_COLUMNS, rows)
 
-    def look_up(self, kind: int, keys: np.ndarray) -> np.ndarray:
-        """Entries of sorted distinct hashes; zeros where there is none."""
+    def look_up(self, kind: int, keys: np.ndarray, shards: np.ndarray) -> np.ndarray:
+        """Entries of distinct hashes in order of shard and hash; zeros where there is none."""
         out = np.zeros((1 if kind == 2 else WORD_COLUMNS, len(keys)), np.int64)
-        for name, part in split(shard_of(keys, self.bits)):
+        for name, part in split(shards):
             if (kind, name) in self.files:
                 known, table = self.open(kind, name)
                 at = np.minimum(np.searchsorted(known, keys[part]), len(known) - 1)
@@ -232,7 +263,7 @@ class Model:
         v, w, lengths = sequences(texts)
         own = np.repeat(np.arange(len(lengths)), lengths)
         words, place = np.unique(np.concatenate([w, v]), return_inverse=True)
-        table = self.look_up(1, words)
+        table = self.look_up(1, words, shard_of(words, self.bits))
         here, before = place[: len(w)], place[len(w) :]
         c = table[0][here]
         base = np.log10((c + 1) / (self.tokens + self.types + 1))
@@ -240,8 +271,12 @@ class Model:
         lower = self.free / (self.types + 1)
         if self.bigrams:
             lower = lower + np.maximum(seen - self.low[np.minimum(seen, 3)], 0) / self.bigrams
-        keys, place = np.unique(pair(v, w), return_inverse=True)
-        n = self.look_up(2, keys)[0][place]
+        keys, first, place = np.unique(pair(v, w), return_index=True, return_inverse=True)
+        shards = shard_of_pairs(v[first], keys, self.hot, self.bits)
+        order = np.argsort(shards, kind="stable")
+        found = np.empty(len(keys), np.int64)
+        found[order] = self.look_up(2, keys[order], shards[order])[0]
+        n = found[place]
         total, once, twice, more = (table[k][before] for k in (2, 3, 4, 5))
         some = np.maximum(total, 1)
         free = (self.high[1] * once + self.high[2] * twice + self.high[3] * more) / some
@@ -255,24 +290,30 @@ def train(docs: DataFrame, allowed: Column | None = None, text: str = "text") ->
     spark = docs.sparkSession
     slim = docs.where(F.lit(True) if allowed is None else allowed).select(F.col(text).cast("binary").alias("text"))
     size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MOST_BITS, max(0, (size // 5 // SHARD_TOKENS).bit_length()))
+    tokens = size // 6  # words of so many bytes, blanks among them; only sizes shards and says what is hot
+    bits = min(MOST_BITS, max(0, (tokens // SHARD_TOKENS).bit_length()))
     folder = shared_path(spark, "kneser-ney")
-    parts = slim.mapInArrow(lambda batches: count(batches, bits), _PARTS)
+    spec = _PARTS + ", hot binary"
+    schema = arrow_schema(spec)
+
+    def merge_counts(rows: pa.Table):
+        words, n = summed([np.frombuffer(x, U64) for x in rows.column("a").to_pylist()], [np.frombuffer(x, np.uint32) for x in rows.column("b").to_pylist()])
+        yield rows_out(schema, [[1], [rows.column("shard")[0].as_py()], [words.tobytes()], [n.astype(np.int64).tobytes()], [None], [None], [words[n * HOT >= max(HOT, tokens)].tobytes()]])
+
+    words = stored(grouped(slim.mapInArrow(lambda batches: count_words(batches, bits), _PARTS), ["shard"], merge_counts, spec), "kneser-ney-words")
+    # words of a HOT-th of so many tokens each: some thousands at most. Every text has a beginning
+    hot = np.unique(np.concatenate([np.frombuffer(bytes(r.hot), U64) for r in words.where(F.octet_length("hot") > 0).select("hot").collect()] + [np.array([START], U64)]))
 
     def merge(rows: pa.Table):
-        if rows.column("kind")[0].as_py() == 2:
-            yield from merge_bigrams(rows, folder, bits)
-        else:
-            words, n = summed([np.frombuffer(x, U64) for x in rows.column("a").to_pylist()], [np.frombuffer(x, np.uint32) for x in rows.column("b").to_pylist()])
-            yield rows_out(_PARTS_SCHEMA, [[1], [rows.column("shard")[0].as_py()], [words.tobytes()], [n.astype(np.int64).tobytes()], [None], [None]])
+        yield from merge_bigrams(rows, folder, bits)
 
     def merge_all(rows: pa.Table):
         yield from merge_words(rows, folder)
 
-    merged = grouped(parts, ["kind", "shard"], merge, _PARTS)
+    merged = grouped(slim.mapInArrow(lambda batches: count(batches, bits, hot), _PARTS), ["shard"], merge, _PARTS)
     # one row a file, so twice the number of shards
-    notes = [json.loads(r.note) for r in grouped(merged, ["shard"], merge_all, "note string").collect()]
-    return Model(folder, bits, notes)
+    notes = [json.loads(r.note) for r in grouped(merged.union(words.drop("hot")), ["shard"], merge_all, "note string").collect()]
+    return Model(folder, bits, notes, hot)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -640,6 +640,41 @@ def test_op9_with_many_shards(spark, sf_dir, rows, monkeypatch):
     same(run(spark, sf_dir, "op9_kneser_ney"), list(kneser_ney(rows)))
 
 
+def test_op9_hot_histories(spark):
+    """A word that a third of all tokens follow, and texts that all begin alike: dealt over many shards, with the same scores."""
+    import random
+
+    from keepsake.llm import kneser_ney as model
+
+    rng = random.Random(4)
+    texts = [(i, " ".join(x for _ in range(40) for x in ("hot", f"w{rng.randrange(300)}", f"v{rng.randrange(40)}"))) for i in range(60)]
+    old, model.SHARD_TOKENS = model.SHARD_TOKENS, 200
+    try:
+        docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+        trained = model.train(docs, queries.bucket(F.col("doc_id"), 7) != 2)
+        got = [r.asDict() for r in model.score(docs, trained).collect()]
+    finally:
+        model.SHARD_TOKENS = old
+    hot = int(model.word_hashes([b"hot"])[0])
+    assert trained.bits >= 5 and hot in trained.hot.tolist()
+    want = [{k: v for k, v in r.items() if k != "held_out"} for r in kneser_ney([(i, t, None, None) for i, t in texts])]
+    same(got, want)
+
+
+def test_op1_every_code_point():
+    """Ids of every code point, in context, as the library's; U+D800 to U+DFFF aren't text."""
+    from keepsake.llm import bpe
+    from tokenizers import Tokenizer
+
+    path = tokenizer("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), bpe.load(path)
+    points = [i for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    for at in range(0, len(points), 65536):
+        texts = [f"a{chr(i)}b {chr(i)}{chr(i)}1{chr(i)}" for i in points[at : at + 65536]]
+        for i, t, e in zip(points[at:], texts, library.encode_batch(texts, add_special_tokens=False)):
+            assert np.frombuffer(own.encode(t), "<u4").tolist() == e.ids, hex(i)
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
