@@ -11,8 +11,9 @@ Two texts link when the Jaccard similarity of their sets of five-word shingles i
    filter); only those are shuffled, and those held by one class go.
 3. The smallest class that holds a shingle is its pivot. Classes meet in the group
    of their pivot, which loses no pair: both classes of a pair hold a common
-   shingle and so meet at its pivot. Large groups are dealt over blocks of bounded
-   size that all hold the pivot. Before any set is fetched, groups of one block are
+   shingle and so meet at its pivot. Large groups are cut into classes of set sizes,
+   each 1.25 times the one before, and classes are dealt over blocks of bounded size
+   that all hold the pivot. Before any set is fetched, groups of one block are
    cut by parity bitmaps (each shingle flips one of about n bits): two bitmaps
    differ in at most as many bits as the sets in shingles, and sets that link
    differ in at most a ninth of their joint sizes. What stays connected by pairs
@@ -24,7 +25,8 @@ Two texts link when the Jaccard similarity of their sets of five-word shingles i
    don't fit, and, by the triangle inequality of Jaccard distance, a member goes
    when its distance to the pivot differs from the probe's by more than 0.2.
    Members that are already joined aren't compared.
-5. Unsettled members of groups with several blocks probe the other blocks, too.
+5. Unsettled members of large groups probe the other blocks of their class and of the
+   two next to it, too: sets that link have sizes within a factor of 1.25.
 6. Links become components in rounds of label passing over stored tables.
 
 A null text has no words and links with nothing; a text of fewer than five words
@@ -39,6 +41,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right
 from collections import Counter
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +57,8 @@ WORDS = 5
 CELLS, PARTS = 1 << 20, 64
 #: A block holds about so many shingles and classes.
 BLOCK_SHINGLES, BLOCK_CLASSES = 1_000_000, 2_000
+#: Blocks that a class of sizes may have in the numbering of blocks.
+STRIDE = 1 << 24
 #: Set ids whose prefixes a task remembers having sent.
 SENT = 200_000
 
@@ -306,10 +311,11 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
             yield rows_out(arrow_schema(spec_cut), list(zip(*out)))
 
     small = members.where("blocks = 1").join(sole, "rep").select("pivot", "rep", "n", "bits")
-    small = grouped(small, ["pivot"], cut, spec_cut).distinct()
-    blocks = small.groupBy("pivot").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_CLASSES)).cast("int").alias("blocks"))
+    small = grouped(small, ["pivot"], cut, spec_cut).distinct()  # of one block still
     # a pivot may name a large group and a smaller one that was cut from another: told apart by `kind`
-    members = stored(small.join(blocks, "pivot").select("pivot", "rep", "blocks", F.lit(0).alias("kind")).union(members.where("blocks > 1").select("pivot", "rep", "blocks", F.lit(1).alias("kind"))), "jaccard-groups")
+    members = stored(small.select("pivot", "rep", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("class")).union(members.where("blocks > 1").select("pivot", "rep", F.lit(1).alias("kind"), F.floor(F.ln("n") / log(1.25)).alias("class")).distinct()), "jaccard-groups")
+    sizes = members.where("kind = 1").join(classes.select("rep", "n"), "rep")
+    parts = stored(sizes.groupBy("pivot", "class").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_CLASSES)).cast("long").alias("parts")), "jaccard-parts")
 
     wanted = members.select("rep").distinct().join(classes.select("rep", "s1", "s2"), "rep").withColumnRenamed("rep", "key")
     spec_sets = "rep long, shingles binary"
@@ -323,9 +329,11 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     full = stored(map_slices(slim.join(wanted, "key").select("key", "text", "s1", "s2"), whole, spec_sets, text=1), "jaccard-full")
 
-    own = members.where("rep <> pivot").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    lead = members.where("rep = pivot").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spec_out = "a long, b long, kind int, pivot long, block int, blocks int, near double"
+    large = members.where("kind = 1 and rep <> pivot").join(parts, ["pivot", "class"]).withColumn("block", F.col("class") * STRIDE + F.pmod(F.xxhash64("rep"), "parts"))
+    every = parts.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("pivot", "class", (F.col("class") * STRIDE + F.col("part")).alias("to"))
+    lead = every.select(F.lit(1).alias("kind"), "pivot", F.col("pivot").alias("rep"), F.col("to").alias("block"))
+    own = members.where("kind = 0").withColumn("block", F.lit(0).cast("long"))
+    spec_out = "a long, b long, kind int, pivot long, block long, near double"
     schema_out = arrow_schema(spec_out)
 
     def first(rows: pa.Table):
@@ -341,23 +349,24 @@ def near_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
                 settled.append(i)
         done = set(settled)
         loose = [i for i in range(len(ids)) if i not in done]
-        block, blocks = rows.column("block")[0].as_py(), rows.column("blocks")[0].as_py()
-        out += [(ids[i], pivot, kind, pivot, block, blocks, near[i]) for i in settled if ids[i] != pivot]
-        out += [(a, b, kind, pivot, block, blocks, None) for a, b in block_links(ids, found, near, loose, settled)]
-        if blocks > 1:  # its loose members are to probe the other blocks
-            out += [(ids[i], None, kind, pivot, block, blocks, near[i]) for i in loose]
+        block = rows.column("block")[0].as_py()
+        out += [(ids[i], pivot, kind, pivot, block, near[i]) for i in settled if ids[i] != pivot]
+        out += [(a, b, kind, pivot, block, None) for a, b in block_links(ids, found, near, loose, settled)]
+        if kind:  # its loose members are to probe the other blocks
+            out += [(ids[i], None, kind, pivot, block, near[i]) for i in loose]
         if out:
             yield rows_out(schema_out, list(zip(*out)))
 
-    cols = ["kind", "pivot", "rep", "block", "blocks"]
-    dealt = own.select(*cols).union(lead.select(*cols)).join(full, "rep").select(*cols, "shingles")
+    cols = ["kind", "pivot", "rep", "block"]
+    dealt = own.select(*cols).union(large.select(*cols)).union(lead.select(*cols)).join(full, "rep").select(*cols, "shingles")
     found = stored(grouped(dealt, ["kind", "pivot", "block"], first, spec_out), "jaccard-links")
     edges = found.where("b is not null").select("a", "b")
 
-    loose = found.where("b is null").select("kind", "pivot", F.col("a").alias("rep"), "block", "blocks", "near")
+    loose = found.where("b is null").select("kind", "pivot", F.col("a").alias("rep"), "block", "near")
     if not loose.isEmpty():
         at = ["kind", "pivot", "block"]
-        far = loose.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("to <> block").select("kind", "pivot", F.col("to").alias("block"), "rep", "near", F.lit(True).alias("probe"))
+        near_by = loose.withColumn("class", F.explode(F.array(*[F.floor(F.col("block") / STRIDE) + d for d in (-1, 0, 1)])))
+        far = near_by.join(every, ["pivot", "class"]).where("to <> block").select("kind", "pivot", F.col("to").alias("block"), "rep", "near", F.lit(True).alias("probe"))
         told = found.where("b = pivot and near is not null").select(*at, F.col("a").alias("rep"), "near").union(loose.select(*at, "rep", "near"))
         there = told.join(far.select(*at).distinct(), at, "left_semi").select(*at, "rep", "near", F.lit(False).alias("probe"))
         meeting = far.union(there).join(full, "rep").select(*at, "rep", "near", "probe", "shingles")
