@@ -148,10 +148,10 @@ def test_transfer(store):
     path = store.export_memories("out", "a")
     assert path.endswith("/out")
     n = store.table("memory").count()
-    assert store.import_memories("out", "b") == {"stored": n}
-    assert store.import_memories("out", "b", dry_run=False) == {"stored": n}
-    assert store.import_memories("out", "b") == {"skipped": n}
-    assert store.merge_memories("b", "a") == {"skipped": n}
+    assert store.import_memories("out", "b")["stored"] == n
+    assert store.import_memories("out", "b", dry_run=False)["stored"] == n
+    assert store.import_memories("out", "b")["skipped"] == n
+    assert store.merge_memories("b", "a")["skipped"] == n
     with pytest.raises(Refused):
         store.export_memories("../x")
     counts = store.delete_agent_data("b")
