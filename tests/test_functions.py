@@ -270,3 +270,20 @@ def test_embeddings_in_base64(spark):
 def test_judgements(spark, tmp_path):
     (tmp_path / "q.tsv").write_text("q1\td1\t1\nq1\td2\t0\n")
     assert [tuple(r) for r in evalset.qrels(spark, str(tmp_path / "q.tsv")).collect()] == [("q1", "d1", 1), ("q1", "d2", 0)]
+
+
+def test_evaluation_sets(spark, tmp_path):
+    (tmp_path / "corpus.jsonl").write_text('{"id":"d1","title":"t","text":"x"}\n{"id":"d2","text":"y"}\n')
+    (tmp_path / "queries.jsonl").write_text('{"id":"q1","text":"x?"}\n')
+    (tmp_path / "candidates.jsonl").write_text('{"scene_id":"s","candidate_doc_ids":["d1","d2"]}\n')
+    assert [tuple(r) for r in evalset.corpus(spark, str(tmp_path / "corpus.jsonl")).collect()] == [("d1", "t", "x"), ("d2", None, "y")]
+    assert evalset.queries(spark, str(tmp_path / "queries.jsonl")).first().text == "x?"
+    assert evalset.candidates(spark, str(tmp_path / "candidates.jsonl")).first().candidate_doc_ids == ["d1", "d2"]
+
+
+def test_samples(spark):
+    """Without a seed the lowest ids, with one always the same others; only rows of the most frequent width."""
+    rows = spark.createDataFrame([(i, [1.0] * (3 if i % 10 == 0 else 2)) for i in range(100)], "id long, embedding array<float>")
+    ids = lambda n, seed=None: [r.id for r in calibrate.sample(rows, n, seed).collect()]
+    assert ids(3) == [1, 2, 3] and len(ids(500)) == 90
+    assert ids(5, 7) == ids(5, 7) != ids(5) and all(i % 10 for i in ids(5, 7))

@@ -176,3 +176,13 @@ def test_calibration(spark, tmp_path):
     assert MemoryStore(spark, f"file://{tmp_path}").settings["precision"] == {"cal": "strict"}
     with pytest.raises(Refused):
         s.calibrate_threshold("nobody")
+
+
+def test_checkup(spark, tmp_path, capsys):
+    from keepsake import checkup
+
+    s = MemoryStore(spark, f"file://{tmp_path}")
+    s.store("a", {"content": "quinces"})
+    s.update_profile("a", "likes quinces")
+    assert checkup.main([f"file://{tmp_path}", "--agent", "a"]) == 0
+    assert capsys.readouterr().out.strip().endswith("healthy")
