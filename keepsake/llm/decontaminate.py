@@ -48,6 +48,8 @@ BYTE_BITS = RADIUS // 8
 #: Units of a weight of 1 where fingerprints are summed; sums of many words stay exact.
 UNITS = 1 << 20
 BLOCK_BYTES = 8 << 20
+#: Pairs of windows and items that are checked at once.
+PAIRS = 2 << 20
 SCHEMA = "item_id long, start long, n_words long, similarity double"
 _PUNCTUATION = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
 _BITS = np.arange(64, dtype=U64)
@@ -113,11 +115,25 @@ class Index:
     def fingerprint(self, s: np.ndarray) -> int:
         return int((self.signs(s).sum(axis=0) > 0).astype(U64) @ (U64(1) << _BITS))
 
-    def near(self, group: tuple, p: int) -> list[int]:
-        """Items of a group within RADIUS of a fingerprint."""
+    def near(self, group: tuple, found: np.ndarray):
+        """(window, item) of all items of a group within RADIUS of each of the fingerprints, in order of both: for each block the
+        list of items whose byte is near the window's, joined over the blocks and checked; so many windows at once as give PAIRS."""
         members, prints, places, ends = group
-        found = np.unique(np.concatenate([places[ends[k] : ends[k + 1]] for k in (256 * block + (p >> 8 * block & 255) for block in range(8))]))
-        return [members[m] for m in found[np.bitwise_count(prints[found] ^ U64(p)) <= RADIUS].tolist()]
+        at = 256 * np.arange(8)[:, None] + ((found[None, :] >> (U64(8) * np.arange(8, dtype=U64)[:, None])) & U64(255)).astype(np.int64)
+        low, many = ends[at], ends[at + 1] - ends[at]
+        total = np.cumsum(many.sum(axis=0))
+        a = 0
+        while a < len(found):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PAIRS, "right")))
+            n = many[:, a:b].ravel()
+            window = np.repeat(np.tile(np.arange(a, b), 8), n)
+            member = places[np.repeat(low[:, a:b].ravel(), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+            both = np.unique(window * len(members) + member)
+            window, member = both // len(members), both % len(members)
+            hit = np.bitwise_count(prints[member] ^ found[window]) <= RADIUS
+            for w, m in zip(window[hit].tolist(), member[hit].tolist()):
+                yield w, members[m]
+            a = b
 
     def anchored(self, s: np.ndarray) -> np.ndarray:
         """Places of shingles that some item holds."""
@@ -164,11 +180,11 @@ class Index:
                     low, high = int(run[0]), int(run[-1]) + wide
                     sums = np.concatenate([np.zeros((1, 64), np.int64), np.cumsum(self.signs(s[low:high]), axis=0)])
                     own = ((sums[run - low + wide] - sums[run - low]) > 0).astype(U64) @ (U64(1) << _BITS)
-                    for start, p in zip(run.tolist(), own.tolist()):
-                        for item in self.near(group, p):
-                            x = self.similarity(item, s[start : start + wide])
-                            if x >= SIMILARITY and (item not in best or x > best[item][3]):
-                                best[item] = (self.ids[item], start, min(n, len(words)), x)
+                    for w, item in self.near(group, own):
+                        start = int(run[w])
+                        x = self.similarity(item, s[start : start + wide])
+                        if x >= SIMILARITY and (item not in best or x > best[item][3]):
+                            best[item] = (self.ids[item], start, min(n, len(words)), x)
         yield from (best[i] for i in sorted(best))
 
 
