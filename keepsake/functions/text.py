@@ -37,9 +37,10 @@ def stripped(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
-def sanitised(c: Column, cap: int = MAX_CONTENT) -> Column:
-    """Without memory annotations and mentions, stripped, cut to cap characters."""
-    return F.substring(stripped(F.regexp_replace(F.regexp_replace(c, ANNOTATION, ""), MENTION, "")), 1, cap)
+def sanitised(c: Column, cap: int | None = MAX_CONTENT) -> Column:
+    """Without memory annotations and mentions, stripped, cut to cap characters (None: whole)."""
+    clean = stripped(F.regexp_replace(F.regexp_replace(c, ANNOTATION, ""), MENTION, ""))
+    return clean if cap is None else F.substring(clean, 1, cap)
 
 
 def trigrams(c: Column) -> Column:

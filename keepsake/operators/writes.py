@@ -16,10 +16,10 @@ MAX_JSON, MAX_PROFILE = 8000, 2000
 EXACT = ("agent_id", "project_id", "channel")
 
 
-def prepared(incoming: DataFrame) -> DataFrame:
-    """Incoming messages with cleaned content, canonical source and a verdict: rejected (why) or null. Needs a column `seq` for their order."""
+def prepared(incoming: DataFrame, cap: int | None = MAX_CONTENT) -> DataFrame:
+    """Incoming messages with cleaned content (cut to cap characters; None: whole), canonical source and a verdict: rejected (why) or null. Needs a column `seq` for their order."""
     canonical = bound(normalised_source(F.col("source")), lambda s: F.when(s["mapped"], F.to_json(F.struct(s["type"].alias("type"), s["id"].alias("id"), s["name"].alias("name")))).otherwise(F.col("source")))
-    out = incoming.withColumns({"source": F.coalesce(canonical, F.lit("{}")), "content": sanitised(F.col("content"), MAX_CONTENT)})
+    out = incoming.withColumns({"source": F.coalesce(canonical, F.lit("{}")), "content": sanitised(F.col("content"), cap)})
     why = F.when(F.coalesce("content", F.lit("")) == "", "empty content").when((F.length("source") > MAX_JSON) | (F.length(F.coalesce("metadata", F.lit("{}"))) > MAX_JSON), "oversized json")
     return out.withColumn("rejected", why)
 
@@ -44,9 +44,12 @@ def _seen(rows: DataFrame, target: DataFrame, column: str, shared: bool) -> Data
     return found.select("seq").distinct()
 
 
-def store(target: DataFrame, incoming: DataFrame, shared: bool = True) -> DataFrame:
-    """(seq, result): stored, skipped (msg_id or content is there already, or came earlier in the batch) or rejected."""
-    rows = prepared(incoming)
+def store(target: DataFrame, incoming: DataFrame, shared: bool = True, cap: int | None = MAX_CONTENT) -> DataFrame:
+    """(seq, result): stored, skipped (msg_id or content is there already, or came earlier in the batch) or rejected.
+
+    Contents are compared as the target keeps them: cut to cap characters, or whole (None) where it holds whole texts.
+    """
+    rows = prepared(incoming, cap)
     good = rows.where("rejected is null")
     by_id = _seen(good.where("msg_id <> ''"), target.where("msg_id <> ''"), "msg_id", shared)
     by_content = _seen(good, target, "content", shared)

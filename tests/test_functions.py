@@ -248,6 +248,17 @@ def test_store_in_batch_and_target(spark):
     assert {r.seq: r.result for r in exact.collect()} == {1: "stored", 2: "stored", 3: "skipped", 4: "stored", 5: "rejected", 6: "rejected"}
 
 
+def test_store_compares_as_the_target_keeps(spark):
+    """Texts beyond the cap: in a table of whole texts the whole text decides, in one of cut texts the cut one."""
+    schema = "agent_id string, project_id string, channel string, msg_id string, content string, source string, metadata string"
+    long = "x" * 16_000
+    rows = spark.createDataFrame([(i, "a", "", "", "", c, None, None) for i, c in enumerate((long + "old", long + "new", long + "new", "  "))], "seq long, " + schema)
+    whole = spark.createDataFrame([("a", "", "", "", long + "old", "{}", "{}")], schema)
+    assert {r.seq: r.result for r in writes.store(whole, rows, cap=None).collect()} == {0: "skipped", 1: "stored", 2: "skipped", 3: "rejected"}
+    cut = spark.createDataFrame([("a", "", "", "", long, "{}", "{}")], schema)
+    assert {r.seq: r.result for r in writes.store(cut, rows).collect()} == {0: "skipped", 1: "skipped", 2: "skipped", 3: "rejected"}
+
+
 def test_jsonl_round_trip(spark, tmp_path):
     memory = spark.createDataFrame([(1, "a", "m", "hé\n", "{}", "t", "{}", "c", "", "", True, 2, 5.0, [1.5, -2.0])], "id long, agent_id string, msg_id string, content string, source string, timestamp string, metadata string, created_at string, project_id string, channel string, locked boolean, recall_count long, last_recalled double, embedding array<float>")
     episode = spark.createDataFrame([], "id long, agent_id string, summary string, keywords string, start_time string, end_time string, created_at string, resolved boolean, project_id string, channel string")
