@@ -17,6 +17,8 @@ from ..functions.scoring import RRF_K, RRF_SCALE, adaptive_least, boundary_penal
 
 KEY = ("qid", "kind", "id")
 GAP_RATIO, GAP_ROWS = 0.15, 3
+#: Decimal places to which fused scores are told apart.
+PLACES = 9
 #: Profiles that a recall takes in, and characters of a preview.
 PROFILES, PREVIEW = 3, 500
 
@@ -35,7 +37,7 @@ def united(lists: list[DataFrame]) -> DataFrame:
 def _fused(rows: DataFrame, score: Column, name: str) -> DataFrame:
     first = F.min(F.struct("list", "pos"))
     out = rows.groupBy(*KEY).agg(score.alias(name), F.max(F.when(F.col("list") == 0, F.col("score"))).alias("cosine"), F.max(F.when(F.col("list") > 0, F.col("score"))).alias("bm25"), first.alias("first"))
-    order = F.row_number().over(W.partitionBy("qid").orderBy(F.desc(name), "first.list", "first.pos"))
+    order = F.row_number().over(W.partitionBy("qid").orderBy(F.round(name, PLACES).desc(), "first.list", "first.pos"))
     return out.withColumn("ord", order).drop("first")
 
 

@@ -89,6 +89,7 @@ def fused(memory: DataFrame, episode: DataFrame, queries: list[Query], o: Option
     if o.mode == "cascade":
         return fusion.cascade(lists, o.limit, told)
     rows = fusion.rrf(lists) if o.mode == "rrf" else fusion.rsf(lists)
+    rows = rows.withColumn(o.mode, F.round(o.mode, fusion.PLACES))  # what penalties scale is what orders, so that rows tie alike
     return rows if told is None else fusion.with_profiles(rows, told)
 
 

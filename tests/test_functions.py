@@ -227,6 +227,21 @@ def test_rrf_like_naive(spark):
     assert got == naive_rrf(lists)
 
 
+def test_penalised_sums_are_told_apart_to_nine_places(spark):
+    """1/65 halved and 1/130 are one number, but not 0.015384615 halved and 0.007692308: the later row comes first."""
+    from keepsake.operators.lexical import Query
+    from keepsake.plans import recall as plan
+
+    start = 1_704_067_200.0
+    memory = spark.createDataFrame([(i, "a", "", "", "", [1.0, float(i)], start - (4e6 if i == 5 else 0), "2024-01-01 00:00:00", "2024-01-01T00:00:00Z", 0, None) for i in range(1, 71)], "id long, agent_id string, project_id string, channel string, content string, embedding array<float>, seconds double, created_at string, timestamp string, recall_count long, last_recalled double")
+    episode = spark.createDataFrame([(1, "a", "", "", "", "", None, None, None, False, "2024-01-01 00:00:00")], "id long, agent_id string, project_id string, channel string, summary string, keywords string, embedding array<float>, start_time string, end_time string, resolved boolean, created_at string")
+    o = plan.Options(agent="a", limit=70, least=-1.0, scan=None)
+    queries = [Query(1, "zz", (1.0, 0.0))]  # cosines fall with the id: row n has place n
+    rows = plan.scored(plan.fused(memory, episode, queries, o), memory, episode, queries, o)[0].collect()
+    order = [r.id for r in sorted(rows, key=lambda r: r.ord)]
+    assert order.index(70) < order.index(5)
+
+
 def test_excluded_rows_use_up_places(spark):
     df = spark.createDataFrame([(1, "mem", 1, 0.9, True), (1, "mem", 2, 0.8, None)], "qid long, kind string, id long, s double, excluded boolean")
     rows = fusion.rrf([fusion.listed(df, 0, [F.desc("s")], "s")]).collect()
