@@ -1,10 +1,13 @@
 """WARC archives: written once, found again through an index.
 
 Writing. Every record is a gzip member of its own. A task writes its records to
-archives of bounded size in the shared folder and returns, for each record, where
-it lies: file, offset, length, URL and digest. These rows are the index, a Parquet
-table. File names are new for each attempt and the index holds those of attempts
-that counted, so a lost executor leaves at most a file that nothing refers to.
+archives of bounded size in the shared folder and writes beside them, for each record,
+where it lies: file, offset, length, URL and digest. These rows are the index, a Parquet
+table. File names are new for each attempt; a task returns the name of its piece of the
+index, and the pieces of attempts that counted are moved into it, so a lost executor
+leaves at most a file that nothing refers to. Executors write no file through Hadoop,
+whose local file system starts a process for each (chmod): until that process is under
+way it shares all memory with the executor, and tools that add up processes count it twice.
 
 Pages with equal payloads (by SHA-1, SHA-256 and length) are written once: the one
 with the smallest id as response, the others as revisit records without payload
@@ -34,6 +37,7 @@ from datetime import UTC, datetime
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +47,8 @@ from .common import arrow_schema, grouped, integer_key, rows_out, shared_path, s
 #: An archive is closed beyond so many bytes; a read spans at most READ bytes and skips at most GAP; a stretch is read by one task,
 #: and a task reads about TASK bytes where there is work for more tasks than there are shuffle partitions.
 ARCHIVE, READ, GAP, STRETCH, TASK = 256 << 20, 4 << 20, 64 << 10, 8 << 20, 256 << 20
+#: Slices of index rows in a row group.
+ROW_GROUP = 64
 INDEX = "page_id long, url string, file string, offset long, length long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
@@ -112,8 +118,16 @@ def write(pages: DataFrame, least: int = 0, key: str = "page_id", url: str = "ur
 
     def run(batches):
         system, root = fs.FileSystem.from_uri(folder)
-        system.create_dir(root, recursive=True)
-        out, name, at = None, "", 0
+        system.create_dir(f"{root}/pending", recursive=True)
+        out, name, at, rows_at, index, held = None, "", 0, f"{uuid.uuid4().hex}.parquet", None, []
+
+        def flush():
+            nonlocal index
+            if held:
+                index = index or pq.ParquetWriter(f"{root}/pending/{rows_at}", schema, filesystem=system)
+                index.write_table(pa.Table.from_batches(held))
+                held.clear()
+
         try:
             for piece in slices(batches, 2):
                 rows = []
@@ -130,13 +144,26 @@ def write(pages: DataFrame, least: int = 0, key: str = "page_id", url: str = "ur
                     out.write(packed)
                     rows.append((page_id, u, name, at, len(packed), len(payload), sha, kind, refers))
                     at += len(packed)
-                yield rows_out(schema, list(zip(*rows)))
+                held.append(rows_out(schema, list(zip(*rows))))
+                if len(held) >= ROW_GROUP:
+                    flush()
+            flush()
         finally:
-            if out is not None:
-                out.close()
+            for x in (out, index):
+                if x is not None:
+                    x.close()
+        if index is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([rows_at])], names=["name"])
 
-    index = told.mapInArrow(run, INDEX)
-    index.write.parquet(f"{folder}/index")
+    system, root = fs.FileSystem.from_uri(folder)
+    if system.get_file_info(f"{root}/index").type != fs.FileType.NotFound:
+        raise FileExistsError(f"{folder} holds an index already")
+    names = [r.name for r in told.mapInArrow(run, "name string").collect()]  # one a task
+    for part in ("pending", "index"):
+        system.create_dir(f"{root}/{part}", recursive=True)
+    for name in names:
+        system.move(f"{root}/pending/{name}", f"{root}/index/{name}")
+    system.delete_dir(f"{root}/pending")
     return folder, spark.read.schema(INDEX).parquet(f"{folder}/index")
 
 

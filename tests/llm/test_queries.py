@@ -406,6 +406,23 @@ def test_op6_selected_records_and_payloads(spark, sf_dir):
     assert all(r.record_type == "response" for r in got.values())
 
 
+def test_op6_writes_nothing_through_hadoop(spark, sf_dir):
+    """Hadoop's local file system starts a process a file in an executor; it leaves checksums beside its files."""
+    import pathlib
+
+    from keepsake.llm import warc
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    folder, index = warc.write(pages.repartition(3))
+    top = pathlib.Path(folder.removeprefix("file://"))
+    assert {x.name.split(".", 1)[1] for x in top.rglob("*") if x.is_file()} == {"warc.gz", "parquet"} and [x.name for x in top.iterdir() if x.is_dir()] == ["index"]
+    assert index.count() == pages.count()
+    with pytest.raises(FileExistsError):
+        warc.write(pages, folder=folder)
+    folder, index = warc.write(pages.limit(0))
+    assert index.count() == warc.read(folder, index).count() == 0
+
+
 def test_op7(spark, sf_dir, rows):
     want = []
     for i, text, *_ in rows:
