@@ -11,9 +11,12 @@ followed it once, twice and more often; these parts, of which a hot history has
 a shard, and the number of histories a word has had are sent on and added up.
 
 Storing. Each shard is a file in the shared folder: sorted 64-bit hashes, then
-their counts. Names are new for each attempt, and the manifest names the files of
-attempts that counted, so lost executors do no harm. Workers map the files into
-memory; pages are shared between the workers of a machine.
+their counts, each column in the least type that holds it. Names are new for each attempt, and the manifest names the files of
+attempts that counted, so lost executors do no harm. The first pass leaves the words'
+counts in such files too, which go when they are merged. Tasks write all of them without
+Hadoop, whose local file system starts processes that share the executor's memory and
+are counted with it. Workers map the files into memory; pages are shared between the
+workers of a machine.
 
 Scoring. Each slice of texts looks its distinct words and bigrams up in order.
 
@@ -43,13 +46,15 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, arrow_schema, grouped, map_slices, mix, rows_out, shared_path, slices, stored, word_hashes
+from .common import U64, arrow_schema, grouped, map_slices, mix, rows_out, shared_path, slices, word_hashes
 
 END, START = (int(x) for x in word_hashes([b" ", b"\n"]))
 #: Training tokens for which a shard is made, bits of a hash that may name shards, and tokens a task counts at once.
 SHARD_TOKENS, MOST_BITS, FLUSH = 600_000, 24, 4 << 20
 #: Share of all tokens from which on a history's bigrams are dealt by themselves.
 HOT = 4096
+#: Entries worked on at once where that needs arrays of its own, and bytes of a batch of packed counts.
+BLOCK, PACKED = 1 << 18, 4 << 20
 _PARTS = "kind int, shard int, a binary, b binary, c binary, note string"
 _PARTS_SCHEMA = arrow_schema(_PARTS)
 #: Columns of a word's entry after its hash: count, histories, followers in all, followers seen once, twice, more often.
@@ -68,19 +73,37 @@ def sequences(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inner = np.ones(len(w), bool)
     inner[ends - 1] = False
     w[inner] = word_hashes(words)
-    v = np.concatenate([[U64(START)], w[:-1]]) if len(w) else w
-    v[ends[:-1]] = START
-    return v.astype(U64), w, np.array(lengths)
+    lengths = np.array(lengths, np.int64)
+    return histories(w, lengths), w, lengths
+
+
+def histories(w: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The hash before each token."""
+    v = np.empty_like(w)
+    v[1:] = w[:-1]
+    v[np.cumsum(lengths) - lengths] = START
+    return v
 
 
 def pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return mix(v * U64(0x9E3779B97F4A7C15) + w)
+    out = np.empty(len(w), U64)
+    for a in range(0, len(w), BLOCK):
+        part = slice(a, a + BLOCK)
+        out[part] = mix(v[part] * U64(0x9E3779B97F4A7C15) + w[part])
+    return out
+
+
+def run_starts(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal entries begin."""
+    change = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=change[1:])
+    return np.flatnonzero(change)
 
 
 def split(shards: np.ndarray):
     """(shard, slice) of an array that is in order of its shards."""
-    names, starts = np.unique(shards, return_index=True)
-    for name, a, b in zip(names.tolist(), starts.tolist(), [*starts[1:].tolist(), len(shards)]):
+    starts = run_starts(shards)
+    for name, a, b in zip(shards[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(shards)]):
         yield name, slice(a, b)
 
 
@@ -88,67 +111,123 @@ def shard_of(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> U64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
 
-def shard_of_pairs(v: np.ndarray, keys: np.ndarray, hot: np.ndarray, bits: int) -> np.ndarray:
-    """Shards of bigrams; hot: sorted hashes of hot histories."""
-    lead = v
-    if len(hot):
-        split_ = hot[np.minimum(np.searchsorted(hot, v), len(hot) - 1)] == v
-        lead = np.where(split_, keys, v)
-    return shard_of(lead, bits)
+def leads(v: np.ndarray, keys: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The hashes that name the shards of bigrams; hot: sorted hashes of hot histories."""
+    if not len(hot):
+        return v
+    out = v.copy()
+    for a in range(0, len(v), BLOCK):
+        part = slice(a, a + BLOCK)
+        split_ = hot[np.minimum(np.searchsorted(hot, v[part]), len(hot) - 1)] == v[part]
+        out[part][split_] = keys[part][split_]
+    return out
+
+
+def packed(rows):
+    """Record batches of about PACKED bytes."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row[2:] if x)
+        if size >= PACKED:
+            yield rows_out(_PARTS_SCHEMA, list(zip(*held)))
+            held, size = [], 0
+    if held:
+        yield rows_out(_PARTS_SCHEMA, list(zip(*held)))
 
 
 def count_words(batches, bits: int):
     """Packed counts of words (kind 1)."""
+    held, size = [], 0
 
-    def flush(held):
-        words, n = np.unique(np.concatenate(held), return_counts=True)
-        return [(1, name, words[part].tobytes(), n[part].astype(np.uint32).tobytes(), None, None) for name, part in split(shard_of(words, bits))]
+    def flush():
+        words = np.concatenate(held)
+        held.clear()
+        words.sort()
+        starts = run_starts(words)
+        n = np.diff(starts, append=len(words)).astype(np.uint32)
+        words = words[starts]
+        for name, part in split(shard_of(words, bits)):
+            yield 1, name, words[part].tobytes(), n[part].tobytes(), None, None
 
-    held, size = [], 0
     for piece in slices(batches, 0):
         held.append(sequences(piece.column(0).to_pylist())[1])
         size += len(held[-1])
         if size >= FLUSH:
-            yield rows_out(_PARTS_SCHEMA, list(zip(*flush(held))))
-            held, size = [], 0
+            yield from packed(flush())
+            size = 0
     if size:
-        yield rows_out(_PARTS_SCHEMA, list(zip(*flush(held))))
+        yield from packed(flush())
 
 
 def count(batches, bits: int, hot: np.ndarray):
     """Packed counts of bigrams (kind 2): histories, their lengths, words and counts."""
+    held, size = [], 0
 
-    def flush(held):
-        v, w = (np.concatenate(x) for x in zip(*held))
-        keys, first, n = np.unique(pair(v, w), return_index=True, return_counts=True)
-        v, w = v[first], w[first]
-        shards = shard_of_pairs(v, keys, hot, bits)
-        order = np.lexsort((v, shards))
-        v, w, n, shards = v[order], w[order], n[order].astype(np.uint32), shards[order]
-        for name, part in split(shards):
-            own, runs = np.unique(v[part], return_counts=True)
-            yield 2, name, own.tobytes() + runs.astype(np.uint64).tobytes(), w[part].tobytes(), n[part].tobytes(), None
+    def flush():  # all arrays are as long as the tokens held, so each goes as soon as it can
+        w, lengths = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        keys = pair(histories(w, lengths), w)
+        order = np.argsort(keys)
+        keys = keys[order]
+        starts = run_starts(keys)
+        n = np.diff(starts, append=len(keys)).astype(np.uint32)
+        keys, order = keys[starts], order[starts]
+        del starts
+        v = histories(w, lengths)[order]
+        w = w[order]
+        lead = leads(v, keys, hot)
+        del keys
+        order = np.argsort(lead)
+        lead = lead[order]
+        v = v[order]
+        w = w[order]
+        n = n[order]
+        del order
+        lead = shard_of(lead, bits)
+        for name, part in split(lead):
+            within = np.argsort(v[part])
+            own = v[part][within]
+            starts = run_starts(own)
+            runs = np.diff(starts, append=len(own)).astype(np.uint64)
+            yield 2, name, own[starts].tobytes() + runs.tobytes(), w[part][within].tobytes(), n[part][within].tobytes(), None
 
-    held, size = [], 0
     for piece in slices(batches, 0):
-        v, w, _ = sequences(piece.column(0).to_pylist())
-        held.append((v, w))
-        size += len(w)
+        held.append(sequences(piece.column(0).to_pylist())[1:])
+        size += len(held[-1][0])
         if size >= FLUSH:
-            yield rows_out(_PARTS_SCHEMA, list(zip(*flush(held))))
-            held, size = [], 0
+            yield from packed(flush())
+            size = 0
     if size:
-        yield rows_out(_PARTS_SCHEMA, list(zip(*flush(held))))
+        yield from packed(flush())
 
 
-def write(folder: str, name: str, arrays: list[np.ndarray]) -> str:
+def write(folder: str, name: str, keys: np.ndarray, table: np.ndarray) -> dict:
+    """Writes hashes and their columns of counts, each in the least type that holds it; returns what read needs."""
     system, path = fs.FileSystem.from_uri(folder)
     system.create_dir(path, recursive=True)
     file = f"{name}-{uuid.uuid4().hex}"
+    columns = [x.astype(np.min_scalar_type(x.max())) for x in table]
     with system.open_output_stream(f"{path}/{file}") as out:
-        for a in arrays:
-            out.write(np.ascontiguousarray(a).data)
-    return file
+        for x in (keys, *columns):
+            out.write(x.data)
+    return {"file": file, "rows": len(keys), "columns": [x.dtype.name for x in columns]}
+
+
+def read(folder: str, note: dict) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(hashes, columns) of such a file."""
+    system, path = fs.FileSystem.from_uri(f"{folder}/{note['file']}")
+    if isinstance(system, fs.LocalFileSystem):
+        raw = np.memmap(path, np.uint8, "r")
+    else:  # a store without files to map: the shard is read whole
+        with system.open_input_file(path) as f:
+            raw = np.frombuffer(f.read(), np.uint8)
+    out, at = [], 0
+    for kind in (U64, *note["columns"]):
+        end = at + note["rows"] * np.dtype(kind).itemsize
+        out.append(raw[at:end].view(kind))
+        at = end
+    return out[0], out[1:]
 
 
 def summed(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -169,8 +248,7 @@ def merge_bigrams(rows: pa.Table, folder: str, bits: int):
     n = np.bincount(place, n, len(keys)).astype(np.int64)
     v, w = v[first], w[first]
     shard = rows.column("shard")[0].as_py()
-    file = write(folder, f"bigrams-{shard}", [keys, n.astype(np.uint32)])
-    note = {"kind": 2, "shard": shard, "file": file, "rows": len(keys), "of": np.bincount(np.minimum(n, 5), minlength=6)[1:5].tolist()}
+    note = write(folder, f"bigrams-{shard}", keys, n[None]) | {"kind": 2, "shard": shard, "of": np.bincount(np.minimum(n, 5), minlength=6)[1:5].tolist()}
     out = [(5, shard, None, None, None, json.dumps(note))]
     words, histories = np.unique(w, return_counts=True)
     for name, part in split(shard_of(words, bits)):
@@ -183,9 +261,13 @@ def merge_bigrams(rows: pa.Table, folder: str, bits: int):
 
 
 def merge_words(rows: pa.Table, folder: str):
-    """Writes a shard of words with all their counts; passes the notes on files on."""
+    """Writes a shard of words with all their counts; passes the notes on files on. Rows of kind 1 name the file of the words' own counts."""
     kinds, a, b, notes = (rows.column(x).to_pylist() for x in ("kind", "a", "b", "note"))
-    out = [x for x in notes if x]
+    out = [x for k, x in zip(kinds, notes) if k == 5]
+    for i, k in enumerate(kinds):
+        if k == 1:
+            a[i], (n,) = read(f"{folder}/counts", json.loads(notes[i]))
+            b[i] = n.astype(np.int64)
     keys = [np.frombuffer(x, U64) for k, x in zip(kinds, a) if k in (1, 3, 4)]
     if keys:
         names = np.unique(np.concatenate(keys))
@@ -197,8 +279,7 @@ def merge_words(rows: pa.Table, folder: str):
                 at = np.searchsorted(names, np.frombuffer(x, U64))
                 table[2:, at] += np.frombuffer(y, np.int64).reshape(4, -1)
         shard = rows.column("shard")[0].as_py()
-        file = write(folder, f"words-{shard}", [names, table])
-        note = {"kind": 1, "shard": shard, "file": file, "rows": len(names), "of": np.bincount(np.minimum(table[1], 5), minlength=6)[1:5].tolist(), "many": int((table[1] > 2).sum()), "types": int((table[0] > 0).sum()), "tokens": int(table[0].sum()), "bigrams": int(table[1].sum())}
+        note = write(folder, f"words-{shard}", names, table) | {"kind": 1, "shard": shard, "of": np.bincount(np.minimum(table[1], 5), minlength=6)[1:5].tolist(), "many": int((table[1] > 2).sum()), "types": int((table[0] > 0).sum()), "tokens": int(table[0].sum()), "bigrams": int(table[1].sum())}
         out.append(json.dumps(note))
     yield rows_out(arrow_schema("note string"), [out])
 
@@ -220,7 +301,7 @@ class Model:
 
     def __init__(self, folder: str, bits: int, notes: list[dict], hot: np.ndarray):
         self.folder, self.bits, self.hot = folder, bits, hot
-        self.files = {(x["kind"], x["shard"]): (x["file"], x["rows"]) for x in notes}
+        self.files = {(x["kind"], x["shard"]): {k: x[k] for k in ("file", "rows", "columns")} for x in notes}
         words = [x for x in notes if x["kind"] == 1]
         self.tokens, self.types, self.bigrams = (sum(x[k] for x in words) for k in ("tokens", "types", "bigrams"))
         of = [[sum(x["of"][i] for x in notes if x["kind"] == k) for i in range(4)] for k in (1, 2)]
@@ -237,15 +318,7 @@ class Model:
         self.open = lru_cache(maxsize=4096)(self._open)
 
     def _open(self, kind: int, shard: int):
-        name, rows = self.files[kind, shard]
-        system, path = fs.FileSystem.from_uri(f"{self.folder}/{name}")
-        if isinstance(system, fs.LocalFileSystem):
-            raw = np.memmap(path, np.uint8, "r")
-        else:  # a store without files to map: the shard is read whole
-            with system.open_input_file(path) as f:
-                raw = np.frombuffer(f.read(), np.uint8)
-        keys, rest = raw[: 8 * rows].view(U64), raw[8 * rows :]
-        return keys, rest.view(np.uint32)[None] if kind == 2 else rest.view(np.int64).reshape(WORD_COLUMNS, rows)
+        return read(self.folder, self.files[kind, shard])
 
     def look_up(self, kind: int, keys: np.ndarray, shards: np.ndarray) -> np.ndarray:
         """Entries of distinct hashes in order of shard and hash; zeros where there is none."""
@@ -255,7 +328,9 @@ class Model:
                 known, table = self.open(kind, name)
                 at = np.minimum(np.searchsorted(known, keys[part]), len(known) - 1)
                 hit = known[at] == keys[part]
-                out[:, np.arange(part.start, part.stop)[hit]] = table[:, at[hit]]
+                to, at = np.arange(part.start, part.stop)[hit], at[hit]
+                for row, column in zip(out, table):
+                    row[to] = column[at]
         return out
 
     def scores(self, texts: list) -> tuple:
@@ -272,7 +347,7 @@ class Model:
         if self.bigrams:
             lower = lower + np.maximum(seen - self.low[np.minimum(seen, 3)], 0) / self.bigrams
         keys, first, place = np.unique(pair(v, w), return_index=True, return_inverse=True)
-        shards = shard_of_pairs(v[first], keys, self.hot, self.bits)
+        shards = shard_of(leads(v[first], keys, self.hot), self.bits)
         order = np.argsort(shards, kind="stable")
         found = np.empty(len(keys), np.int64)
         found[order] = self.look_up(2, keys[order], shards[order])[0]
@@ -293,16 +368,17 @@ def train(docs: DataFrame, allowed: Column | None = None, text: str = "text") ->
     tokens = size // 6  # words of so many bytes, blanks among them; only sizes shards and says what is hot
     bits = min(MOST_BITS, max(0, (tokens // SHARD_TOKENS).bit_length()))
     folder = shared_path(spark, "kneser-ney")
-    spec = _PARTS + ", hot binary"
-    schema = arrow_schema(spec)
+    spec = "shard int, note string, hot binary"
 
     def merge_counts(rows: pa.Table):
         words, n = summed([np.frombuffer(x, U64) for x in rows.column("a").to_pylist()], [np.frombuffer(x, np.uint32) for x in rows.column("b").to_pylist()])
-        yield rows_out(schema, [[1], [rows.column("shard")[0].as_py()], [words.tobytes()], [n.astype(np.int64).tobytes()], [None], [None], [words[n * HOT >= max(HOT, tokens)].tobytes()]])
+        shard = rows.column("shard")[0].as_py()
+        yield rows_out(arrow_schema(spec), [[shard], [json.dumps(write(f"{folder}/counts", f"counts-{shard}", words, n[None]))], [words[n * HOT >= max(HOT, tokens)].tobytes()]])
 
-    words = stored(grouped(slim.mapInArrow(lambda batches: count_words(batches, bits), _PARTS), ["shard"], merge_counts, spec), "kneser-ney-words")
-    # words of a HOT-th of so many tokens each: some thousands at most. Every text has a beginning
-    hot = np.unique(np.concatenate([np.frombuffer(bytes(r.hot), U64) for r in words.where(F.octet_length("hot") > 0).select("hot").collect()] + [np.array([START], U64)]))
+    # one row a file, as below; words of a HOT-th of so many tokens each: some thousands at most. Every text has a beginning
+    known = grouped(slim.mapInArrow(lambda batches: count_words(batches, bits), _PARTS), ["shard"], merge_counts, spec).collect()
+    hot = np.unique(np.concatenate([np.frombuffer(bytes(r.hot), U64) for r in known] + [np.array([START], U64)]))
+    words = spark.createDataFrame([(1, r.shard, None, None, None, r.note) for r in known], _PARTS)
 
     def merge(rows: pa.Table):
         yield from merge_bigrams(rows, folder, bits)
@@ -312,7 +388,10 @@ def train(docs: DataFrame, allowed: Column | None = None, text: str = "text") ->
 
     merged = grouped(slim.mapInArrow(lambda batches: count(batches, bits, hot), _PARTS), ["shard"], merge, _PARTS)
     # one row a file, so twice the number of shards
-    notes = [json.loads(r.note) for r in grouped(merged.union(words.drop("hot")), ["shard"], merge_all, "note string").collect()]
+    notes = [json.loads(r.note) for r in grouped(merged.union(words), ["shard"], merge_all, "note string").collect()]
+    if known:
+        system, path = fs.FileSystem.from_uri(f"{folder}/counts")
+        system.delete_dir(path)
     return Model(folder, bits, notes, hot)
 
 

@@ -678,6 +678,43 @@ def test_op9_hot_histories(spark):
     same(got, want)
 
 
+def test_op9_trains_without_hadoop(spark, sf_dir, monkeypatch):
+    """Hadoop's local file system starts a process a file in an executor, which is counted with it; it leaves checksums beside its files."""
+    import pathlib
+
+    from keepsake.llm import kneser_ney as model
+    from keepsake.shared import shared_dir
+
+    monkeypatch.setattr(model, "SHARD_TOKENS", 3000)
+    top = pathlib.Path(shared_dir(spark).removeprefix("file:").replace("//", "/"))
+    before = set(top.iterdir())
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").repartition(3)
+    trained = model.train(docs)
+    (folder,) = set(top.iterdir()) - before
+    assert {x.name for x in folder.iterdir()} == {x["file"] for x in trained.files.values()} and trained.bits >= 3
+    assert sum(r.n_tokens for r in model.score(docs, trained).collect()) == trained.tokens
+
+
+def test_op9_memory_of_counting():
+    """What a task holds while it counts: some arrays of its tokens."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from keepsake.llm import kneser_ney as model
+
+    rng = np.random.default_rng(3)
+    texts = [" ".join(map(str, rng.integers(0, 50_000, 100))).encode() for _ in range(10_000)]
+    tokens = 101 * len(texts)
+    batch = pa.record_batch([pa.array(texts, pa.binary())], names=["text"])
+    hot = np.array([model.START], np.uint64)
+    for count, most in ((lambda: model.count_words(iter([batch]), 4), 21), (lambda: model.count(iter([batch]), 4, hot), 75)):
+        tracemalloc.start()
+        n = sum(int(np.frombuffer(c, np.uint32).sum()) for out in count() for c in out.column("c" if out.column("kind")[0].as_py() == 2 else "b").to_pylist())
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n == tokens and peak < most * tokens, peak / tokens
+
+
 def test_op1_every_code_point():
     """Ids of every code point, in context, as the library's; U+D800 to U+DFFF aren't text."""
     from keepsake.llm import bpe
